@@ -82,9 +82,8 @@ class Words:
         text = np.repeat(np.arange(len(counts)), counts)
         left = np.repeat(self.first[1:], counts) - np.arange(n)  # words from here to the text's end
         value = np.zeros(n, np.uint64)
-        factor = np.uint64(1)
         for k in range(size):
-            factor = factor * np.uint64(0xD6E8FEB86659FD93)
+            factor = np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
             inside = left[: n - k] > k
             value[: n - k] += np.where(inside, self.hashes[k:] * factor, np.uint64(0))
         begins = np.zeros(n, bool)

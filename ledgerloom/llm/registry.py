@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op4_byte_bpe
+from .fingerprints import op2_document_fingerprints
 from .packing import op3_best_fit_packing
+from .simhash import op5_simhash_near_dedup
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_token_files": op8_token_files,
 }
 
