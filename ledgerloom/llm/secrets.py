@@ -1,0 +1,193 @@
+"""Operator 1: secret scans with credential linking, in DataFrame functions only.
+
+Base spans (assign, access, hex) are reported as they are. Other parts are weak:
+an account (an assigned user or key name), a key (a free-standing run of 32 or
+more base64 characters that mixes capitals, small letters and digits) and an
+endpoint (a URL, or an assigned host). Parts of one document are joined over
+intervals: two parts belong to one scope if they begin at most SCOPE code points
+apart. A weak account is reported if a secret begins in its scope, a weak key if
+an identifier does, an endpoint if both do. An assigned secret or a hex run is a
+strong secret, an access key a strong identifier.
+
+Positions are code points, ends exclusive. A weak part that begins within a
+base span of its scope isn't reported again. A null text counts as empty; a null doc_id stays null; rows that
+repeat in id and text each return; an empty table gives no rows; other columns
+are left out of find() and kept by redact().
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .common import documents, whole_text
+
+#: Reach of a scope, and the stretch of text whose parts are joined together.
+SCOPE, STRETCH = 240, 1 << 14
+_VALUE, _QUOTE = "[A-Za-z0-9+/_.=-]+", "[\"']?"
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+ASSIGN = f"({_either_case('password|passwd|secret|token|api_?key')}){_QUOTE}\\x20*[:=]\\x20*{_QUOTE}({_VALUE})"
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "[0-9a-f]{24,}"
+ACCOUNT = f"({_either_case('user|username|login|account|client_?id|access_?key_?id')}){_QUOTE}\\x20*[:=]\\x20*{_QUOTE}({_VALUE})"
+KEY = "[A-Za-z0-9+/_=-]{32,}"
+ENDPOINT = f"(https?|s3|postgres|mysql|mongodb|redis)://[^\\s\"'<>]+|({_either_case('host|hostname|endpoint|server')}){_QUOTE}\\x20*[:=]\\x20*{_QUOTE}({_VALUE})"
+KINDS = ("assign", "access", "hex", "account", "key", "endpoint")
+_SPAN = "array<struct<begin:int,rank:int,stop:int>>"
+
+
+def _spans(text: Column, pattern: str, rank: int, passes=None) -> Column:
+    """(begin, rank, stop) of the leftmost non-overlapping matches whose text passes."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+    # the pieces between matches and the matches themselves, measured in turn
+    sizes = F.zip_with(between, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+    sizes = F.filter(sizes, lambda s: s["match"].isNotNull())
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+
+    def add(state, s):
+        begin = state["at"] + s["gap"]
+        stop = begin + F.length(s["match"])
+        span = F.struct(begin.alias("begin"), F.lit(rank).alias("rank"), stop.alias("stop"))
+        spans = F.concat(state["spans"], F.array(span))
+        return F.struct(stop.alias("at"), (F.when(passes(s["match"]), spans).otherwise(state["spans"]) if passes else spans).alias("spans"))
+
+    measured = F.aggregate(sizes, start, add, lambda state: state["spans"])
+    return F.when(text.rlike(pattern), measured).otherwise(F.array().cast(_SPAN))
+
+
+def _six(match: Column) -> Column:
+    return F.length(F.regexp_extract(match, ASSIGN, 2)) >= 6
+
+
+def _mixed(match: Column) -> Column:
+    return match.rlike("[A-Z]") & match.rlike("[a-z]") & match.rlike("[0-9]")
+
+
+def parts(text: Column) -> Column:
+    """All base spans and weak parts of a text."""
+    return F.concat(
+        _spans(text, ASSIGN, 0, _six), _spans(text, ACCESS, 1), _spans(text, HEX, 2),
+        _spans(text, ACCOUNT, 3), _spans(text, KEY, 4, _mixed), _spans(text, ENDPOINT, 5),
+    )
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), copies (rows alike), base and spans: sorted (begin, rank, stop) of each distinct row.
+
+    Text is read once and not shuffled: only parts and one marker a row are, in
+    stretches of STRETCH code points that also get the parts just beside them.
+    """
+    text = whole_text()
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), parts(text).alias("parts")
+    )
+    marker = F.struct(F.lit(-1).alias("begin"), F.lit(-1).alias("rank"), F.lit(-1).alias("stop"))
+    one = rows.select("doc_id", "digest", F.explode(F.concat(F.array(marker), "parts")).alias("part"))
+    one = one.select("doc_id", "digest", "part.*")
+    near = F.when(F.col("rank") < 0, F.array(F.lit(-1).cast("long"))).otherwise(
+        F.sequence(F.floor((F.col("begin") - SCOPE) / STRETCH), F.floor((F.col("begin") + SCOPE) / STRETCH))
+    )
+    dealt = one.withColumn("stretch", F.explode(near))
+    around = Window.partitionBy("doc_id", "digest", "stretch").orderBy(F.col("begin").cast("long")).rangeBetween(-SCOPE, SCOPE)
+    base_stop = F.max(F.when(F.col("rank") < 3, F.col("stop"))).over(around.rangeBetween(-SCOPE, 0))
+    joined = dealt.select(
+        "*",
+        F.max(F.col("rank").isin(1, 3)).over(around).alias("identifier"),
+        F.max(F.col("rank").isin(0, 2, 4)).over(around).alias("secret"),
+        F.coalesce(base_stop > F.col("begin"), F.lit(False)).alias("covered"),
+    )
+    rank = F.col("rank")
+    linked = F.when(rank == 3, F.col("secret")).when(rank == 4, F.col("identifier")).otherwise(F.col("identifier") & F.col("secret"))
+    kept = joined.where(
+        (rank < 0) | (F.col("stretch") == F.floor(F.col("begin") / STRETCH)) & ((rank < 3) | ~F.col("covered") & linked)
+    )
+    span = F.when(rank >= 0, F.struct("begin", "rank", "stop"))
+    found = kept.groupBy("doc_id", "digest").agg(
+        F.sum((rank < 0).cast("int")).alias("copies"), F.array_sort(F.collect_set(span)).alias("spans")
+    )
+    return found.withColumn("base", F.filter("spans", lambda s: s["rank"] < 3))
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    kinds = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["begin"], s["stop"])), ",")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every reported span of text replaced by mark; n_chars follows the text. All rows and columns stay.
+
+    Spans may overlap: what follows a span begins at the furthest end so far.
+    """
+    found = find(docs.select("doc_id", "text")).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "spans")
+    keyed = docs.withColumn("_key", F.sha2(whole_text(), 256))
+    # only documents with spans come from the right side, a few a row of it
+    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+
+    def step(state, s):
+        gap = F.substring("text", state["at"] + 1, F.greatest(s["begin"] - state["at"], F.lit(0)))
+        fresh = s["begin"] >= state["at"]
+        return F.struct(
+            F.greatest(state["at"], s["stop"]).alias("at"),
+            F.concat(state["text"], F.when(fresh, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("text"),
+        )
+
+    clean = F.aggregate("spans", start, step, lambda state: F.concat(state["text"], F.substring("text", state["at"] + 1, F.length("text"))))
+    changed = F.col("spans").isNotNull()
+    out = joined.withColumn("_clean", F.when(changed, clean).otherwise(F.col("text")))
+    kept = [F.col("_clean").alias(c) if c == "text" else F.when(changed, F.length("_clean").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.select(*kept)
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and linked spans of every document, with a digest of the base ones."""
+    found = find(documents(spark, sf_dir))
+    number = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+    ).drop("copy")
+
+
+def _sql_spans(pattern: str, kind: str, rank: int, test: str = "true") -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+    SELECT doc_id, digest, b AS begin, {rank} AS rank, b + length(m) AS stop FROM (
+      SELECT doc_id, digest, m, sum(length(g) + coalesce(lag_m, 0)) OVER (PARTITION BY doc_id, digest ORDER BY i) AS b FROM (
+        SELECT *, lag(length(m)) OVER (PARTITION BY doc_id, digest ORDER BY i) AS lag_m FROM (
+          SELECT doc_id, digest, unnest(regexp_extract_all(text, '{pattern}')) AS m,
+            unnest(regexp_split_to_array(text, '{pattern}')[:len(regexp_extract_all(text, '{pattern}'))]) AS g,
+            unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS i FROM d))) WHERE {test}"""
+
+
+_ASSIGN_SQL = ASSIGN.replace("'", "''")
+OP1_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS digest FROM documents),
+parts AS ({" UNION ALL ".join([
+    _sql_spans(ASSIGN, "assign", 0, f"length(regexp_extract(m, '{_ASSIGN_SQL}', 2)) >= 6"),
+    _sql_spans(ACCESS, "access", 1), _sql_spans(HEX, "hex", 2), _sql_spans(ACCOUNT, "account", 3),
+    _sql_spans(KEY, "key", 4, "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"),
+    _sql_spans(ENDPOINT, "endpoint", 5),
+])}),
+linked AS (
+  SELECT DISTINCT w.doc_id, w.digest, w.begin, w.rank, w.stop FROM parts w WHERE w.rank < 3 OR (
+    NOT EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = w.doc_id AND b.digest = w.digest AND b.rank < 3 AND b.begin BETWEEN w.begin - {SCOPE} AND w.begin AND b.stop > w.begin)
+    AND (w.rank = 4 OR EXISTS (SELECT 1 FROM parts s WHERE s.doc_id = w.doc_id AND s.digest = w.digest AND s.rank IN (0, 2, 4) AND abs(s.begin - w.begin) <= {SCOPE}))
+    AND (w.rank = 3 OR EXISTS (SELECT 1 FROM parts a WHERE a.doc_id = w.doc_id AND a.digest = w.digest AND a.rank IN (1, 3) AND abs(a.begin - w.begin) <= {SCOPE})))),
+named AS (SELECT *, ['{"','".join(KINDS)}'][rank + 1] || ':' || begin::BIGINT || ':' || stop::BIGINT AS s FROM linked),
+per AS (
+  SELECT doc_id, digest, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(s, ',' ORDER BY begin, rank) FILTER (rank < 3) AS base, string_agg(s, ',' ORDER BY begin, rank) AS spans FROM named GROUP BY ALL)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) d LEFT JOIN per ON per.doc_id = d.doc_id AND per.digest = d.digest
+"""
