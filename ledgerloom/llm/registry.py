@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
+from .credentials import OP1_SQL, op1_secret_scan
 from .fingerprints import op2_document_fingerprints
 from .packing import op3_best_fit_packing
 from .simhash import op5_simhash_near_dedup
 from .token_files import op8_token_files
+from .topk import OP9_SQL, op9_exact_topk
+from .url_rules import OP10_SQL, op10_url_filters
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_token_files": op8_token_files,
+    "op9_exact_topk": op9_exact_topk,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_secret_scan": OP1_SQL,
+    "op9_exact_topk": OP9_SQL,
+    "op10_url_filters": OP10_SQL,
+}
