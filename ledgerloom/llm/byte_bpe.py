@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, whole_text
 
-#: Slices kept in a Python worker, and code points scanned together.
-CACHE_ENTRIES, SCANNED = 600_000, 1 << 20
+#: Slices kept in a Python worker, code points scanned together, ids decoded together.
+CACHE_ENTRIES, SCANNED, DECODED = 400_000, 1 << 20, 1 << 20
 #: Code points of the White_Space property (fixed values).
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 LETTER, NUMBER, OTHER, MARK2, MARK3, GAP, LAST_SPACE, LAST_GAP = range(8)
@@ -188,25 +189,35 @@ class Merges(dict):
         return out
 
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple[str, str], object] = {}
 
 
-def _tables(vocabulary: str) -> tuple[Scanner, Merges, list[bytes]]:
-    """Scanner, merges and the bytes of each id, once in each Python worker."""
-    if vocabulary not in _loaded:
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+def _ranks(vocabulary: str) -> dict[bytes, int]:
+    with open(vocabulary, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+
+
+def _encoder(vocabulary: str) -> tuple[Scanner, Merges]:
+    """Loaded once in each Python worker that encodes."""
+    if ("encode", vocabulary) not in _loaded:
+        _loaded["encode", vocabulary] = Scanner(), Merges(_ranks(vocabulary))
+    return _loaded["encode", vocabulary]
+
+
+def _spelling(vocabulary: str) -> list[bytes]:
+    """The bytes of each id, loaded once in each Python worker that decodes."""
+    if ("decode", vocabulary) not in _loaded:
+        ranks = _ranks(vocabulary)
         spelled = [b""] * (max(ranks.values()) + 1)
         for word, rank in ranks.items():
             spelled[rank] = word
-        _loaded[vocabulary] = Scanner(), Merges(ranks), spelled
-    return _loaded[vocabulary]
+        _loaded["decode", vocabulary] = spelled
+    return _loaded["decode", vocabulary]
 
 
-def encode_texts(texts: list[str], vocabulary: str) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
-    """For each text: ids as bytes, begin of each slice in the text, tokens of each slice."""
-    scanner, merges, _ = _tables(vocabulary)
-    out: list[tuple] = []
+def encode_texts(texts: list[str], vocabulary: str) -> Iterator[list[tuple[bytes, np.ndarray, np.ndarray]]]:
+    """For each text: ids as bytes, begin of each slice in the text, tokens of each slice; some texts at a time."""
+    scanner, merges = _encoder(vocabulary)
     begin = 0
     while begin < len(texts):
         stop, size = begin, 0
@@ -221,11 +232,9 @@ def encode_texts(texts: list[str], vocabulary: str) -> list[tuple[bytes, np.ndar
         ids = list(map(merges.__getitem__, [text[a:b] for a, b in zip(places, [*places[1:], len(text)])]))
         first = np.searchsorted(starts, edges)
         counts = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        for i in range(stop - begin):
-            a, b = first[i], first[i + 1]
-            out.append((b"".join(ids[a:b]), starts[a:b] - edges[i], counts[a:b]))
+        spans = zip(first[:-1], first[1:], edges[:-1], strict=True)
+        yield [(b"".join(ids[a:b]), starts[a:b] - edge, counts[a:b]) for a, b, edge in spans]
         begin = stop
-    return out
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -240,12 +249,14 @@ def encode(docs: DataFrame, vocabulary: str, offsets: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = encode_texts(batch.column(1).to_pylist(), vocabulary)
-            columns = {"doc_id": batch.column(0), "ids": _lists([np.frombuffer(x[0], "<u4") for x in found], pa.int32())}
-            if offsets:
-                columns["starts"] = _lists([x[1] for x in found], pa.int32())
-                columns["counts"] = _lists([x[2] for x in found], pa.int32())
-            yield pa.RecordBatch.from_pydict(columns)
+            done = 0
+            for found in encode_texts(batch.column(1).to_pylist(), vocabulary):
+                columns = {"doc_id": batch.column(0).slice(done, len(found)), "ids": _lists([np.frombuffer(x[0], "<u4") for x in found], pa.int32())}
+                if offsets:
+                    columns["starts"] = _lists([x[1] for x in found], pa.int32())
+                    columns["counts"] = _lists([x[2] for x in found], pa.int32())
+                yield pa.RecordBatch.from_pydict(columns)
+                done += len(found)
 
     schema = "doc_id long, ids array<int>" + ", starts array<int>, counts array<int>" * offsets
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, schema)
@@ -255,17 +266,20 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids, decoded (the bytes that the ids spell), packed (the ids as little-endian 32-bit integers)."""
 
     def run(batches):
+        spell = _spelling(vocabulary).__getitem__
         for batch in batches:
-            spelled, column = _tables(vocabulary)[2], batch.column(1)
+            column, begin = batch.column(1), 0
             bounds, values = np.asarray(column.offsets), np.asarray(column.values).astype("<u4", copy=False)
-            words = list(map(spelled.__getitem__, values[bounds[0] : bounds[-1]].tolist()))
-            spans = [(a, b) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0),
-                "ids": column,
-                "decoded": pa.array([b"".join(words[a - bounds[0] : b - bounds[0]]) for a, b in spans], pa.binary()),
-                "packed": pa.array([values[a:b].tobytes() for a, b in spans], pa.binary()),
-            })
+            while begin < len(column):
+                stop = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + DECODED, "right")) - 1)
+                parts = [values[a:b] for a, b in zip(bounds[begin:stop], bounds[begin + 1 : stop + 1], strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column(0).slice(begin, stop - begin),
+                    "ids": column.slice(begin, stop - begin),
+                    "decoded": pa.array([b"".join(map(spell, x.tolist())) for x in parts], pa.binary()),
+                    "packed": pa.array([x.tobytes() for x in parts], pa.binary()),
+                })
+                begin = stop
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary, packed binary")
 
@@ -273,7 +287,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 def decode_slices(ids: list[int], counts: list[int], begin: int, stop: int, vocabulary: str) -> bytes:
     """The bytes of slices begin..stop of one encoded text, without spelling the rest."""
     before = sum(counts[:begin])
-    return b"".join(_tables(vocabulary)[2][i] for i in ids[before : before + sum(counts[begin:stop])])
+    return b"".join(_spelling(vocabulary)[i] for i in ids[before : before + sum(counts[begin:stop])])
 
 
 
