@@ -150,13 +150,18 @@ def _walker(bits: int, budget: int):
     return walk
 
 
-def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(u, v): fingerprints within budget bits, enough of them to span every group of linked ones. distinct: fp, no repeats."""
+def prefix_pairs(distinct: DataFrame, budget: int) -> tuple[DataFrame, int]:
+    """(fp, node, mask, high) and the number of prefix bits: each fingerprint in every pair of prefixes it may link in."""
     bits = max(PREFIX, math.ceil(math.log2(max(1, distinct.count()) / NODE)))
     prefix = F.shiftrightunsigned("fp", WIDTH - bits)
     dealt = distinct.select("fp", prefix.alias("p"), F.explode(F.array(*map(F.lit, _masks(bits, budget)))).alias("mask"))
     other = F.col("p").bitwiseXOR(F.col("mask"))
-    dealt = dealt.select("fp", F.least("p", other).alias("node"), "mask", (F.col("p") > other).alias("high"))
+    return dealt.select("fp", F.least("p", other).alias("node"), "mask", (F.col("p") > other).alias("high")), bits
+
+
+def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(u, v): fingerprints within budget bits, enough of them to span every group of linked ones. distinct: fp, no repeats."""
+    dealt, bits = prefix_pairs(distinct, budget)
     return dealt.groupBy("node", "mask").applyInPandas(_walker(bits, budget), "u long, v long")
 
 
