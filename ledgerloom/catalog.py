@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import layout_queries, statement_queries, text_queries
+
+QUERIES = statement_queries.QUERIES | text_queries.QUERIES | layout_queries.QUERIES
+ORACLE_SQL = statement_queries.ORACLE_SQL | text_queries.ORACLE_SQL | layout_queries.ORACLE_SQL
