@@ -30,22 +30,30 @@ def normalize_label(text: Column) -> Column:
     return F.trim(plain, F.lit(" .,:;–—-\t"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parse_number(text: Column) -> Column:
     """The number that a cell spells, or null. "1,234,567" is null, "1,234" is 1.234, "5%" is 5."""
-    cell = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    negative = cell.startswith("(") & cell.endswith(")")
-    body = F.regexp_replace(F.translate(cell, " −", " -"), r"(?U)(?<=\d)\s+(?=\d)", "")
-    body = F.regexp_replace(F.regexp_replace(body, "%|₽|руб\\.", ""), r"[^0-9,.\-+]", "")
-    commas, dots = F.length(body) - F.length(F.translate(body, ",", "")), F.length(body) - F.length(F.translate(body, ".", ""))
-    comma_last = F.instr(F.reverse(body), ",") < F.instr(F.reverse(body), ".")
-    body = (
-        F.when((commas == 1) & (dots == 0), F.translate(body, ",", "."))
-        .when((commas > 0) & (dots > 0) & comma_last, F.translate(F.translate(body, ".", ""), ",", "."))
-        .when((commas > 0) & (dots > 0), F.translate(body, ",", ""))
-        .otherwise(body)
-    )
-    value = body.try_cast("double")
-    return F.when(cell.isin(*MISSING), None).otherwise(F.when(negative, -F.abs(value)).otherwise(value))
+
+    def digits(cell: Column) -> Column:
+        body = F.regexp_replace(F.translate(cell, "\u00a0\u2212", " -"), r"(?U)(?<=\d)\s+(?=\d)", "")
+        return F.regexp_replace(F.regexp_replace(body, "%|₽|руб\\.", ""), r"[^0-9,.\-+]", "")
+
+    def decimal(body: Column) -> Column:
+        one_comma, comma_last = body.rlike("^[^,.]*,[^,.]*$"), body.rlike(r"\..*,[^.]*$")
+        return (
+            F.when(one_comma, F.translate(body, ",", ".")).when(comma_last, F.translate(F.translate(body, ".", ""), ",", "."))
+            .when(body.contains(".") & body.contains(","), F.translate(body, ",", "")).otherwise(body)
+        ).try_cast("double")
+
+    def read(cell: Column) -> Column:
+        signed = bound(bound(digits(cell), decimal), lambda v: F.when(cell.startswith("(") & cell.endswith(")"), -F.abs(v)).otherwise(v))
+        return F.when(~cell.isin(*MISSING), signed)
+
+    return bound(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), read)
 
 
 def safe_divide(n: Column, d: Column) -> Column:
@@ -115,7 +123,7 @@ def repair_digits(token: Column) -> Column:
 
 def number_tokens(text: Column) -> Column:
     """The numbers that stand in a text, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"\(?[-+−]?\d[\d  ]*(?:[.,]\d+)?\)?"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(r"\(?[\u2212-]?\d(?:[\d \u00a0]*\d)?(?:[,.]\d+)?\)?"), F.lit(0))
     return F.filter(F.transform(found, parse_number), lambda v: v.isNotNull())
 
 

@@ -1,6 +1,6 @@
 """Queries over statement facts: ratios, trends, merge, derivations, checks, branches, flags, score.
 
-Amounts are rounded to cents, ratios to six decimals, so sums in another order compare equal.
+Amounts are rounded to five decimals, which they have, ratios to six decimals, so sums in another order compare equal.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def ratio_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trends_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = lambda c: F.round(c, 2).alias(c)
+    cents = lambda c: F.round(c, 5).alias(c)
     found = trends.trends(facts(spark, sf_dir))
     return found.select("doc_id", "metric_key", "from_year", "to_year", cents("from_value"), cents("to_value"), cents("absolute_change"), F.round("percent_change", 6).alias("percent_change"))
 
@@ -46,7 +46,7 @@ def top_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.latest_values(facts(spark, sf_dir)).select("doc_id", "metric_key", "yr", F.round("val", 2).alias("val"))
+    return trends.latest_values(facts(spark, sf_dir)).select("doc_id", "metric_key", "yr", F.round("val", 5).alias("val"))
 
 
 def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def registry_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = model.merged_values(model.gated(candidates(spark, sf_dir)))
-    return found.select("doc_id", "metric_key", "yr", F.round("val", 2).alias("val"), "seq")
+    return found.select("doc_id", "metric_key", "yr", F.round("val", 5).alias("val"), "seq")
 
 
 def merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outlier_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = model.without_outliers(model.merged_values(model.gated(candidates(spark, sf_dir))))
-    return found.where("dropped").select("doc_id", "metric_key", "yr", F.round("val", 2).alias("val"))
+    return found.where("dropped").select("doc_id", "metric_key", "yr", F.round("val", 5).alias("val"))
 
 
 def _partial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def _partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = model.derived(_partial(spark, sf_dir)).where("is_derived")
-    return found.select("doc_id", "metric_key", "yr", F.round("val", 2).alias("val"), "confidence")
+    return found.select("doc_id", "metric_key", "yr", F.round("val", 5).alias("val"), "confidence")
 
 
 def _with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def _with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reconcile_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = model.balance_repairs(_with_attributes(spark, sf_dir))
-    return found.select("doc_id", "yr", "metric_key", F.round("original", 2).alias("original"), F.round("repaired", 2).alias("repaired"), "confidence")
+    return found.select("doc_id", "yr", "metric_key", F.round("original", 5).alias("original"), F.round("repaired", 5).alias("repaired"), "confidence")
 
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = lambda c: F.round(c, 2).alias(c)
+    cents = lambda c: F.round(c, 5).alias(c)
     return _checks(spark, sf_dir).select("doc_id", "yr", "check_name", "status", cents("left_side"), cents("right_side"))
 
 
@@ -163,7 +163,7 @@ def doc_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pivot_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide sheet: a row a document and metric, a column a year."""
     wide = facts(spark, sf_dir).groupBy("doc_id", "metric_key").pivot("yr", list(range(1995, 2002))).agg(F.first("val"))
-    return wide.select("doc_id", "metric_key", *[F.round(str(y), 2).alias(f"y{y}") for y in range(1995, 2002)])
+    return wide.select("doc_id", "metric_key", *[F.round(str(y), 5).alias(f"y{y}") for y in range(1995, 2002)])
 
 
 def export_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,49 @@ def export_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_rows(facts(spark, sf_dir), ratios.displayed(ratios.ratios(facts(spark, sf_dir)))).select("doc_id", "section", "key", "yr", F.round("value", 4).alias("value"), "status")
 
 
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.findings import findings as rules
+
+    return rules(facts(spark, sf_dir)).select("doc_id", "section", "ord", "rule_id")
+
+
+def findings_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.findings import findings as rules
+
+    return rules(bank_facts(spark, sf_dir)).select("doc_id", "section", "ord", "rule_id")
+
+
+def manual_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios after every fourth document's model is replaced by one of half the amounts."""
+    from ..operators.findings import with_overrides
+
+    known = facts(spark, sf_dir)
+    supplied = known.where("doc_id % 4 = 0 AND metric_key <> 'cash'").withColumn("val", F.col("val") / 2)
+    found = ratios.ratios(with_overrides(known, supplied))
+    return found.select("doc_id", "ratio_key", F.round("value", 5).alias("value"), "status")
+
+
+def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.findings import payload as structured
+
+    found = structured(_metrics(spark, sf_dir), ratios.ratios(facts(spark, sf_dir)), risk.numeric_flags(_risk_wide(spark, sf_dir)))
+    return found.select("doc_id", F.length("json").alias("n_chars"))
+
+
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status stream over the events file, run to its end; equals registry_latest."""
+    import uuid
+
+    from ..streaming.ingest import latest_status
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    name = f"status_{uuid.uuid4().hex[:12]}"
+    latest_status(spark, f"{sf_dir}/events.parquet*", name, f"{named}/{name}").awaitTermination()
+    return spark.table(name)
+
+
 QUERIES = {f.__name__: f for f in (
+    findings, findings_bank, manual_override, payload, stream_status,
     ratios_industrial, ratios_bank, ratio_groups, trends_yoy, top_movers, latest_value, registry_latest, registry_top, registry_live,
     merge_candidates, merge_attributes, outlier_years, derive_metrics, reconcile_balance, identity_checks, row_checks, validation_status,
     branch_scores, branch_choice, coverage, risk_numeric, doc_score, pivot_model, export_union,
@@ -317,29 +359,34 @@ def _rule_cte(number: int, target: str, formula: str, inputs: list[str]) -> str:
 
 _DERIVE_SQL = f"""WITH {FX_SQL}, d0 AS MATERIALIZED (SELECT doc_id, metric_key, yr, val, CASE WHEN metric_key IN ('equity', 'cogs') THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence, false AS is_derived FROM fx_facts WHERE {_GONE}),
 {', '.join(_rule_cte(i, *rule) for i, rule in enumerate(model.DERIVATIONS, 1))}
-SELECT doc_id, metric_key, yr, round(val, 2) + 0.0 AS val, confidence FROM d{len(model.DERIVATIONS)} WHERE is_derived AND metric_key NOT LIKE '%debt_component'"""
+SELECT doc_id, metric_key, yr, round(val, 5) + 0.0 AS val, confidence FROM d{len(model.DERIVATIONS)} WHERE is_derived AND metric_key NOT LIKE '%debt_component'"""
 _REG = "reg AS (SELECT user_id AS doc_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS updated_at, count(*) AS n_events FROM events GROUP BY user_id)"
 _TREND = """tr AS (SELECT doc_id, metric_key, lag(yr) OVER y AS from_year, yr AS to_year, lag(val) OVER y AS from_value, val AS to_value FROM fx_facts WINDOW y AS (PARTITION BY doc_id, metric_key ORDER BY yr))"""
+_OVERRIDE = _RATIOS_CTE.replace("fx_facts AS MATERIALIZED (", "fx_all AS MATERIALIZED (", 1).replace("yrs AS (", """fx_facts AS MATERIALIZED (SELECT * FROM fx_all WHERE doc_id % 4 <> 0
+  UNION ALL SELECT doc_id, metric_key, yr, val / 2 FROM fx_all WHERE doc_id % 4 = 0 AND metric_key <> 'cash'), yrs AS (""", 1)
+_OVERRIDE = _OVERRIDE.replace("FROM fx_facts f CROSS JOIN", "FROM fx_all f CROSS JOIN")
 ORACLE_SQL = {
+    "manual_override": f"WITH {_OVERRIDE} SELECT doc_id, ratio_key, round(value, 5) AS value, status FROM rt",
+    "stream_status": f"WITH {_REG} SELECT * FROM reg",
     "ratios_industrial": f"WITH {_RATIOS_CTE} SELECT doc_id, ratio_key, round(value, 6) AS value, status, cur_year, prev_year FROM rt",
     "ratios_bank": f"WITH {BANK_SQL}, {_wide_sql(_BANK_INPUTS)} SELECT doc_id, ratio_key, round(value, 6) AS value, status, cur_year, prev_year FROM ({_ratio_union(_BANK_SQL)})",
     "ratio_groups": f"WITH {_RATIOS_CTE} SELECT {_GROUP_CASE} AS ratio_group, status, count(*) AS n_ratios FROM rt WHERE status <> 'na' GROUP BY 1, 2",
-    "trends_yoy": f"WITH {FX_SQL}, {_TREND} SELECT doc_id, metric_key, from_year, to_year, round(from_value, 2) AS from_value, round(to_value, 2) AS to_value, round(to_value - from_value, 2) AS absolute_change, round((to_value - from_value) / nullif(abs(from_value), 0) * 100, 6) AS percent_change FROM tr WHERE from_year IS NOT NULL",
+    "trends_yoy": f"WITH {FX_SQL}, {_TREND} SELECT doc_id, metric_key, from_year, to_year, round(from_value, 5) AS from_value, round(to_value, 5) AS to_value, round(to_value - from_value, 5) AS absolute_change, round((to_value - from_value) / nullif(abs(from_value), 0) * 100, 6) AS percent_change FROM tr WHERE from_year IS NOT NULL",
     "top_movers": f"""WITH {FX_SQL}, {_TREND}, ch AS (SELECT doc_id, metric_key, (to_value - from_value) / nullif(abs(from_value), 0) * 100 AS pc FROM tr WHERE from_year IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY doc_id, metric_key ORDER BY to_year DESC) = 1)
 SELECT doc_id, metric_key, row_number() OVER (PARTITION BY doc_id ORDER BY abs(pc) DESC, metric_key)::INTEGER AS rank,
   CASE WHEN regexp_matches(metric_key, 'liabilities|inventory') THEN CASE WHEN pc < 0 THEN 'strength' ELSE 'weakness' END
     WHEN regexp_matches(metric_key, 'revenue|profit|cash') THEN CASE WHEN pc > 0 THEN 'strength' ELSE 'weakness' END ELSE 'neutral' END AS direction, round(pc, 6) AS percent_change
 FROM ch WHERE abs(pc) >= 1 QUALIFY rank <= 8""",
-    "latest_value": f"WITH {FX_SQL} SELECT doc_id, metric_key, max(yr) AS yr, round(arg_max(val, yr), 2) AS val FROM fx_facts GROUP BY doc_id, metric_key",
+    "latest_value": f"WITH {FX_SQL} SELECT doc_id, metric_key, max(yr) AS yr, round(arg_max(val, yr), 5) AS val FROM fx_facts GROUP BY doc_id, metric_key",
     "registry_latest": f"WITH {_REG} SELECT * FROM reg",
     "registry_top": f"WITH {_REG} SELECT * FROM reg ORDER BY updated_at DESC, doc_id LIMIT 100",
     "registry_live": f"WITH {_REG} SELECT * FROM reg WHERE doc_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value < 1)",
-    "merge_candidates": f"WITH {_KEPT_CTE} SELECT doc_id, metric_key, yr, round(val, 2) AS val, seq FROM merged",
+    "merge_candidates": f"WITH {_KEPT_CTE} SELECT doc_id, metric_key, yr, round(val, 5) AS val, seq FROM merged",
     "merge_attributes": f"WITH {_KEPT_CTE} SELECT doc_id, metric_key, confidence, row_code, source_type, unit, n_accepted FROM attr",
-    "outlier_years": f"""WITH {_KEPT_CTE} SELECT doc_id, metric_key, yr, round(val, 2) AS val FROM (SELECT *, max(abs(val)) FILTER (val <> 0) OVER k AS hi, min(abs(val)) FILTER (val <> 0) OVER k AS lo FROM merged WINDOW k AS (PARTITION BY doc_id, metric_key)) WHERE hi > 100 * lo AND abs(val) = hi""",
+    "outlier_years": f"""WITH {_KEPT_CTE} SELECT doc_id, metric_key, yr, round(val, 5) AS val FROM (SELECT *, max(abs(val)) FILTER (val <> 0) OVER k AS hi, min(abs(val)) FILTER (val <> 0) OVER k AS lo FROM merged WINDOW k AS (PARTITION BY doc_id, metric_key)) WHERE hi > 100 * lo AND abs(val) = hi""",
     "derive_metrics": _DERIVE_SQL,
-    "identity_checks": f"WITH {FX_SQL}, {_SIDES_CTE} SELECT doc_id, yr, check_name, status, round(left_side, 2) AS left_side, round(right_side, 2) AS right_side FROM checks",
+    "identity_checks": f"WITH {FX_SQL}, {_SIDES_CTE} SELECT doc_id, yr, check_name, status, round(left_side, 5) AS left_side, round(right_side, 5) AS right_side FROM checks",
     "row_checks": f"WITH {_KEPT_CTE}, {_ROWS_CTE} SELECT doc_id, metric_key, CASE WHEN issues = '' THEN 'valid' ELSE 'invalid' END AS status, issues FROM rc",
     "validation_status": f"WITH {FX_SQL}, {_SIDES_CTE} SELECT doc_id, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_passed > 0 THEN 'passed' ELSE 'partial' END AS validation, n_passed, n_failed, n_not_tested FROM (SELECT doc_id, count(*) FILTER (status = 'passed') AS n_passed, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'not_tested') AS n_not_tested FROM checks GROUP BY doc_id)",
     "branch_scores": f"WITH {_SCORE_CTE} SELECT doc_id, branch, n_valid, n_core, n_coded, score, reliable FROM sc",
@@ -351,7 +398,7 @@ SELECT doc_id, (SELECT count(*) FROM k WHERE k.doc_id = d.doc_id)::INTEGER AS n_
     "doc_score": f"""WITH {_RATIOS_CTE}, fl AS ({_FLAGS_SQL}), g AS (SELECT doc_id, count(*) FILTER (status <> 'na') AS n_available, avg(CASE status WHEN 'good' THEN 100 WHEN 'warn' THEN 60 WHEN 'bad' THEN 20 END) AS base FROM rt GROUP BY doc_id),
 p AS (SELECT doc_id, sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END) AS lost FROM fl GROUP BY doc_id)
 SELECT doc_id, n_available, CASE WHEN n_available >= 5 THEN greatest(0, least(100, round_even(base - coalesce(lost, 0), 0)))::INTEGER END AS score, CASE WHEN n_available >= 5 THEN 'financial' ELSE 'document_completeness' END AS mode FROM g LEFT JOIN p USING (doc_id)""",
-    "pivot_model": f"WITH {FX_SQL} SELECT doc_id, metric_key, {', '.join(f'round(max(val) FILTER (yr = {y}), 2) AS y{y}' for y in range(1995, 2002))} FROM fx_facts GROUP BY doc_id, metric_key",
+    "pivot_model": f"WITH {FX_SQL} SELECT doc_id, metric_key, {', '.join(f'round(max(val) FILTER (yr = {y}), 5) AS y{y}' for y in range(1995, 2002))} FROM fx_facts GROUP BY doc_id, metric_key",
     "export_union": f"""WITH {_RATIOS_CTE} SELECT doc_id, 'financial' AS section, metric_key AS key, yr, round(val, 4) AS value, NULL::VARCHAR AS status FROM fx_facts
 UNION ALL SELECT doc_id, 'ratio', ratio_key, cur_year, round(value, 4), status FROM rt""",
 }

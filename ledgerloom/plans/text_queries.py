@@ -1,6 +1,180 @@
-"""Queries over text."""
+"""Queries over texts: the driver's documents, pages and conversations stand in for statement pages.
+
+Their texts are Latin, so script and keywords are passed where a job has them as
+parameters. SQL is given where RE2 knows the patterns.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.scalars import number_tokens, parse_number
+from ..operators import text_jobs as J
+from ..operators.risk import capped, text_flags
+from .fixtures import table
+
+RULES = [("risks", ["ation", "risk"]), ("strategy", ["ment", "plan"]), ("esg", ["heit"]), ("governance", ["ción"])]
+RISKS = [("sanctions", "high", ["worthless", "clown"]), ("climate", "medium", ["license", "copyright"]), ("cyber", "medium", ["token"]), ("legal", "medium", ["password", "secret"])]
+KNOWN = ["license", "copyright", "warranty"]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, turns as pages."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("double").alias("ocr_quality"))
+
+
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("mean_confidence", F.lit(80.0))
+    return J.quality_scores(docs, T.LATIN, vowels="[aeiouyáéíóúèêäöü]").select("doc_id", "native", "reading")
+
+
+def narrative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), "text", F.lit(None).cast("double").alias("ocr_quality"))
+    return J.narrative_facts(pages, RULES, T.LATIN).select("doc_id", "category", "ord", F.md5("text").alias("text_md5"))
+
+
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), "text")
+    return J.headings(pages, KNOWN).select("doc_id", "ord", F.md5("title").alias("title_md5"))
+
+
+def doc_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", J.document_class(F.col("text")).alias("document_type"), F.size(T.statement_codes(F.col("text"))).alias("n_codes"))
+
+
+def _order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences about orders: some name the reporting year, all hold dates."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("y"), F.col("o_custkey").alias("c"))
+    year = F.col("y").cast("string")
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Annual report of the group "), (F.col("y") + 10).cast("string"))).otherwise(F.lit("Order"))
+    return orders.select("doc_id", F.concat_ws(" ", said, F.lit("signed 31.12."), F.concat(F.lit("31.12."), year), F.lit("by customer"), F.col("c").cast("string"), F.concat(year, F.lit(".")), F.lit("12"), F.lit("19991")).alias("text"))
+
+
+def text_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_texts(spark, sf_dir).select("doc_id", F.explode(T.years_in(F.col("text"))).alias("yr"))
+
+
+def reporting_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_texts(spark, sf_dir).select("doc_id", J.reporting_year(F.col("text")).alias("yr"))
+
+
+def number_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose numbers all occur in the conversation's first turn."""
+    pages = _pages(spark, sf_dir)
+    allowed = pages.where("page = 0").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(T.claims(F.col("text")))))).alias("numbers"))
+    joined = pages.join(allowed, "doc_id", "left").withColumn("numbers", F.coalesce("numbers", F.array().cast("array<string>")))
+    return joined.select("doc_id", "page", F.size(T.claims(F.col("text"))).alias("n_numbers"), T.grounded(F.col("text"), F.col("numbers")).alias("grounded"))
+
+
+def text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return J.unique_texts(items, ["conv_id", "role"], ["turn", "text"], 5).select("conv_id", "role", "ord", "turn")
+
+
+def gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", T.gibberish(text).alias("gibberish"), T.tidy_item(text).alias("tidy"))
+
+
+def risk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
+    return capped(text_flags(pages, RISKS))
+
+
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = _docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+    return cleaned.select("doc_id", F.length("cleaned").alias("n_chars"), F.md5("cleaned").alias("text_md5"))
+
+
+def numbers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that stand in texts, summed a document."""
+    read = _docs(spark, sf_dir).select("doc_id", number_tokens(F.col("text")).alias("numbers"))
+    return read.select("doc_id", F.size("numbers").alias("n_numbers"), F.array_max("numbers").alias("largest"), F.array_min("numbers").alias("least"))
+
+
+def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices written in several ways and read back."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_number("l_extendedprice", 2).alias("cell"), F.col("l_linenumber").alias("way"))
+    way = F.col("way") % 4
+    cell = (
+        F.when(way == 0, F.concat(F.lit("("), F.translate("cell", ",.", " ,"), F.lit(")"))).when(way == 1, F.concat(F.translate("cell", ",", " "), F.lit(" руб.")))
+        .when(way == 2, F.concat(F.lit("−"), F.translate("cell", ",", " "))).otherwise(F.lit("н/д"))
+    )
+    return items.groupBy(way.alias("way")).agg(F.count("*").alias("n"), F.round(F.sum(parse_number(cell).cast("decimal(18,2)")).cast("double"), 2).alias("total"))
+
+
+def page_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _docs(spark, sf_dir).withColumn("image_coverage", F.lit(0.0))
+    return J.pages_to_read(pages).select("doc_id", "reason", "quality")
+
+
+def page_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 50 documents as one report each."""
+    docs = _docs(spark, sf_dir)
+    pages = docs.select(F.floor(F.col("doc_id") / 50).alias("doc_id"), (F.col("doc_id") % 50 + 1).cast("int").alias("page"), "text")
+    return J.candidate_pages(pages, 6)
+
+
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = J.document_facts(_pages(spark, sf_dir))
+    return facts.select("doc_id", "n_pages", "text_pages", "ocr_pages", F.array_join("years", ",").alias("years"))
+
+
+def section_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns against user turns as a baseline."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("risks").alias("section"), F.col("turn").alias("ord"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    numbers = F.array_distinct(F.flatten(F.collect_list(T.claims(F.col("text"))))).alias("numbers")
+    allowed = turns.groupBy("doc_id").agg(numbers)
+    found = J.accepted_sections(turns.where("role = 'assistant'"), turns.where("role <> 'assistant'"), allowed)
+    return found.select("doc_id", "section", "ord", F.md5("text").alias("text_md5"))
+
+
+def operational_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as operational figures: name, and price by size as a year."""
+    parts = table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 20).alias("doc_id"), F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"),
+        F.create_map(F.lit("2001"), F.round(F.col("p_size") * 1.0, 0)).alias("values"), F.lit("spreadsheet").alias("source_type"), F.lit(0.9).alias("confidence"),
+    )
+    return J.operational_unique(parts, T.LATIN).select("doc_id", "ord", F.md5("name").alias("name_md5"))
+
+
+QUERIES = {f.__name__: f for f in (
+    text_quality, narrative_facts, headings, doc_class, text_years, reporting_years, number_grounding, text_dedup, gibberish, risk_text,
+    clean_texts, numbers_read, parse_numbers, page_triage, page_neighbours, document_facts, section_acceptance, operational_dedup,
+)}
+
+_DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+_CODE = r"(?:1[1-7]\d0|2[1-5]\d0|4[1-5]\d0)"
+_YEAR_SQL = r"""list_distinct([x[2:5]::INTEGER FOR x IN regexp_extract_all(' ' || regexp_replace(text, '(\d+)', ' \1 ', 'g'), ' (?:19|20)\d{2} ')])"""
+_CLAIMS_SQL = r"""[replace(x, ',', '.') FOR x IN regexp_extract_all(regexp_replace(text, '[A-Za-zА-Яа-яЁё]\d(?:\d*)', 'x', 'g'), '\d+(?:[.,]\d+)?')]"""
+_KEY_SQL = "trim(regexp_replace(translate(lower(text), 'ё', 'е'), '[^а-яa-z0-9]+', ' ', 'g'))"
+_SAYS = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+ORACLE_SQL = {
+    "text_years": """WITH o AS (SELECT o_orderkey AS doc_id, year(o_orderdate)::INTEGER AS y, o_custkey AS c FROM orders)
+SELECT doc_id, y AS yr FROM o UNION SELECT doc_id, y + 10 FROM o WHERE doc_id % 3 = 0 UNION SELECT doc_id, c::INTEGER FROM o WHERE regexp_full_match(c::VARCHAR, '(19|20)[0-9]{2}')""",
+    "reporting_years": """WITH o AS (SELECT o_orderkey AS doc_id, year(o_orderdate)::INTEGER AS y, o_custkey::INTEGER AS c FROM orders)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN y + 10 WHEN c BETWEEN 1990 AND 2099 THEN greatest(y, c) ELSE y END AS yr FROM o""",
+    "text_dedup": f"""WITH k AS (SELECT conv_id, role, turn, coalesce(text, '') AS text, {_KEY_SQL} AS key FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT * FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role, key ORDER BY turn, text) = 1)
+SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text)::INTEGER AS ord, turn FROM f QUALIFY ord <= 5""",
+    "risk_text": " UNION ALL ".join(
+        f"""SELECT source AS doc_id, {100 + i} AS ord, '{code}' AS code, '{severity}' AS severity, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS pages
+FROM (SELECT DISTINCT source, doc_id FROM documents WHERE {_SAYS(needles)} QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5) GROUP BY source"""
+        for i, (code, severity, needles) in enumerate(RISKS)
+    ),
+    "parse_numbers": """SELECT l_linenumber % 4 AS way, count(*) AS n, CASE l_linenumber % 4 WHEN 3 THEN NULL WHEN 1 THEN 1 ELSE -1 END * round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS total
+FROM lineitem GROUP BY l_linenumber % 4""",
+    "doc_class": rf"""WITH {_DOCS}, c AS (SELECT doc_id, lower(text) AS t, len(list_distinct(regexp_extract_all(' ' || regexp_replace(text, '(\d+)', ' \1 ', 'g'), ' {_CODE} '))) AS n_codes FROM d)
+SELECT doc_id, CASE WHEN n_codes >= 8 THEN 'ras_financial_statements' WHEN contains(t, 'investor presentation') THEN 'investor_presentation' ELSE 'corporate_document' END AS document_type, n_codes::INTEGER AS n_codes FROM c""",
+    "document_facts": rf"""WITH y AS (SELECT conv_id, unnest({_YEAR_SQL}) AS yr FROM (SELECT conv_id, coalesce(text, '') AS text FROM conversations)),
+a AS (SELECT conv_id, string_agg(DISTINCT yr::VARCHAR, ',' ORDER BY yr::VARCHAR) AS years FROM y GROUP BY conv_id)
+SELECT conv_id AS doc_id, count(*) AS n_pages, count(*) FILTER (trim(coalesce(text, '')) <> '') AS text_pages, 0::BIGINT AS ocr_pages, coalesce(any_value(years), '') AS years
+FROM conversations LEFT JOIN a USING (conv_id) GROUP BY conv_id""",
+}
