@@ -126,10 +126,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Spans may overlap: what follows a span begins at the furthest end so far.
     """
     found = find(docs.select("doc_id", "text")).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "spans")
-    keyed = docs.withColumn("_key", F.sha2(whole_text(), 256))
-    # only documents with spans come from the right side, a few a row of it
-    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left")
+    found = found.select(F.col("doc_id").alias("_scan_id"), F.col("digest").alias("_scan_digest"), F.col("spans").alias("_scan_spans"))
+    keyed = docs.withColumn("_scan_key", F.sha2(whole_text(), 256))
+    # only documents with spans come from the right side, at most one row of it for each
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_scan_id")) & (F.col("_scan_key") == F.col("_scan_digest"))
+    joined = keyed.join(found, same, "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(state, s):
@@ -140,11 +141,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             F.concat(state["text"], F.when(fresh, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("text"),
         )
 
-    clean = F.aggregate("spans", start, step, lambda state: F.concat(state["text"], F.substring("text", state["at"] + 1, F.length("text"))))
-    changed = F.col("spans").isNotNull()
-    out = joined.withColumn("_clean", F.when(changed, clean).otherwise(F.col("text")))
-    kept = [F.col("_clean").alias(c) if c == "text" else F.when(changed, F.length("_clean").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*kept)
+    rest = lambda state: F.concat(state["text"], F.substring("text", state["at"] + 1, F.length("text")))
+    changed = F.col("_scan_spans").isNotNull()
+    out = joined.withColumn("_scan_clean", F.when(changed, F.aggregate("_scan_spans", start, step, rest)).otherwise(F.col("text")))
+    new = {"text": F.col("_scan_clean"), "n_chars": F.when(changed, F.length("_scan_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
