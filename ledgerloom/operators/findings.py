@@ -34,9 +34,9 @@ def _industrial_rules() -> list:
         ("summary", "cash_flow", c("d_operating_cash_flow").isNotNull(), F.concat(F.lit("Операционный поток изменился на "), format_percent(c("d_operating_cash_flow")))),
         ("strengths", "margins", (c("net_margin") >= 0.1) & (c("roe") >= 0.15), F.concat(F.lit("Чистая маржа "), pct("net_margin"), F.lit(", рентабельность капитала "), pct("roe"))),
         ("strengths", "liquidity_cover", (c("current_ratio") >= 1) & weak("quick_ratio", 0.8), F.concat(F.lit("Оборотные активы покрывают краткосрочные обязательства: "), dec("current_ratio"))),
-        ("weaknesses", "liquidity_gap", ~((c("current_ratio") >= 1) & weak("quick_ratio", 0.8)), F.concat(F.lit("Недостаточная ликвидность: "), dec("current_ratio"))),
+        ("weaknesses", "liquidity_gap", c("current_ratio").isNotNull() & ~((c("current_ratio") >= 1) & weak("quick_ratio", 0.8)), F.concat(F.lit("Недостаточная ликвидность: "), dec("current_ratio"))),
         ("strengths", "moderate_debt", (c("debt_equity") <= 1.5) & weak("interest_coverage", 2), F.concat(F.lit("Умеренный долг: "), dec("debt_equity"))),
-        ("weaknesses", "high_debt", ~((c("debt_equity") <= 1.5) & weak("interest_coverage", 2)), F.concat(F.lit("Высокий долг: "), dec("debt_equity"))),
+        ("weaknesses", "high_debt", c("debt_equity").isNotNull() & ~((c("debt_equity") <= 1.5) & weak("interest_coverage", 2)), F.concat(F.lit("Высокий долг: "), dec("debt_equity"))),
         ("weaknesses", "declining", (c("d_revenue") < 0) | (c("d_net_profit") < 0), F.lit("Снижаются выручка или чистая прибыль")),
         ("strengths", "growing", (c("d_revenue") > 0) & (c("d_net_profit") > 0), F.lit("Растут выручка и чистая прибыль")),
         ("strengths", "cash_quality", (c("cash_conversion") >= 1) & (c("c_net_profit") > 0), F.concat(F.lit("Прибыль подтверждена деньгами: "), dec("cash_conversion"))),

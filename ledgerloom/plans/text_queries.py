@@ -153,10 +153,35 @@ QUERIES = {f.__name__: f for f in (
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 _CODE = r"(?:1[1-7]\d0|2[1-5]\d0|4[1-5]\d0)"
 _YEAR_SQL = r"""list_distinct([x[2:5]::INTEGER FOR x IN regexp_extract_all(' ' || regexp_replace(text, '(\d+)', ' \1 ', 'g'), ' (?:19|20)\d{2} ')])"""
-_CLAIMS_SQL = r"""[replace(x, ',', '.') FOR x IN regexp_extract_all(regexp_replace(text, '[A-Za-zА-Яа-яЁё]\d(?:\d*)', 'x', 'g'), '\d+(?:[.,]\d+)?')]"""
+_CLAIMS_SQL = r"""list_distinct([replace(x, ',', '.') FOR x IN regexp_extract_all(regexp_replace(coalesce(text, ''), '([A-Za-zА-Яа-яЁё])\d', '\1 ', 'g'), '\d+(?:[.,]\d+)?')])"""
+_SQUEEZED_SQL = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+_LABEL_SQL = lambda c: rf"trim(regexp_replace(regexp_replace(translate(lower({c}), 'ё', 'е'), '[\x{{00AD}}\x{{2010}}-\x{{2015}}]', '-', 'g'), '\s+', ' ', 'g'), ' .,:;–—-' || chr(9))"
+_WORD_SQL = "[А-Яа-яЁёA-Za-zÀ-ÿ]{3,}"
 _KEY_SQL = "trim(regexp_replace(translate(lower(text), 'ё', 'е'), '[^а-яa-z0-9]+', ' ', 'g'))"
 _SAYS = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+_TOKENS_CTE = f"""k AS (SELECT id, unnest(regexp_extract_all(lower(t), '{_WORD_SQL}')) AS w FROM s),
+m AS (SELECT id, max(c) AS top, sum(c) AS n FROM (SELECT id, w, count(*) AS c FROM k GROUP BY id, w) GROUP BY id)"""
+_NOISE_SQL = lambda words: " OR ".join(f"contains(lower(t), '{w}')" for w in words)
+_RULE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f"""contains(l, '{w}')""" for w in words)} THEN '{name}'" for name, words in RULES) + " END"
 ORACLE_SQL = {
+    "number_grounding": f"""WITH t AS (SELECT conv_id, turn, {_CLAIMS_SQL} AS c FROM conversations), f AS (SELECT conv_id, flatten(list(c)) AS allowed FROM t WHERE turn = 0 GROUP BY conv_id)
+SELECT conv_id AS doc_id, turn::INTEGER AS page, len(c)::INTEGER AS n_numbers,
+  len([x FOR x IN c IF x NOT IN ('1', '2', '3', '4', '5', '6', '7', '8', '9') AND NOT list_contains(coalesce(allowed, []), x)]) = 0 AS grounded FROM t LEFT JOIN f USING (conv_id)""",
+    "headings": rf"""WITH x AS (SELECT doc_id, unnest(r) AS raw, unnest(range(len(r))) AS pos FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS r FROM documents)),
+y AS (SELECT doc_id, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS title FROM x), z AS (SELECT *, {_LABEL_SQL('title')} AS l FROM y WHERE length(title) BETWEEN 3 AND 150),
+h AS (SELECT * FROM z WHERE regexp_matches(title, '^\d+(?:\.\d+){{0,3}}\.?\s+\D') OR (title = upper(title) AND title <> lower(title) AND len(string_split_regex(title, '\s+')) <= 12) OR {' OR '.join(f"contains(l, '{w}')" for w in KNOWN)}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, l ORDER BY pos) = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INTEGER AS ord, md5(title) AS title_md5 FROM h QUALIFY ord <= 200""",
+    "gibberish": f"""WITH s AS (SELECT doc_id AS id, {_SQUEEZED_SQL} AS t FROM documents), {_TOKENS_CTE}
+SELECT id AS doc_id, length(t) NOT BETWEEN 8 AND 1400 OR coalesce(n, 0) < 3 OR top / n > 0.20 OR {_NOISE_SQL(T.BULLET_NOISE)} AS gibberish,
+  length(t) BETWEEN 30 AND 500 AND coalesce(n, 0) >= 6 AND top / n <= 0.18 AS tidy FROM s LEFT JOIN m USING (id)""",
+    "narrative_facts": rf"""WITH x AS (SELECT doc_id, unnest(r) AS text, unnest(range(len(r))) AS pos FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)) AS r FROM documents)),
+s AS (SELECT doc_id, pos, doc_id * 1000000 + pos AS id, {_SQUEEZED_SQL} AS t FROM x), {_TOKENS_CTE},
+latin AS (SELECT id, count(*) FILTER (regexp_matches(w, '[A-Za-zÀ-ÿ]')) AS own FROM k GROUP BY id),
+c AS (SELECT doc_id, pos, t, {_LABEL_SQL('t')} AS l FROM s JOIN m USING (id) JOIN latin USING (id) WHERE length(t) BETWEEN 70 AND 650 AND n >= 9 AND own / n >= 0.65 AND top / n <= 0.16
+  AND len(regexp_extract_all(t, '\b\d+\b')) <= n * 0.45 AND NOT ({_NOISE_SQL(T.TABLE_NOISE)})),
+g AS (SELECT *, {_RULE_SQL} AS category FROM c), f AS (SELECT * FROM g WHERE category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, l[:220] ORDER BY pos) = 1)
+SELECT doc_id, category, row_number() OVER (PARTITION BY doc_id, category ORDER BY pos)::INTEGER AS ord, md5(t) AS text_md5 FROM f QUALIFY ord <= 24""",
     "text_years": """WITH o AS (SELECT o_orderkey AS doc_id, year(o_orderdate)::INTEGER AS y, o_custkey AS c FROM orders)
 SELECT doc_id, y AS yr FROM o UNION SELECT doc_id, y + 10 FROM o WHERE doc_id % 3 = 0 UNION SELECT doc_id, c::INTEGER FROM o WHERE regexp_full_match(c::VARCHAR, '(19|20)[0-9]{2}')""",
     "reporting_years": """WITH o AS (SELECT o_orderkey AS doc_id, year(o_orderdate)::INTEGER AS y, o_custkey::INTEGER AS c FROM orders)
