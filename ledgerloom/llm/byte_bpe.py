@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, whole_text
 
 #: Slices kept in a Python worker, code points scanned together, ids decoded together.
-CACHE_ENTRIES, SCANNED, DECODED = 400_000, 1 << 20, 1 << 20
+CACHE_ENTRIES, SCANNED, DECODED = 300_000, 1 << 19, 1 << 19
 #: Code points of the White_Space property (fixed values).
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 LETTER, NUMBER, OTHER, MARK2, MARK3, GAP, LAST_SPACE, LAST_GAP = range(8)
