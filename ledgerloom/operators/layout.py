@@ -213,13 +213,13 @@ def row_clusters(rows: DataFrame, reach: float = 12.0) -> DataFrame:
     The first line is the anchor, so this is a fold over a page's lines by top, not a gap test between neighbours.
     """
     ordered = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("top", "left", "line_no", "text"))).alias("_l"))
-    kind = "array<struct<cluster:int,top:double,left:double,line_no:int,text:string>>"
+    kind = "array<struct<cluster:int,top:double,left:double,line_no:bigint,text:string>>"
     start = F.struct(F.lit(-1).alias("cluster"), F.lit(None).cast("double").alias("anchor"), F.array().cast(kind).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         fresh = s["anchor"].isNull() | (F.abs(x["top"] - s["anchor"]) > reach)
         number = F.when(fresh, s["cluster"] + 1).otherwise(s["cluster"])
-        row = F.struct(number.alias("cluster"), x["top"].cast("double").alias("top"), x["left"].cast("double").alias("left"), x["line_no"].cast("int").alias("line_no"), x["text"].alias("text"))
+        row = F.struct(number.alias("cluster"), x["top"].cast("double").alias("top"), x["left"].cast("double").alias("left"), x["line_no"].cast("long").alias("line_no"), x["text"].alias("text"))
         return F.struct(number.alias("cluster"), F.when(fresh, x["top"].cast("double")).otherwise(s["anchor"]).alias("anchor"), F.concat(s["out"], F.array(row)).alias("out"))
 
     each = ordered.select(*PAGE, F.explode(F.aggregate("_l", start, step, lambda s: s["out"])).alias("r")).select(*PAGE, "r.*")

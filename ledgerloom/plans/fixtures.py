@@ -51,8 +51,9 @@ METRICS = [*SUMS, *AMOUNTS]
 
 
 def _exact(sums: dict[str, str]) -> dict[str, str]:
-    """Sums of decimals, so that no order of rows changes them."""
-    return {k: e.replace("sum(", "CAST(sum(CAST(", 1) + " AS DECIMAL(28,6))) AS DOUBLE)" for k, e in ((k, e[:-1]) for k, e in sums.items())}
+    """Sums of whole ten-thousandths, so that no order of rows changes them."""
+    parts = {k: e[:-1].split("sum(", 1) for k, e in sums.items()}
+    return {k: f"{sign}CAST(sum(CAST(floor(({x})*10000 + 0.5) AS BIGINT)) AS DOUBLE)/10000" for k, (sign, x) in parts.items()}
 
 
 SUMS, BANK_SUMS = _exact(SUMS), _exact(BANK_SUMS)
