@@ -6,6 +6,7 @@ from .byte_bpe import op4_byte_bpe
 from .credentials import OP1_SQL, op1_secret_scan
 from .fingerprints import op2_document_fingerprints
 from .packing import op3_best_fit_packing
+from .pseudonyms import op7_feistel_pseudonyms
 from .quality import op6_quality_classifier
 from .simhash import op5_simhash_near_dedup
 from .token_files import op8_token_files
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
     "op8_token_files": op8_token_files,
     "op9_exact_topk": op9_exact_topk,
     "op10_url_filters": op10_url_filters,
