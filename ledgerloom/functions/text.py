@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import normalize_label
+from .scalars import bound, normalize_label
 
 # ---- fixed values ----
 STATEMENT_TITLES = [
@@ -146,13 +146,13 @@ def clean_text(text: Column) -> Column:
 
 def clean_sentence(text: Column, script: str = CYRILLIC, noise: list[str] = TABLE_NOISE) -> Column:
     """Whether a sentence reads as prose: 70 to 650 characters, 9 words, mostly of one script, few digits, no repeats."""
-    t = squeezed(text)
-    tokens = words(t)
-    digits = F.size(found(t, r"(?U)\b\d+\b"))
-    return (
-        F.length(t).between(70, 650) & (F.size(tokens) >= 9) & (share(tokens, script) >= 0.65) & (digits <= F.size(tokens) * 0.45)
-        & (F.coalesce(top_share(F.transform(tokens, F.lower)), F.lit(0.0)) <= 0.16) & ~holds_any(F.lower(t), noise)
-    )
+    def prose(t: Column) -> Column:
+        return F.length(t).between(70, 650) & ~holds_any(F.lower(t), noise) & bound(words(t), lambda tokens: (
+            (F.size(tokens) >= 9) & (share(tokens, script) >= 0.65) & (F.size(found(t, r"(?U)\b\d+\b")) <= F.size(tokens) * 0.45)
+            & (F.coalesce(top_share(F.transform(tokens, F.lower)), F.lit(0.0)) <= 0.16)
+        ))
+
+    return bound(squeezed(text), prose)
 
 
 def clean_kpi(name: Column, source: Column, confidence: Column, script: str = CYRILLIC, noise: list[str] = KPI_NOISE) -> Column:
