@@ -252,6 +252,30 @@ def test_near_copies(spark, odd):
     assert near_copies.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_near_copies_of_a_star(spark):
+    """Variants that are near copies of the base alone, and texts that only an exact join can settle."""
+    rng = random.Random(19)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 1001):
+        own = list(words)
+        for k in rng.sample(range(5, 390), 8):
+            own[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(own)))
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    near = [i for i in range(1, 1001) if alike(shingles[0], shingles[i]) >= 0.8]
+    assert len(near) > 900 and all(alike(shingles[a], shingles[b]) < 0.8 for a, b in zip(near[:-1:9], near[1::9]))
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and alike(shingles[a], shingles[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
 # -- op6 --
 def test_quality(spark, odd):
     data = "/root/testdata/sf0.1"
