@@ -3,9 +3,10 @@
 Host rules: (host, path, verdict) fits the host and its subdomains where the path
 begins with the rule's; the longest fitting rule decides. Other URLs go to the
 pattern rules. Each of those names the literal tokens (runs of letters and digits)
-that a URL must hold to match; the rule is filed under the one that is rarest in
-the table at hand. A URL's own tokens fetch candidates, and only these run their
-regular expressions. Any match blocks; without one the URL is allowed.
+that a URL must hold to match, without the digits that may follow them; the rule is
+filed under the one that is rarest in the table at hand. A URL's own tokens, as they
+are and without trailing digits, fetch candidates, and only these run their regular
+expressions. Any match blocks; without one the URL is allowed.
 
 Few rules travel as literals; more than INLINE are joined by host suffix or token
 (the table decides how). A verdict is worked out once for each distinct URL.
@@ -62,8 +63,9 @@ def suffixes(host: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """The distinct runs of ASCII letters and digits, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(url, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    """The distinct runs of ASCII letters and digits, lower-cased, and these without trailing digits."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(url, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_union(runs, F.filter(F.transform(runs, lambda t: F.regexp_replace(t, "[0-9]+$", "")), lambda t: t != ""))
 
 
 def token_counts(urls: DataFrame, rules: list = PATTERN_RULES) -> dict[str, int]:

@@ -327,6 +327,14 @@ def test_urls(spark):
         assert (got[None].host, got["no scheme"].path) == ("", "")
 
 
+def test_urls_with_numbered_hosts(spark):
+    urls = ["http://ads2.site.org/", "https://banner12.x.org/a", "http://ad7.x.org", "http://adserver3.x.org/", "http://ads2x.site.org/", "http://x.org/7/ads2"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for inline in (256, 1):
+        got = {r.url: r.verdict for r in url_rules.judge(df, inline=inline).collect()}
+        assert [got[u] for u in urls] == ["block", "block", "block", "block", "allow", "allow"]
+
+
 def test_words_of_bytes():
     rng = random.Random(6)
     texts = [bytes(rng.choice(b"ab \n") for _ in range(rng.randint(0, 20))) for _ in range(200)]
