@@ -206,12 +206,12 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status stream over the events file, run to its end; equals registry_latest."""
     import uuid
 
-    from ..streaming.ingest import latest_status
+    from ..streaming.ingest import latest_status, status_rows
 
     named = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
     name = f"status_{uuid.uuid4().hex[:12]}"
-    latest_status(spark, f"{sf_dir}/events.parquet*", name, f"{named}/{name}").awaitTermination()
-    return spark.table(name)
+    latest_status(spark, f"{sf_dir}/events.parquet*", f"{named}/{name}/rows", f"{named}/{name}/checkpoint").awaitTermination()
+    return status_rows(spark, f"{named}/{name}/rows")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -12,6 +12,7 @@ from ..operators.model import gated, merged_values
 
 CANDIDATES = "doc_id long, branch string, metric_key string, seq long, source_type string, confidence double, unit string, row_code string, yr int, val double"
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+STATUS = "doc_id long, status string, updated_at timestamp, n_events long"
 
 
 def ingest_statements(spark: SparkSession, source: str, target: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
@@ -28,14 +29,28 @@ def ingest_statements(spark: SparkSession, source: str, target: str, checkpoint:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_status(spark: SparkSession, source: str, name: str, checkpoint: str, watermark: str | None = None) -> StreamingQuery:
-    """The newest status of each document, updated with every batch of events, as an in-memory table.
+def latest_status(spark: SparkSession, source: str, target: str, checkpoint: str, watermark: str | None = None) -> StreamingQuery:
+    """The newest status of each document that a batch of events changed, one folder a batch; status_rows reads them.
 
-    State holds one row a document. With a watermark, events that late or later are left out.
+    A batch that is run again overwrites its own folder. State holds one row a document. With a watermark,
+    events that late or later are left out.
     """
     events = spark.readStream.schema(EVENTS).parquet(source)
     events = events.withWatermark("ts", watermark) if watermark else events
     newest = F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id"))
     state = events.groupBy(F.col("user_id").alias("doc_id")).agg(newest.alias("e"), F.count("*").alias("n_events"))
     rows = state.select("doc_id", F.col("e.event_type").alias("status"), F.col("e.ts").alias("updated_at"), "n_events")
-    return rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    # so that the folder can be read where no event came
+    write(spark.createDataFrame([], STATUS), -1)
+    return rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def status_rows(spark: SparkSession, target: str) -> DataFrame:
+    """The newest status of each document, from the folders that latest_status wrote."""
+    rows = spark.read.schema(f"{STATUS}, batch long").parquet(target)
+    newest = rows.groupBy("doc_id").agg(F.max_by(F.struct("status", "updated_at", "n_events"), "batch").alias("e"))
+    return newest.select("doc_id", "e.status", "e.updated_at", "e.n_events")
