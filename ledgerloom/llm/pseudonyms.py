@@ -5,7 +5,11 @@ security numbers, phone numbers, IPv4 addresses, dates of 1900 to 2099 and e-mai
 addresses. What fails its validation stays as it is. A value becomes a whole number
 in the range of its format, a Feistel network permutes that range (walking on while
 the result lies outside), and the result is written in the same format: separators,
-length and case stay, check digits are right again, dates are dates. The key and the
+length and case stay, check digits are right again, dates are dates. Phones are the
+North American form, with or without brackets, and any grouping behind + and a country
+code. Dates are year, day or month first (month first where day first is no date) with
+one or two digits, or have an English month's name; a date is permuted among those that
+its way of writing can hold, so it reads the same way afterwards. The key and the
 kind choose the permutation, not the document, so equal values get equal pseudonyms
 everywhere, whatever their separators; restore() inverts it with the same key.
 
@@ -18,6 +22,8 @@ from __future__ import annotations
 import datetime
 import hmac
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,14 +37,22 @@ KEY = b"public-demonstration-key"
 ROUNDS, CACHE = 8, 100_000
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+#: May is its whole name, so a short name never becomes it.
+_SHORT = {m[:3]: i for i, m in enumerate(_MONTHS, 1) if m != "may"}
+_NAMED = "|".join(f(m) for m in [*_MONTHS, *_SHORT] for f in (str.title, str.lower, str.upper))
 #: One alternative a kind, tried in this order at each place.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w))"
     r"|(?P<phone>(?:(?<![\w+])\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?|(?<!\w)\([0-9]{3}\) ?)"
     r"(?:[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{2}[ .-][0-9]{2}|[0-9]{2,4}[ .-][0-9]{3,4})(?!\w)(?!-[0-9])"
-    r"|(?<![\w+])\+(?:[0-9]{10,15}|[0-9]{1,3}[ .-][0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4})(?!\w)(?!-[0-9]))"
-    r"|(?P<date>(?<![\w.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<cut>[./])[0-9]{2}(?P=cut)(?:19|20)[0-9]{2})(?![\w-]|\.[0-9]))"
+    r"|(?<![\w+])\+(?:[0-9]{10,15}|[0-9]{1,3}[ .-][0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4})(?!\w)(?!-[0-9])"
+    r"|(?<![\w+])(?<![0-9][.-])(?:1[ .-])?[0-9]{3}(?P<sep>[ .-])[0-9]{3}(?P=sep)[0-9]{4}(?!\w)(?![.-][0-9])"
+    r"|(?<![\w+])\+[0-9]{1,3}(?P<sep2>[ .-])[0-9]{1,5}(?:(?P=sep2)[0-9]{2,8}){1,5}(?!\w)(?![.-][0-9]))"
+    rf"|(?P<date>(?<![\w.-])(?:(?:19|20)[0-9]{{2}}(?:(?P<cut>[.-])[0-9]{{1,2}}(?P=cut)[0-9]{{1,2}}|(?<!/....)/[0-9]{{1,2}}/[0-9]{{1,2}}(?!/))"
+    r"|[0-9]{1,2}(?P<cut2>[./-])[0-9]{1,2}(?P=cut2)(?:19|20)[0-9]{2}"
+    rf"|[0-9]{{1,2}} (?:{_NAMED})\.?,? (?:19|20)[0-9]{{2}}|(?:{_NAMED})\.? [0-9]{{1,2}},? (?:19|20)[0-9]{{2}})(?![\w-]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
     r"|(?P<card>(?<!\w)(?<![0-9]-)(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})(?!\w)(?!-[0-9]))"
@@ -97,14 +111,52 @@ def _mixed_radix(text: str, permute) -> str:
     return "".join(reversed(out))
 
 
-def _day(text: str) -> tuple[int, str] | None:
-    style = "%Y-%m-%d" if text[4] == "-" else f"%d{text[2]}%m{text[2]}%Y"
+@lru_cache(64)
+def _dates(months: tuple[int, ...], last_month: int, first_day: int, last_day: int) -> list[int]:
+    """Ordinals of the dates of 1900 to 2099 within these months and days."""
+    days = map(datetime.date.fromordinal, range(_FIRST_DAY, _FIRST_DAY + _DAYS))
+    return [d.toordinal() for d in days if d.month in months and d.month <= last_month and first_day <= d.day <= last_day]
+
+
+def _date(year: str, month: str, day: str) -> int | None:
     try:
-        return datetime.datetime.strptime(text, style).toordinal() - _FIRST_DAY, style
+        return datetime.date(int(year), int(month), int(day)).toordinal()
     except ValueError:
         return None
 
 
+def _day(text: str) -> tuple[int, list[int], Callable[[datetime.date], str]] | None:
+    """The date, the dates that are written in the same way, and the way."""
+    every, most = tuple(range(1, 13)), {1: 9, 2: 31}
+    parts = re.findall("[0-9]+", text)
+    if name := re.search("[A-Za-z]{3,}", text):
+        word = name[0].lower()
+        names = _MONTHS if word in _MONTHS else list(_SHORT)
+        month = names.index(word) + 1 if names is _MONTHS else _SHORT[word]
+        day, year = parts
+        case = str.upper if name[0].isupper() else str.lower if name[0].islower() else str.title
+        write = lambda d: case(_MONTHS[d.month - 1] if names is _MONTHS else _MONTHS[d.month - 1][:3])
+        months = every if names is _MONTHS else tuple(_SHORT.values())
+        before, after = text[: name.start()], text[name.end() :]
+        renew = lambda t, d: re.sub("[0-9]+", lambda m: f"{d.year}" if len(m[0]) == 4 else f"{d.day:0{len(day)}d}", t)
+        found = _date(year, str(month), day)
+        dates = _dates(months, 12, 1, most[len(day)])
+        return None if found is None else (found, dates, lambda d: renew(before, d) + write(d) + renew(after, d))
+    cut = re.search("[^0-9]", text)[0]
+    order = "ymd" if len(parts[0]) == 4 else "dmy"
+    found = _date(*(parts[order.index(c)] for c in "ymd"))
+    low = 1
+    if found is None and order == "dmy":
+        # the second number is above 12, and stays so
+        order, low = "mdy", 13
+        found = _date(*(parts[order.index(c)] for c in "ymd"))
+    if found is None:
+        return None
+    width = dict(zip(order, map(len, parts)))
+    dates = _dates(every, most[width["m"]], low, most[width["d"]])
+    return found, dates, lambda d: cut.join(f"{ {'y': d.year, 'm': d.month, 'd': d.day}[c]:0{width[c]}d}" for c in order)
+
+
 def _iban_check(country: str, body: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
 
@@ -118,7 +170,7 @@ def valid(kind: str, text: str) -> bool:
     if kind == "ssn":
         return plain[:3] not in ("000", "666") and plain[0] != "9" and plain[3:5] != "00" and plain[5:] != "0000"
     if kind == "phone":
-        return 10 <= len(plain) <= 15
+        return (8 if text[0] == "+" else 10) <= len(plain) <= 15
     if kind == "ip":
         return all(int(x) < 256 and (x == "0" or x[0] != "0") for x in text.split("."))
     return _day(text) is not None if kind == "date" else True
@@ -142,15 +194,15 @@ def pseudonym(kind: str, text: str, cipher: Feistel, back: bool = False) -> str:
         area, group = divmod(value, 99)
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
-        code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
-        keep = len(code[0]) - 1 if code else 0
+        code = re.match(r"\+?((?<=\+)[0-9]{1,3}|1)(?=[ .(-])", text)
+        keep = len(code[1]) if code else 0
         return _refill(text, plain[:keep] + f"{permute(int(plain[keep:]), 10 ** (len(plain) - keep)):0{len(plain) - keep}d}")
     if kind == "ip":
         value = permute(int.from_bytes(bytes(map(int, text.split("."))), "big"), 1 << 32)
         return ".".join(map(str, value.to_bytes(4, "big")))
     if kind == "date":
-        day, style = _day(text)
-        return datetime.date.fromordinal(_FIRST_DAY + permute(day, _DAYS)).strftime(style)
+        day, dates, write = _day(text)
+        return write(datetime.date.fromordinal(dates[permute(bisect_left(dates, day), len(dates))]))
     name, host = text.rsplit("@", 1)
     letters = re.sub("[^A-Za-z0-9]", "", name)
     return (_refill(name, _mixed_radix(letters, permute)) if letters else name) + "@" + host

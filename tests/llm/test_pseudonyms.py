@@ -59,3 +59,23 @@ def test_query_and_odd_rows(spark, data):
     found = P.find(odd)
     assert sorted(r.text for r in found.collect()) == sorted(["", "", scan(TEXT)[0], scan(TEXT)[0], "9" * 100000])
     assert sorted(r.text for r in P.restore(found).collect()) == sorted(["", "", TEXT, TEXT, "9" * 100000]) and P.find(odd.limit(0)).count() == 0
+
+
+def test_phones_and_dates_of_other_forms():
+    scan, back = P._replacer(P.KEY), P._replacer(P.KEY, back=True)
+    phones = ["555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 901820", "+65 6123 4567", "+353-1-234-5678"]
+    dates = ["12/31/1999", "3/5/1985", "3/25/1985", "13/5/1985", "2020/03/15", "2020.3.5", "2020-3-5", "31-12-1999", "3.5.1985", "5 March 1985", "March 5, 1985", "Mar 15, 1985", "15 MAY 2001", "12 sep 1999"]
+    for kind, values in (("phone", phones), ("date", dates)):
+        for value in values:
+            text = f"It is {value}, or {value}."
+            new, spans = scan(text)
+            assert [k for _, _, k in spans] == [kind] * 2 and value not in new, value
+            assert [text[a:b] for a, b, _ in spans] == [value] * 2
+            assert back(new)[0] == text and re.sub(r"\d|[A-Za-z]+", "9", new) == re.sub(r"\d|[A-Za-z]+", "9", text), (value, new)
+    rng = random.Random(5)
+    for _ in range(2000):
+        y, m, d, c = rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 31), rng.choice("./-")
+        value = rng.choice([f"{m}{c}{d}{c}{y}", f"{d}{c}{m}{c}{y}", f"{m:02d}{c}{d:02d}{c}{y}", f"{y}{c}{m}{c}{d}", f"{d:02d}{c}{m}{c}{y}"])
+        assert back(scan(value)[0])[0] == value
+    for text in ("0/5/1985", "31/31/1999", "2020/13/45", "30 February 1999", "http://x.org/a/2020/03/15/b", "555-123-45678", "+1 23"):
+        assert scan(text) == (text, []), text
