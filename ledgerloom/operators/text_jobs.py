@@ -54,7 +54,7 @@ def first_category(text: Column, rules: list, default: str | None = None) -> Col
 
 def document_class(text: Column) -> Column:
     """One of six classes, by ordered rules over titles, statement codes and keywords."""
-    full, intro = normalize_label(F.substring(text, 1, 250000)), normalize_label(F.substring(text, 1, 15000))
+    full, intro = normalize_label(text), normalize_label(F.substring(text, 1, 15000))
     says, opens = full.contains, intro.contains
     governed = says("корпоративное управление") & says("устойчивое развитие")
     balance = says("бухгалтерский баланс") | says("statement of financial position")

@@ -121,3 +121,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_class_by_a_late_keyword(spark):
+    from ledgerloom.operators.text_jobs import document_class
+
+    late = "some words " * 25000 + "investor presentation"
+    rows = spark.createDataFrame([(late,), ("some words",)], "text string")
+    assert [r[0] for r in rows.select(document_class(rows.text)).collect()] == ["investor_presentation", "corporate_document"]
