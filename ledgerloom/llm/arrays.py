@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled together; a longer text is handled alone.
 SLAB = 1 << 20
@@ -34,6 +36,18 @@ def slabs(texts: list[bytes]) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: int, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most so many rows and about SLAB bytes in a column of texts."""
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = total[begin - 1] if begin else 0
+            stop = max(begin + 1, min(begin + rows, int(np.searchsorted(total, before + SLAB, "right"))))
+            yield batch.slice(begin, stop - begin)
+            begin = stop
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     kept = _powers.get(name)
     if kept is None or len(kept) < n:
@@ -82,7 +96,7 @@ class Words:
         text = np.repeat(np.arange(len(counts)), counts)
         left = np.repeat(self.first[1:], counts) - np.arange(n)  # words from here to the text's end
         value = np.zeros(n, np.uint64)
-        for k in range(size):
+        for k in range(min(size, n)):
             factor = np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
             inside = left[: n - k] > k
             value[: n - k] += np.where(inside, self.hashes[k:] * factor, np.uint64(0))

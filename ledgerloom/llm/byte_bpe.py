@@ -6,7 +6,8 @@ matters). A class is a transition function over the kinds of pre-token that may
 be open; such functions compose associatively, so a blocked prefix scan gives the
 open kind at every code point of a batch, and with it every boundary. The slices
 between boundaries go through a cache to the merges. encode() keeps the offset of
-every slice and its number of tokens, so decode() can also return any part.
+every slice and its number of tokens; decode() spells slice by slice by them, and can
+so return any part of a text.
 
 A null text counts as empty (no ids). Rows are handled one by one, so nulls,
 repeated rows, ties and empty tables need no rule of their own; other columns are
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import portions
 from .common import documents, whole_text
 
 #: Slices kept in a Python worker, code points scanned together, ids decoded together.
@@ -244,60 +246,98 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind.to_pandas_dtype())))
 
 
-def encode(docs: DataFrame, vocabulary: str, offsets: bool = True) -> DataFrame:
-    """doc_id, ids, and with offsets: starts (code point at which each slice begins), counts (its tokens)."""
+def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, ids, starts (code point at which each slice begins) and counts (its tokens)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1, 2000):
             done = 0
             for found in encode_texts(batch.column(1).to_pylist(), vocabulary):
-                columns = {"doc_id": batch.column(0).slice(done, len(found)), "ids": _lists([np.frombuffer(x[0], "<u4") for x in found], pa.int32())}
-                if offsets:
-                    columns["starts"] = _lists([x[1] for x in found], pa.int32())
-                    columns["counts"] = _lists([x[2] for x in found], pa.int32())
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column(0).slice(done, len(found)),
+                    "ids": _lists([np.frombuffer(x[0], "<u4") for x in found], pa.int32()),
+                    "starts": _lists([x[1] for x in found], pa.int32()),
+                    "counts": _lists([x[2] for x in found], pa.int32()),
+                })
                 done += len(found)
 
-    schema = "doc_id long, ids array<int>" + ", starts array<int>, counts array<int>" * offsets
+    schema = "doc_id long, ids array<int>, starts array<int>, counts array<int>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids, decoded (the bytes that the ids spell), packed (the ids as little-endian 32-bit integers)."""
+class Spelled(dict):
+    """Bytes of a slice's ids -> bytes that they spell."""
 
-    def run(batches):
-        spell = _spelling(vocabulary).__getitem__
-        for batch in batches:
-            column, begin = batch.column(1), 0
-            bounds, values = np.asarray(column.offsets), np.asarray(column.values).astype("<u4", copy=False)
-            while begin < len(column):
-                stop = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + DECODED, "right")) - 1)
-                parts = [values[a:b] for a, b in zip(bounds[begin:stop], bounds[begin + 1 : stop + 1], strict=True)]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(begin, stop - begin),
-                    "ids": column.slice(begin, stop - begin),
-                    "decoded": pa.array([b"".join(map(spell, x.tolist())) for x in parts], pa.binary()),
-                    "packed": pa.array([x.tobytes() for x in parts], pa.binary()),
-                })
-                begin = stop
+    def __init__(self, vocabulary: str):
+        self.words = _spelling(vocabulary)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary, packed binary")
+    def __missing__(self, ids: bytes) -> bytes:
+        spelled = b"".join([self.words[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        if len(ids) <= 256:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[ids] = spelled
+        return spelled
 
 
-def decode_slices(ids: list[int], counts: list[int], begin: int, stop: int, vocabulary: str) -> bytes:
-    """The bytes of slices begin..stop of one encoded text, without spelling the rest."""
-    before = sum(counts[:begin])
-    return b"".join(_spelling(vocabulary)[i] for i in ids[before : before + sum(counts[begin:stop])])
+def _spelled(vocabulary: str) -> Spelled:
+    if ("slices", vocabulary) not in _loaded:
+        _loaded["slices", vocabulary] = Spelled(vocabulary)
+    return _loaded["slices", vocabulary]
 
 
+def decode_slices(ids: np.ndarray, counts: np.ndarray, vocabulary: str) -> bytes:
+    """What ids spell, a slice of counts[i] ids at a time, each looked up whole."""
+    data, cuts = ids.astype("<u4", copy=False).tobytes(), (np.cumsum(counts, dtype=np.int64) * 4).tolist()
+    return b"".join(map(_spelled(vocabulary).__getitem__, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+
+
+def decode(encoded: DataFrame, vocabulary: str, begin: int = 0, stop: int | None = None) -> DataFrame:
+    """doc_id, ids, decoded (bytes that the slices spell), packed (the ids as little-endian 32-bit integers).
+
+    Slices are found by the offsets that encode() kept: with begin and stop, ids and decoded are
+    those of the slices that begin at these code points or between them, and nothing else is spelled.
+    """
+
+    def run(batches):
+        for batch in batches:
+            bounds, values = ([np.asarray(batch.column(c).offsets) for c in (1, 2, 3)], [np.asarray(batch.column(c).values) for c in (1, 2, 3)])
+            ids, decoded = [], []
+            for row in range(batch.num_rows):
+                own, starts, counts = (v[b[row] : b[row + 1]] for b, v in zip(bounds, values, strict=True))
+                first, last = np.searchsorted(starts, [begin, stop]) if stop is not None else (np.searchsorted(starts, begin), len(starts))
+                if first or last < len(starts):
+                    skipped = int(counts[:first].sum())
+                    counts = counts[first:last]
+                    own = own[skipped : skipped + int(counts.sum())]
+                ids.append(own)
+                decoded.append(decode_slices(own, counts, vocabulary))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "ids": _lists(ids, pa.int32()), "decoded": pa.array(decoded, pa.binary()),
+                "packed": pa.array([x.astype("<u4", copy=False).tobytes() for x in ids], pa.binary()),
+            })
+
+    def small(batches):
+        return run(piece for batch in batches for piece in _by_ids(batch))
+
+    return encoded.select("doc_id", "ids", "starts", "counts").mapInArrow(small, "doc_id long, ids array<int>, decoded binary, packed binary")
+
+
+def _by_ids(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch with about DECODED ids each."""
+    bounds, begin = np.asarray(batch.column(1).offsets), 0
+    while begin < batch.num_rows:
+        stop = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + DECODED, "right")) - 1)
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to, for every document."""
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(documents(spark, sf_dir), vocabulary, offsets=False)
-    return decode(encoded, vocabulary).select(
+    return decode(encode(documents(spark, sf_dir), vocabulary), vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("packed", 256).alias("ids_sha256"),
