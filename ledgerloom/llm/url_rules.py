@@ -2,17 +2,21 @@
 
 Host rules: (host, path, verdict) fits the host and its subdomains where the path
 begins with the rule's; the longest fitting rule decides. Other URLs go to the
-pattern rules. Each of those names the literal tokens (runs of letters and digits)
-that a URL must hold to match, without the digits that may follow them; the rule is
-filed under the one that is rarest in the table at hand. A URL's own tokens, as they
-are and without trailing digits, fetch candidates, and only these run their regular
+pattern rules. Each of those has one or more sets of literal tokens (runs of letters
+and digits, without the digits that may follow them): a URL that matches holds all of
+one of the sets. The rule is filed once for each set, under the token of it that is
+rarest in the table at hand. A URL's own tokens, as they are and without trailing
+digits, fetch candidates from that index, and only these run their regular
 expressions. Any match blocks; without one the URL is allowed.
 
-Few rules travel as literals; more than INLINE are joined by host suffix or token
-(the table decides how). A verdict is worked out once for each distinct URL.
+judge() takes the rules as lists, which travel as a map from token to patterns: it reads
+the URLs once for the counts and once to judge them, and shuffles only the counts.
+judge_by_tables() takes them as tables of any size and joins them.
+
 Host and path are empty for a null URL or one without "://", which fits no rule
-and is allowed. Repeated rows all return; an empty table gives none; no other
-columns are kept.
+and is allowed. Of rules of equal length the greater by text decides. Repeated rows all
+return; an empty table gives none; a very long URL is judged whole; no other columns
+are kept.
 """
 
 from __future__ import annotations
@@ -20,8 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rules up to this number are literals in the plan.
-INLINE = 256
+_BEST = "struct<size:int,rule:string,verdict:string>"
 #: (host, path, verdict): the rules of the query.
 HOST_RULES = [
     ("com", "/", "allow"),
@@ -30,18 +33,18 @@ HOST_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: (pattern, its literal tokens): advertising, tracking, sign-in and file links.
+#: (pattern, sets of literal tokens): advertising, tracking, sign-in and file links.
 PATTERN_RULES = [
-    (r"://(ads?|adserver|banner)\d*\.", ["ads", "ad", "adserver", "banner"]),
-    (r"/(ads?|banners?|sponsored)/", ["ads", "ad", "banner", "banners", "sponsored"]),
-    (r"[?&]utm_(source|medium|campaign)=", ["utm"]),
-    (r"[?&](gclid|fbclid)=", ["gclid", "fbclid"]),
-    (r"://(tracker|tracking|pixel)\.", ["tracker", "tracking", "pixel"]),
-    (r"/(login|signin|logout)(\.|/|\?|$)", ["login", "signin", "logout"]),
-    (r"/(cart|checkout)(/|\?|$)", ["cart", "checkout"]),
-    (r"\.(exe|zip|apk|iso)(\?|$)", ["exe", "zip", "apk", "iso"]),
-    (r"[?&](session|sessionid|sid)=", ["session", "sessionid", "sid"]),
-    (r"/wp-(admin|login)", ["wp"]),
+    (r"://(ads?|adserver|banner)\d*\.", [["ads"], ["ad"], ["adserver"], ["banner"]]),
+    (r"/(ads?|banners?|sponsored)/", [["ads"], ["ad"], ["banner"], ["banners"], ["sponsored"]]),
+    (r"[?&]utm_(source|medium|campaign)=", [["utm", "source"], ["utm", "medium"], ["utm", "campaign"]]),
+    (r"[?&](gclid|fbclid)=", [["gclid"], ["fbclid"]]),
+    (r"://(tracker|tracking|pixel)\.", [["tracker"], ["tracking"], ["pixel"]]),
+    (r"/(login|signin|logout)(\.|/|\?|$)", [["login"], ["signin"], ["logout"]]),
+    (r"/(cart|checkout)(/|\?|$)", [["cart"], ["checkout"]]),
+    (r"\.(exe|zip|apk|iso)(\?|$)", [["exe"], ["zip"], ["apk"], ["iso"]]),
+    (r"[?&](session|sessionid|sid)=", [["session"], ["sessionid"], ["sid"]]),
+    (r"/wp-(admin|login)", [["wp"]]),
 ]
 
 
@@ -70,15 +73,20 @@ def tokens(url: Column) -> Column:
 
 def token_counts(urls: DataFrame, rules: list = PATTERN_RULES) -> dict[str, int]:
     """How many URLs hold each token that a rule names; one row a named token."""
-    named = sorted({t for _, words in rules for t in words})
+    named = sorted({t for _, required in rules for words in required for t in words})
     held = urls.select(F.explode(F.array_intersect(tokens(F.col("url")), F.array(*map(F.lit, named)))).alias("token"))
     return {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
 
 
-def index_rules(rules: list, counts: dict[str, int]) -> list[tuple[str, str]]:
-    """(token, pattern): each alternative token of a rule; rules with tokens in common are tried rarest first."""
-    filed = [(t, pattern) for pattern, words in rules for t in words]
-    return sorted(filed, key=lambda x: (counts.get(x[0], 0), x))
+def index_rules(rules: list, counts: dict[str, int]) -> dict[str, list[str]]:
+    """Token -> patterns: each rule under the rarest token of each of its sets, the least by text of equally rare ones."""
+    filed: dict[str, list[str]] = {}
+    for pattern, required in rules:
+        for words in required:
+            rarest = min(words, key=lambda t: (counts.get(t, 0), t))
+            if pattern not in filed.setdefault(rarest, []):
+                filed[rarest].append(pattern)
+    return filed
 
 
 def _longest(rules: list, host: Column, path: Column) -> Column:
@@ -90,46 +98,51 @@ def _longest(rules: list, host: Column, path: Column) -> Column:
         (F.length(r["host"]) + F.length(r["path"])).alias("size"), F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict"))))
 
 
-def _listed(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def judge(urls: DataFrame, host_rules: list = HOST_RULES, pattern_rules: list = PATTERN_RULES, inline: int = INLINE) -> DataFrame:
-    """Adds host, path, rule and verdict to every distinct value of urls.url."""
-    spark = urls.sparkSession
-    distinct = urls.select("url").distinct()
-    filed = index_rules(pattern_rules, token_counts(distinct, pattern_rules))
-    found = distinct.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens"))
-    if len(host_rules) <= inline:
-        best = F.when(F.col("host") != "", _longest(host_rules, F.col("host"), F.col("path"))) if host_rules else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
-        found = found.withColumn("best", best)
-    else:
-        table = _listed(spark, host_rules, "name string, prefix string, verdict string")
-        fit = found.select("url", "path", F.explode(suffixes(F.col("host"))).alias("name")).join(table, "name")
-        fit = fit.where(F.col("path").startswith(F.col("prefix")) & (F.col("name") != ""))
-        size = F.length("name") + F.length("prefix")
-        fit = fit.groupBy("url").agg(F.max(F.struct(size.alias("size"), F.concat("name", "prefix").alias("rule"), "verdict")).alias("best"))
-        found = found.join(fit, "url", "left")
-    if len(filed) <= inline:
-        table = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(p).alias("pattern")) for t, p in filed]) if filed else F.array().cast("array<struct<token:string,pattern:string>>")
-        asked = F.filter(table, lambda r: F.array_contains(F.col("tokens"), r["token"]))
-        hit = F.exists(asked, lambda r: F.rlike(F.col("url"), r["pattern"]))
-        found = found.withColumn("hit", F.col("best").isNull() & F.coalesce(hit, F.lit(False)))
-    else:
-        table = _listed(spark, filed, "token string, pattern string")
-        asked = found.where("best is null").select("url", F.explode("tokens").alias("token")).join(table, "token")
-        hits = asked.where("url rlike pattern").select("url").distinct().withColumn("hit", F.lit(True))
-        found = found.join(hits, "url", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    verdict = F.coalesce("best.verdict", F.when(F.col("hit"), "block").otherwise("allow"))
-    return found.select("url", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+def _verdict(best: Column, hit: Column) -> list[Column]:
+    return [best["rule"].alias("rule"), F.coalesce(best["verdict"], F.when(hit, "block").otherwise("allow")).alias("verdict")]
+
+
+def judge(urls: DataFrame, host_rules: list = HOST_RULES, pattern_rules: list = PATTERN_RULES) -> DataFrame:
+    """page_id, url, host, path, rule and verdict of every row of urls (page_id, url)."""
+    urls = urls.select("page_id", "url")
+    filed = index_rules(pattern_rules, token_counts(urls, pattern_rules))
+    found = urls.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    best = F.when(F.col("host") != "", _longest(host_rules, F.col("host"), F.col("path"))) if host_rules else F.lit(None).cast(_BEST)
+    hit = F.lit(False)
+    if filed:
+        index = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for entry in sorted(filed.items()) for x in entry))
+        fetched = F.array_intersect(tokens(F.col("url")), F.array(*map(F.lit, sorted(filed))))
+        candidates = F.flatten(F.transform(fetched, lambda t: F.element_at(index, t)))
+        hit = F.coalesce(F.exists(candidates, lambda p: F.rlike(F.col("url"), p)), F.lit(False))
+    found = found.withColumn("best", best)
+    return found.select("page_id", "url", "host", "path", *_verdict(F.col("best"), hit))
+
+
+def judge_by_tables(urls: DataFrame, hosts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Like judge(), with rules of any number: hosts (host, path, verdict), patterns (pattern, required tokens)."""
+    urls = urls.select("page_id", "url")
+    distinct = urls.where("url is not null").select("url").distinct()
+    held = distinct.select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    sets = patterns.select("pattern", F.array_sort("required").alias("required")).distinct()
+    named = sets.select(F.explode("required").alias("token")).distinct()
+    counts = held.join(named, "token").groupBy("token").count()
+    filed = sets.select("pattern", "required", F.explode("required").alias("token")).join(counts, "token", "left")
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token"))["token"]
+    filed = filed.groupBy("pattern", "required").agg(rarest.alias("token")).select("token", "pattern").distinct()
+    hits = held.join(filed, "token").where("url rlike pattern").select("url").distinct().withColumn("hit", F.lit(True))
+    places = distinct.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    fit = places.where("host <> ''").select("url", F.col("path").alias("own"), F.explode(suffixes(F.col("host"))).alias("host")).join(hosts, "host")
+    fit = fit.where(F.col("own").startswith(F.col("path")))
+    size = (F.length("host") + F.length("path")).alias("size")
+    fit = fit.groupBy("url").agg(F.max(F.struct(size, F.concat("host", "path").alias("rule"), "verdict")).alias("best"))
+    known = fit.join(hits, "url", "full")
+    found = urls.join(known, "url", "left").select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return found.select("page_id", "url", "host", "path", *_verdict(F.col("best"), F.coalesce("hit", F.lit(False))))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    judged = judge(pages)
-    joined = pages.withColumnRenamed("url", "own").join(judged, F.col("own").eqNullSafe(F.col("url")))
-    return joined.select("page_id", "host", "path", "rule", "verdict")
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
 
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in HOST_RULES)
