@@ -11,7 +11,9 @@ code. Dates are year, day or month first (month first where day first is no date
 one or two digits, or have an English month's name; a date is permuted among those that
 its way of writing can hold, so it reads the same way afterwards. The key and the
 kind choose the permutation, not the document, so equal values get equal pseudonyms
-everywhere, whatever their separators; restore() inverts it with the same key.
+everywhere, whatever their separators and, in e-mail names, their case; restore() inverts
+it with the same key. A phone's country code stays, as the digits behind + tell it; a number
+without one is linked to the same number behind +1.
 
 A null text counts as empty. Rows are handled one by one, so nulls, repeated rows and
 an empty table need no rule of their own; other columns are left out.
@@ -157,6 +159,18 @@ def _day(text: str) -> tuple[int, list[int], Callable[[datetime.date], str]] | N
     return found, dates, lambda d: cut.join(f"{ {'y': d.year, 'm': d.month, 'd': d.day}[c]:0{width[c]}d}" for c in order)
 
 
+#: Country codes of one and of two digits; all others have three (fixed values).
+_CODES = ["1", "7", "20", "27", *map(str, range(30, 35)), "36", "39", "40", "41", *map(str, range(43, 50)), *map(str, range(51, 59)),
+          *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98"]
+
+
+def _country_code(plain: str, international: bool) -> int:
+    """Digits of the country code, told by the digits alone, so that separators don't matter."""
+    if not international:
+        return int(len(plain) == 11 and plain[0] == "1")
+    return next((n for n in (1, 2) if plain[:n] in _CODES), 3)
+
+
 def _iban_check(country: str, body: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
 
@@ -194,8 +208,7 @@ def pseudonym(kind: str, text: str, cipher: Feistel, back: bool = False) -> str:
         area, group = divmod(value, 99)
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
-        code = re.match(r"\+?((?<=\+)[0-9]{1,3}|1)(?=[ .(-])", text)
-        keep = len(code[1]) if code else 0
+        keep = _country_code(plain, text[0] == "+")
         return _refill(text, plain[:keep] + f"{permute(int(plain[keep:]), 10 ** (len(plain) - keep)):0{len(plain) - keep}d}")
     if kind == "ip":
         value = permute(int.from_bytes(bytes(map(int, text.split("."))), "big"), 1 << 32)
@@ -205,7 +218,9 @@ def pseudonym(kind: str, text: str, cipher: Feistel, back: bool = False) -> str:
         return write(datetime.date.fromordinal(dates[permute(bisect_left(dates, day), len(dates))]))
     name, host = text.rsplit("@", 1)
     letters = re.sub("[^A-Za-z0-9]", "", name)
-    return (_refill(name, _mixed_radix(letters, permute)) if letters else name) + "@" + host
+    # the case is not part of the value; each letter takes that of its place
+    new = "".join(n.upper() if c.isupper() else n for n, c in zip(_mixed_radix(letters.lower(), permute), letters, strict=True)) if letters else ""
+    return _refill(name, new) + "@" + host
 
 
 def _replacer(key: bytes, back: bool = False):
