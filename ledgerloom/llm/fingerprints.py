@@ -29,7 +29,7 @@ from .common import documents, whole_text
 
 BINS, BITS, SHINGLE = 256, 8, 5
 #: Rows that are put in order together, and at most how many such ranges.
-RANGE_ROWS, MOST_RANGES = 1024, 4096
+RANGE_ROWS, MOST_RANGES = 1024, 1 << 16
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _orders: dict[int, np.ndarray] = {}
 
@@ -102,6 +102,20 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS, shingle: in
     return rows.mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _above(cuts: list[int], value):
+    """How many of cuts, which descend, are above value: a binary search."""
+    if not cuts:
+        return F.lit(0)
+    table = F.lit(cuts).cast("array<long>")
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+
+    def step(at, width):
+        further = F.coalesce(F.get(table, at + width - 1) > value, F.lit(False))
+        return at + F.when(further, width).otherwise(F.lit(0))
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
 def next_document(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: of the document that follows by descending doc_id (after the last: the first).
 
@@ -112,24 +126,23 @@ def next_document(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     n = docs.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 20 * ranges)).first()[0] if shares else None
+    shares = np.arange(1, ranges) / ranges
+    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares.tolist())), 20 * ranges)).first()[0] if ranges > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)
-    bucket = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c > F.col("doc_id"))), F.lit(len(cuts)))
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(bucket)
-    # one row a range
-    firsts = rows.select(bucket.alias("b"), "doc_id").groupBy("b").agg(F.max("doc_id")).orderBy("b").collect()
-    if not firsts:
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(_above(cuts, F.col("doc_id")))
+    # one row a range: its largest id
+    heads = {r["b"]: r["head"] for r in rows.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("head")).collect()}
+    if not heads:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
-    heads = {b: first for b, first in firsts}
-    pairs = [F.struct(F.lit(first).cast("long").alias("head"), F.lit(before[b]).alias("to")) for b, first in heads.items()]
-    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("visits"))
-    also = F.transform(
-        F.filter(F.array(*pairs), lambda p: p["head"].eqNullSafe(F.col("doc_id"))),
-        lambda p: F.struct(p["to"].alias("bucket"), F.lit(True).alias("visits")),
-    )
-    dealt = rows.select("doc_id", "text", F.explode(F.concat(F.array(own), also)).alias("at"))
+    filled = sorted(heads)
+    before = {b: filled[i - 1] for i, b in enumerate(filled)}
+    # by bucket: its head, and the range before it, where the head goes too
+    head = F.lit([heads.get(b) for b in range(len(cuts) + 1)]).cast("array<long>")
+    to = F.lit([before.get(b, 0) for b in range(len(cuts) + 1)]).cast("array<int>")
+    own = F.struct(F.col("b").alias("bucket"), F.lit(False).alias("visits"))
+    also = F.struct(F.get(to, F.col("b")).alias("bucket"), F.lit(True).alias("visits"))
+    places = F.when(F.get(head, F.col("b")).eqNullSafe(F.col("doc_id")), F.array(own, also)).otherwise(F.array(own))
+    dealt = rows.select("doc_id", "text", bucket.cast("int").alias("b")).select("doc_id", "text", F.explode(places).alias("at"))
     dealt = dealt.select("doc_id", "text", "at.bucket", "at.visits")
     order = Window.partitionBy("bucket").orderBy("visits", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("not visits").select("doc_id", "text", "next_text")
