@@ -64,6 +64,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -
         .option("parquet.enable.dictionary", "true")
         .option("parquet.enable.dictionary#local_start", "false")
         .option("parquet.enable.dictionary#doc_id", "false")
+        .option("parquet.enable.dictionary#n_tokens", "false")
         .option("compression", "zstd")
         .parquet(f"{path}/data")
     )
