@@ -2,9 +2,12 @@
 
 Distinct fingerprints form a binary trie. The join walks pairs of nodes together
 from the root, adds up the bits in which the two paths differ, and drops a pair
-once that exceeds the budget. The upper levels are dealt out by Spark: each pair
-of prefixes within the budget is a task of its own (PREFIX bits; more when nodes
-would hold over NODE fingerprints), the rest of the walk runs on sorted arrays.
+once that exceeds the budget. Two fingerprints within a budget of b bits agree on
+one of b + 1 stretches of their bits, whole; so there is a trie for each stretch,
+of the fingerprints turned until it comes first, and on its levels only nodes that
+agree meet. Spark deals the nodes of the upper levels out: as many levels as keep
+NODE fingerprints or fewer in a node. A node that holds more, as the data are
+skewed, is dealt out below its stretch too, as pairs of nodes within the budget.
 A task returns links that span its groups, not all pairs. Spark then joins the
 groups across tasks, by rounds of star contraction over written tables.
 
@@ -25,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text, written
+from .common import documents, lasting, scratch, whole_text, written
 
 WIDTH, SHINGLE, SEED, BUDGET = 64, 3, 42, 3
 PREFIX, NODE = 6, 1 << 18
+#: Bits below its stretch over which a larger node is dealt out, at least.
+DEEPER = 4
 #: Node pairs walked together, and leaves compared at once below a pair.
 FRONTIER, LEAVES = 1 << 19, 32
 
@@ -76,10 +81,13 @@ class Groups:
                 self.name = upper
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(
+    a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget: int = BUDGET, alike: int = 0
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the sorted arrays a and b (None: a with itself) that differ in at most budget bits.
 
-    All of a share their first depth bits, and so do all of b; these differ in spent bits.
+    All of a share their first depth bits, and so do all of b; these differ in spent bits. Of a
+    with itself, pairs that differ in their first alike bits need not be found.
     """
     own = b is None
     b = a if own else b
@@ -121,8 +129,9 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, bud
         a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
         am, bm = split(0, a0, a1, level), split(not own, b0, b1, level)
         same = (a0 == b0) & own
-        children = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1)]
-        children.append(tuple(x[~same] for x in (am, a1, b0, bm, err + 1)))
+        children = [(a0, am, b0, bm, err), (am, a1, bm, b1, err)]
+        if level >= alike:
+            children += [(a0, am, bm, b1, err + 1), tuple(x[~same] for x in (am, a1, b0, bm, err + 1))]
         merged = [np.concatenate(x) for x in zip(*children, strict=True)]
         keep = (merged[0] < merged[1]) & (merged[2] < merged[3]) & (merged[4] <= budget)
         stack.append((level + 1, *(x[keep] for x in merged)))
@@ -132,64 +141,103 @@ def _masks(bits: int, budget: int) -> list[int]:
     return [m for m in range(1 << bits) if m.bit_count() <= budget]
 
 
-def _walker(bits: int, budget: int):
+def _turned(values: np.ndarray, by: int) -> np.ndarray:
+    return values << np.uint64(by) | values >> np.uint64(WIDTH - by) if by else values
+
+
+def _walker(budget: int, stretch: int):
     def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        values, mask = frame["fp"].to_numpy().view(np.uint64), int(key[1])
+        _, turn, depth, _, mask = map(int, key)
+        values = np.sort(_turned(frame["fp"].to_numpy().view(np.uint64), turn * stretch))
         if mask:
-            high = frame["high"].to_numpy()
-            a, b = np.sort(values[~high]), np.sort(values[high])
+            # nodes below the stretch that differ in the mask's bits
+            own = values >> np.uint64(WIDTH - depth) & np.uint64((1 << depth - stretch) - 1)
+            high = own > own ^ np.uint64(mask)
+            a, b = values[~high], values[high]
         else:
-            a, b = np.sort(values), None
+            a, b = values, None
         items = a if b is None else np.concatenate([a, b])
         groups = Groups(len(items))
-        for i, j in close_pairs(a, b, bits, mask.bit_count(), budget):
+        for i, j in close_pairs(a, b, depth, mask.bit_count(), budget, stretch):
             groups.link(i, j if b is None else j + len(a))
         linked = np.flatnonzero(groups.name != np.arange(len(items)))
-        return pd.DataFrame({"u": items[linked].view(np.int64), "v": items[groups.name[linked]].view(np.int64)})
+        back = _turned(items, (WIDTH - turn * stretch) % WIDTH).view(np.int64)
+        return pd.DataFrame({"u": back[linked], "v": back[groups.name[linked]]})
 
     return walk
 
 
-def prefix_pairs(distinct: DataFrame, budget: int) -> tuple[DataFrame, int]:
-    """(fp, node, mask, high) and the number of prefix bits: each fingerprint in every pair of prefixes it may link in."""
-    bits = max(PREFIX, math.ceil(math.log2(max(1, distinct.count()) / NODE)))
-    prefix = F.shiftrightunsigned("fp", WIDTH - bits)
-    dealt = distinct.select("fp", prefix.alias("p"), F.explode(F.array(*map(F.lit, _masks(bits, budget)))).alias("mask"))
-    other = F.col("p").bitwiseXOR(F.col("mask"))
-    return dealt.select("fp", F.least("p", other).alias("node"), "mask", (F.col("p") > other).alias("high")), bits
+def node_pairs(distinct: DataFrame, budget: int, node_size: int = NODE) -> tuple[DataFrame, int]:
+    """Each fingerprint under every node (pair) whose fingerprints it may link to, and the bits of a stretch.
 
-
-def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(u, v): fingerprints within budget bits, enough of them to span every group of linked ones. distinct: fp, no repeats."""
-    dealt, bits = prefix_pairs(distinct, budget)
-    return dealt.groupBy("node", "mask").applyInPandas(_walker(bits, budget), "u long, v long")
+    A row says: fp, big (the node's own number if it is dealt out deeper, else -1), turn (which stretch
+    comes first), depth (bits that all of the node share), node, and mask (in which bits below
+    the stretch the two nodes differ).
+    """
+    stretch = WIDTH // (budget + 1)
+    bits = min(stretch, max(PREFIX, math.ceil(math.log2(max(1, distinct.count()) / node_size))))
+    turned = F.lit(None).cast("long")
+    for turn in range(budget + 1):
+        by = turn * stretch
+        value = F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", WIDTH - by)) if by else F.col("fp")
+        turned = F.when(F.col("turn") == turn, value).otherwise(turned)
+    rows = distinct.select("fp", F.explode(F.array(*map(F.lit, range(budget + 1)))).alias("turn"))
+    rows = rows.select("fp", "turn", turned.alias("t"))
+    # at most 2^STRETCH nodes a turn: their sizes show which are too large for a task
+    node = F.shiftrightunsigned("t", WIDTH - bits)
+    sizes = rows.groupBy("turn", node.alias("node")).count().where(F.col("count") > node_size)
+    large = sizes.agg(F.max("count")).first()[0]
+    plain = rows.select(
+        "fp", F.lit(-1).cast("long").alias("big"), "turn", F.lit(bits).alias("depth"), node.alias("node"), F.lit(0).alias("mask")
+    )
+    if large is None:
+        return plain, stretch
+    deeper = max(DEEPER, math.ceil(math.log2(large / node_size)) + 1)
+    marked = rows.withColumn("node", node).join(F.broadcast(sizes.select("turn", "node", F.lit(True).alias("is_big"))), ["turn", "node"], "left")
+    plain = marked.where("is_big is null").select(*plain.columns[:1], F.lit(-1).cast("long").alias("big"), "turn", F.lit(bits).alias("depth"), "node", F.lit(0).alias("mask"))
+    below = F.shiftrightunsigned("t", WIDTH - stretch - deeper).bitwiseAND((1 << deeper) - 1)
+    split = marked.where("is_big").select(
+        "fp", F.shiftrightunsigned("t", WIDTH - stretch).alias("big"), "turn", F.lit(stretch + deeper).alias("depth"),
+        below.alias("p"), F.explode(F.array(*map(F.lit, _masks(deeper, budget)))).alias("mask"),
+    )
+    split = split.withColumn("node", F.least("p", F.col("p").bitwiseXOR(F.col("mask").cast("long"))))
+    return plain.unionByName(split.select(plain.columns)), stretch
+
+
+def links(distinct: DataFrame, budget: int = BUDGET, node_size: int = NODE) -> DataFrame:
+    """(u, v): fingerprints joined by pairs within budget bits, as stars that span every group. distinct: fp, no repeats."""
+    dealt, stretch = node_pairs(distinct, budget, node_size)
+    return dealt.groupBy("big", "turn", "depth", "node", "mask").applyInPandas(_walker(budget, stretch), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(item, root): the least item that can be reached, for every item with a link, by rounds of star contraction."""
+    spark = edges.sparkSession
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
-        # large star: every neighbour above an item is linked to the item's least neighbour
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "links")
-        # small star: an item and the neighbours below it are linked to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("item"), F.col("v").alias("root"))
-        before = now
+    with scratch(spark):
+        while True:
+            # a forest of stars has one link above each item, and none above that
+            ends = edges.select(F.col("u").alias("item"), F.col("v").alias("above"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+            ends = ends.unionByName(edges.select(F.col("v").alias("item"), F.lit(None).cast(edges.schema["v"].dataType).alias("above"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+            ends = ends.groupBy("item").agg(F.sum("up").alias("ups"), F.max("down").alias("down"))
+            if ends.where("ups > 1 or (ups > 0 and down > 0)").isEmpty():
+                return lasting(edges.select(F.col("u").alias("item"), F.col("v").alias("root")), "components")
+            # large star: every neighbour above an item is linked to the item's least neighbour
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            # small star: an item and the neighbours below it are linked to the least of them
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            down = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = written(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of every row."""
     rows = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    joined = components(links(nodes.select("fp"), budget)).withColumnsRenamed({"item": "fp"})
+    with scratch(docs.sparkSession):
+        joined = components(links(nodes.select("fp"), budget)).withColumnsRenamed({"item": "fp"})
     joined = nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(joined.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
