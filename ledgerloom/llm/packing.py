@@ -7,8 +7,13 @@ Groups that meet their bound are certified and done. The others give up the
 sequences that are not full; those pieces are dealt anew among such groups and
 packed again. A new deal is taken only if it needs fewer sequences.
 
-A null text counts as empty (one piece: the end id). Repeated rows are packed
-one by one; a null doc_id stays null; an empty table gives no pieces.
+Rounds stop after ROUNDS, or once a new deal saves nothing, although groups with a gap
+may be left: certified tells which groups meet their bound.
+
+A null text counts as empty (one piece: the end id); a very long text is cut whole, into
+as many pieces as it takes. Repeated rows are packed one by one; pieces of equal length
+are taken in the order of their numbers; a null doc_id stays null; an empty table gives
+no pieces; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import portions
 from .common import documents, whole_text, written
 from .word_tokens import chunk_ids
 
@@ -37,7 +43,7 @@ def _cutter(vocabulary: str, end_id: int, size: int):
 
     def cut(batches):
         table, deal = chunk_ids(vocabulary), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in portions(batches, 1):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = table.encode(text) + end

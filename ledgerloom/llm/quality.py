@@ -8,26 +8,33 @@ pairwise part <v_i, v_j> x_i x_j of all pairs is, for each factor, half of
 (sum v x)^2 - sum (v x)^2: linear in the number of inputs.
 
 train() fits on at most SAMPLE labelled rows, the least by a hash of doc_id among
-those that aren't held out; everything else covers all rows. Without any such row
-the model keeps every document (score 1).
+those that aren't held out, and on no more of them than INPUTS hashed inputs hold;
+everything else covers all rows. Texts become inputs on the executors, and one task fits
+on them; only the machine, whose size is fixed, comes to the driver. Without any such
+row every document is kept (score 1).
 
 A null text counts as empty and is scored like any text. A null doc_id is never
 trained on and isn't held out. Rows are scored one by one, so repeated rows score
-alike; an empty table gives no rows. score() keeps the columns it is asked to keep.
+alike; an empty table gives no rows. score() keeps the columns it is asked to keep,
+whatever their names; above() keeps whole rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Words, slabs
+from .arrays import Words, portions, slabs
 from .common import documents, whole_text
 
 #: Labelled rows trained on at most; hash buckets of words; steps of a statistic; factors.
 SAMPLE, BUCKETS, STEPS, FACTORS = 6000, 1 << 14, 16, 6
+#: Hashed inputs trained on at most (8 bytes each).
+INPUTS = 8_000_000
 EPOCHS, BATCH, RATE, DECAY = 12, 32, 0.08, 1e-5
 THRESHOLD = 0.7
 _KINDS = np.zeros(256, np.uint8)  # 1 small letter, 2 capital, 3 digit, 4 mark, 5 line end, 6 byte of another letter
@@ -108,11 +115,14 @@ class Machine:
         return self.bias + np.add.reduceat(self.weights[index] * value, first[:-1]) + 0.5 * (sums * sums - squares).sum(axis=1), sums
 
     def fit(self, texts: list[bytes], labels: np.ndarray) -> "Machine":
-        rng = np.random.default_rng(11)
         parts = [inputs(texts[part]) for part in slabs(texts)]
         sizes = np.concatenate([np.diff(p[0]) for p in parts])
+        return self.fit_inputs(sizes, *(np.concatenate([p[i] for p in parts]) for i in (1, 2)), labels)
+
+    def fit_inputs(self, sizes: np.ndarray, index: np.ndarray, value: np.ndarray, labels: np.ndarray) -> "Machine":
+        """Fits on texts of sizes[i] inputs each, one after another."""
+        rng = np.random.default_rng(11)
         first = np.concatenate([[0], np.cumsum(sizes)])
-        index, value = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         seen_w, seen_v, seen_b = np.full(len(self.weights), 1e-6), np.full(self.factors.shape, 1e-6), 1e-6
         self.bias = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
         for _ in range(EPOCHS):
@@ -157,33 +167,81 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | Always:
-    """Fits a machine on the driver from at most sample labelled rows."""
+def _hashed(batches):
+    """(doc_id, digest, quality, text) as (doc_id, digest, quality, index, value)."""
+    for rows in portions(batches, 3):
+        first, index, value = inputs([t.encode() for t in rows.column(3).to_pylist()])
+        offsets = pa.array(first.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (index.astype(np.int32), value.astype(np.float32))]
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], *lists], ["doc_id", "digest", "quality", "index", "value"])
+
+
+def _fitter(most: int):
+    def fit(batches):
+        sizes, indexes, values, labels, room = [], [], [], [], most
+        for batch in batches:
+            lists = batch.column(3), batch.column(4)
+            offsets = np.asarray(lists[0].offsets)
+            n = int(np.searchsorted(offsets, offsets[0] + room, "right")) - 1
+            room = room - int(offsets[n] - offsets[0]) if n == batch.num_rows else -1
+            sizes.append(np.diff(offsets[: n + 1]))
+            for kept, x in zip((indexes, values), lists, strict=True):
+                kept.append(np.array(np.asarray(x.values)[offsets[0] : offsets[n]]))
+            labels.append(batch.column(2).to_numpy(zero_copy_only=False)[:n].astype(float))
+            if room < 0:
+                break
+        if labels and sum(map(len, labels)):
+            machine = Machine().fit_inputs(*map(np.concatenate, (sizes, indexes, values, labels)))
+            found = [np.float64(machine.bias).tobytes(), machine.weights.astype("<f4").tobytes(), machine.factors.astype("<f4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in found], ["bias", "weights", "factors"])
+
+    return fit
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = INPUTS) -> Machine | Always:
+    """Fits a machine in one task from at most sample labelled rows of at most so many inputs."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.groupBy(doc_id).agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
-    found = sorted((r["doc_id"], r["text"], r["quality"]) for r in rows.collect())
+    rows = docs.select(doc_id, whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), "quality", "text").mapInArrow(
+        _hashed, "doc_id long, digest long, quality int, index array<int>, value array<float>")
+    # rows of one id may have several texts: of all rows the first are taken
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(sample)
+    found = rows.mapInArrow(_fitter(most), "bias binary, weights binary, factors binary").collect()
     if not found:
         return Always()
-    return Machine().fit([t.encode() for _, t, _ in found], np.array([q for _, _, q in found], float))
+    machine = Machine()
+    machine.bias = float(np.frombuffer(found[0]["bias"])[0])
+    machine.weights = np.frombuffer(found[0]["weights"], "<f4")
+    machine.factors = np.frombuffer(found[0]["factors"], "<f4").reshape(-1, FACTORS)
+    return machine
+
+
+def _scorer(machine: Machine | Always):
+    @F.arrow_udf("double")
+    def score_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            whole = pa.RecordBatch.from_arrays([batch], ["text"])
+            parts = [machine.score([t.encode() for t in part.column(0).to_pylist()]) for part in portions([whole], 0)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+
+    return score_of
 
 
 def score(docs: DataFrame, machine: Machine | Always, keep: list[str]) -> DataFrame:
-    """The columns to keep and score, for every row of docs."""
-    names = [f"_k{i}" for i in range(len(keep))]
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # its size is fixed by BUCKETS and FACTORS
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], whole_text().alias("_text"))
+    """The columns to keep and score, for every row of docs. Only text goes to Python.
+
+    The machine travels with the function: its size is fixed by BUCKETS and FACTORS.
+    """
+    return docs.select(*keep, _scorer(machine)(whole_text()).alias("score"))
 
-    def run(batches):
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(len(names)).to_pylist()]
-            found = shared.value.score(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.float64())], [*names, "score"])
 
-    kinds = dict(rows.dtypes)
-    scored = rows.mapInArrow(run, ", ".join([*(f"{n} {kinds[n]}" for n in names), "score double"]))
-    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "score")
+def above(docs: DataFrame, machine: Machine | Always, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, whose score is threshold or more."""
+    scored = docs.select(F.struct(*docs.columns).alias("row"), _scorer(machine)(whole_text()).alias("score"))
+    return scored.where(F.col("score") >= threshold).select("row.*")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import unicodedata
 import regex
 
 #: Words and odd chunks kept in a Python worker; the cache starts anew beyond that.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 #: Splits a normalised chunk like the tokenizer file's own pre-tokenizer (a fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks that may follow a word and then form a piece of their own.
