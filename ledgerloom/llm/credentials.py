@@ -3,16 +3,17 @@
 Base spans (assign, access, hex) are reported as they are. Other parts are weak:
 an account (an assigned user or key name), a key (a free-standing run of 32 or
 more base64 characters that mixes capitals, small letters and digits) and an
-endpoint (a URL, or an assigned host). Parts of one document are joined over
-intervals: two parts belong to one scope if they begin at most SCOPE code points
-apart. A weak account is reported if a secret begins in its scope, a weak key if
-an identifier does, an endpoint if both do. An assigned secret or a hex run is a
+endpoint (a URL, or an assigned host). Parts of one document are joined as
+intervals: two parts are in one scope if the gap between the end of one and the begin
+of the other is at most SCOPE code points, whichever comes first and however long they
+are. A weak account is reported if a secret is in its scope, a weak key if an
+identifier is, an endpoint if both are. An assigned secret or a hex run is a
 strong secret, an access key a strong identifier.
 
-Positions are code points, ends exclusive. A weak part that begins within a
-base span of its scope isn't reported again. A null text counts as empty; a null doc_id stays null; rows that
+Positions are code points, ends exclusive. A weak part that begins within a base span
+isn't reported again. Work is near linear in the matches of a text. A null text counts as empty; a null doc_id stays null; rows that
 repeat in id and text each return; an empty table gives no rows; other columns
-are left out of find() and kept by redact().
+are left out of find() and kept by redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, whole_text
 
-#: Reach of a scope, and the stretch of text whose parts are joined together.
-SCOPE, STRETCH = 240, 1 << 14
+#: Reach of a scope, and matches of a text that are measured together.
+SCOPE, CHUNK = 240, 256
 _VALUE, _QUOTE = "[A-Za-z0-9+/_.=-]+", "[\"']?"
 
 
@@ -41,24 +42,53 @@ KINDS = ("assign", "access", "hex", "account", "key", "endpoint")
 _SPAN = "array<struct<begin:int,rank:int,stop:int>>"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once a row however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(items: Column, use) -> Column:
+    """An array of what use makes of each CHUNK items in turn."""
+    last = F.floor((F.size(items) - 1) / CHUNK).cast("int")
+    return F.when(F.size(items) == 0, F.array()).otherwise(
+        F.transform(F.sequence(F.lit(0), last), lambda c: use(F.slice(items, c * CHUNK + 1, F.lit(CHUNK))))
+    )
+
+
+def _ends(sizes: Column) -> Column:
+    """Running sums of an array of whole numbers."""
+    zero = F.lit(0).cast("int")
+    first = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def add(state, n):
+        at = state["at"] + n
+        return F.struct(at.alias("at"), F.concat(state["ends"], F.array(at)).alias("ends"))
+
+    def joined(parts):
+        # what stands before each chunk, then each chunk's own sums
+        before = F.aggregate(F.transform(parts, lambda p: p["at"]), first, add, lambda state: state["ends"])
+        whole = lambda known: F.transform(parts, lambda p, i: F.transform(p["ends"], lambda e: e + F.when(i == 0, zero).otherwise(F.get(known, i - 1))))
+        return F.flatten(_once(before, whole))
+
+    return _once(_chunks(sizes, lambda some: F.aggregate(some, first, add)).cast("array<struct<at:int,ends:array<int>>>"), joined)
+
+
 def _spans(text: Column, pattern: str, rank: int, passes=None) -> Column:
     """(begin, rank, stop) of the leftmost non-overlapping matches whose text passes."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    # the pieces between matches and the matches themselves, measured in turn
-    sizes = F.zip_with(between, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
-    sizes = F.filter(sizes, lambda s: s["match"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    both = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+        F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap)).alias("gaps"),
+    )
 
-    def add(state, s):
-        begin = state["at"] + s["gap"]
-        stop = begin + F.length(s["match"])
-        span = F.struct(begin.alias("begin"), F.lit(rank).alias("rank"), stop.alias("stop"))
-        spans = F.concat(state["spans"], F.array(span))
-        return F.struct(stop.alias("at"), (F.when(passes(s["match"]), spans).otherwise(state["spans"]) if passes else spans).alias("spans"))
+    def measured(state):
+        found = state["found"]
+        sizes = F.transform(found, lambda m, i: F.get(state["gaps"], i) + F.length(m))
+        spans = lambda ends: F.transform(found, lambda m, i: F.struct(
+            (F.get(ends, i) - F.length(m)).alias("begin"), F.lit(rank).alias("rank"), F.get(ends, i).alias("stop"), (passes(m) if passes else F.lit(True)).alias("kept")))
+        kept = F.filter(_once(_once(sizes, _ends), spans), lambda s: s["kept"])
+        return F.transform(kept, lambda s: F.struct(s["begin"].alias("begin"), s["rank"].alias("rank"), s["stop"].alias("stop")))
 
-    measured = F.aggregate(sizes, start, add, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), measured).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _once(both, measured)).otherwise(F.array().cast(_SPAN))
 
 
 def _six(match: Column) -> Column:
@@ -80,8 +110,7 @@ def parts(text: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the text), copies (rows alike), base and spans: sorted (begin, rank, stop) of each distinct row.
 
-    Text is read once and not shuffled: only parts and one marker a row are, in
-    stretches of STRETCH code points that also get the parts just beside them.
+    Text is read once and not shuffled: only parts and one marker a row are.
     """
     text = whole_text()
     rows = docs.select(
@@ -90,23 +119,21 @@ def find(docs: DataFrame) -> DataFrame:
     marker = F.struct(F.lit(-1).alias("begin"), F.lit(-1).alias("rank"), F.lit(-1).alias("stop"))
     one = rows.select("doc_id", "digest", F.explode(F.concat(F.array(marker), "parts")).alias("part"))
     one = one.select("doc_id", "digest", "part.*")
-    near = F.when(F.col("rank") < 0, F.array(F.lit(-1).cast("long"))).otherwise(
-        F.sequence(F.floor((F.col("begin") - SCOPE) / STRETCH), F.floor((F.col("begin") + SCOPE) / STRETCH))
-    )
-    dealt = one.withColumn("stretch", F.explode(near))
-    around = Window.partitionBy("doc_id", "digest", "stretch").orderBy(F.col("begin").cast("long")).rangeBetween(-SCOPE, SCOPE)
-    base_stop = F.max(F.when(F.col("rank") < 3, F.col("stop"))).over(around.rangeBetween(-SCOPE, 0))
-    joined = dealt.select(
-        "*",
-        F.max(F.col("rank").isin(1, 3)).over(around).alias("identifier"),
-        F.max(F.col("rank").isin(0, 2, 4)).over(around).alias("secret"),
-        F.coalesce(base_stop > F.col("begin"), F.lit(False)).alias("covered"),
-    )
     rank = F.col("rank")
+    upward = Window.partitionBy("doc_id", "digest").orderBy("begin").rangeBetween(Window.unboundedPreceding, 0)
+    downward = Window.partitionBy("doc_id", "digest").orderBy(F.col("begin").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    identifiers, secrets = rank.isin(1, 3), rank.isin(0, 2, 4)
+
+    def reached(kind):
+        """Whether a part of this kind that begins before ends in the scope, or one that begins after does so there."""
+        before = F.max(F.when(kind, F.col("stop"))).over(upward) >= F.col("begin") - SCOPE
+        after = F.min(F.when(kind, F.col("begin"))).over(downward) <= F.col("stop") + SCOPE
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+
+    covered = F.coalesce(F.max(F.when(rank.isin(0, 1, 2), F.col("stop"))).over(upward) > F.col("begin"), F.lit(False))
+    joined = one.select("*", reached(identifiers).alias("identifier"), reached(secrets).alias("secret"), covered.alias("covered"))
     linked = F.when(rank == 3, F.col("secret")).when(rank == 4, F.col("identifier")).otherwise(F.col("identifier") & F.col("secret"))
-    kept = joined.where(
-        (rank < 0) | (F.col("stretch") == F.floor(F.col("begin") / STRETCH)) & ((rank < 3) | ~F.col("covered") & linked)
-    )
+    kept = joined.where((rank < 3) | ~F.col("covered") & linked)
     span = F.when(rank >= 0, F.struct("begin", "rank", "stop"))
     found = kept.groupBy("doc_id", "digest").agg(
         F.sum((rank < 0).cast("int")).alias("copies"), F.array_sort(F.collect_set(span)).alias("spans")
@@ -120,32 +147,48 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["begin"], s["stop"])), ",")
 
 
+def runs(found: DataFrame) -> DataFrame:
+    """doc_id, digest and runs: (prev, begin, stop) of each stretch that spans cover, prev being the end of the one before."""
+    one = found.select("doc_id", "digest", F.explode("spans").alias("s")).select("doc_id", "digest", "s.begin", "s.stop")
+    text = Window.partitionBy("doc_id", "digest")
+    ordered = text.orderBy("begin", "stop")
+    before = F.coalesce(F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    one = one.withColumn("prev", before)
+    # a span that begins where others end, or later, begins a run
+    run = F.sum((F.col("begin") >= F.col("prev")).cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    merged = one.withColumn("run", run).groupBy("doc_id", "digest", "run").agg(F.min("prev").alias("prev"), F.min("begin").alias("begin"), F.max("stop").alias("stop"))
+    return merged.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("prev", "begin", "stop"))).alias("runs"))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of text replaced by mark; n_chars follows the text. All rows and columns stay.
+    """docs with every stretch of text that reported spans cover replaced by mark; n_chars follows the text.
 
-    Spans may overlap: what follows a span begins at the furthest end so far.
+    All rows and columns stay; a text without spans stays as it is, a null one null.
     """
-    found = find(docs.select("doc_id", "text")).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("_scan_id"), F.col("digest").alias("_scan_digest"), F.col("spans").alias("_scan_spans"))
-    keyed = docs.withColumn("_scan_key", F.sha2(whole_text(), 256))
+    found = runs(find(docs.select("doc_id", "text"))).select(_row_key("doc_id", F.col("digest")).alias("own"), "runs")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _row_key("doc_id", F.sha2(whole_text(), 256)).alias("own"))
     # only documents with spans come from the right side, at most one row of it for each
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_scan_id")) & (F.col("_scan_key") == F.col("_scan_digest"))
-    joined = keyed.join(found, same, "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    joined = rows.join(found, "own", "left")
+    text = F.col("row.text")
+
+    def cut(some):
+        """The text over some runs, with marks: a long text is cut once for them all, then bit by bit."""
+        base = F.get(some, F.lit(0))["prev"]
+        stretch = F.substring(text, base + 1, F.element_at(some, -1)["stop"] - base)
+        mend = lambda part: F.array_join(F.transform(some, lambda r: F.concat(F.substring(part, r["prev"] - base + 1, r["begin"] - r["prev"]), F.lit(mark))), "")
+        return _once(stretch, mend)
+
+    rest = F.substring(text, F.element_at("runs", -1)["stop"] + 1, F.length(text))
+    clean = F.concat(F.array_join(_chunks(F.col("runs"), cut), ""), rest)
+    changed = F.col("runs").isNotNull()
+    out = joined.select("row", F.when(changed, clean).otherwise(text).alias("clean"), changed.alias("changed"))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("changed"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
-    def step(state, s):
-        gap = F.substring("text", state["at"] + 1, F.greatest(s["begin"] - state["at"], F.lit(0)))
-        fresh = s["begin"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"),
-            F.concat(state["text"], F.when(fresh, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("text"),
-        )
 
-    rest = lambda state: F.concat(state["text"], F.substring("text", state["at"] + 1, F.length("text")))
-    changed = F.col("_scan_spans").isNotNull()
-    out = joined.withColumn("_scan_clean", F.when(changed, F.aggregate("_scan_spans", start, step, rest)).otherwise(F.col("text")))
-    new = {"text": F.col("_scan_clean"), "n_chars": F.when(changed, F.length("_scan_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+def _row_key(doc_id: str, digest: Column) -> Column:
+    """One value for a doc_id and a text's digest."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")), digest)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +224,9 @@ parts AS ({" UNION ALL ".join([
 ])}),
 linked AS (
   SELECT DISTINCT w.doc_id, w.digest, w.begin, w.rank, w.stop FROM parts w WHERE w.rank < 3 OR (
-    NOT EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = w.doc_id AND b.digest = w.digest AND b.rank < 3 AND b.begin BETWEEN w.begin - {SCOPE} AND w.begin AND b.stop > w.begin)
-    AND (w.rank = 4 OR EXISTS (SELECT 1 FROM parts s WHERE s.doc_id = w.doc_id AND s.digest = w.digest AND s.rank IN (0, 2, 4) AND abs(s.begin - w.begin) <= {SCOPE}))
-    AND (w.rank = 3 OR EXISTS (SELECT 1 FROM parts a WHERE a.doc_id = w.doc_id AND a.digest = w.digest AND a.rank IN (1, 3) AND abs(a.begin - w.begin) <= {SCOPE})))),
+    NOT EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = w.doc_id AND b.digest = w.digest AND b.rank < 3 AND b.begin <= w.begin AND b.stop > w.begin)
+    AND (w.rank = 4 OR EXISTS (SELECT 1 FROM parts s WHERE s.doc_id = w.doc_id AND s.digest = w.digest AND s.rank IN (0, 2, 4) AND s.begin - w.stop <= {SCOPE} AND w.begin - s.stop <= {SCOPE}))
+    AND (w.rank = 3 OR EXISTS (SELECT 1 FROM parts a WHERE a.doc_id = w.doc_id AND a.digest = w.digest AND a.rank IN (1, 3) AND a.begin - w.stop <= {SCOPE} AND w.begin - a.stop <= {SCOPE})))),
 named AS (SELECT *, ['{"','".join(KINDS)}'][rank + 1] || ':' || begin::BIGINT || ':' || stop::BIGINT AS s FROM linked),
 per AS (
   SELECT doc_id, digest, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
