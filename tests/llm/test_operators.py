@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -74,6 +75,31 @@ def test_secrets_base_and_links(spark, odd):
     assert found.count() == 300 and credentials.find(odd).agg(F.sum("copies")).first()[0] == len(ODD)
 
 
+def spans_of(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.s for r in credentials.find(df).select("doc_id", credentials.listed(F.col("spans")).alias("s")).collect()}
+
+
+def test_scopes_are_gaps_between_intervals(spark):
+    value = "v" * 360
+    login = "login=deploy"
+    found = spans_of(spark, f'secret="{value}" {login}', f'{login} secret="{value}"', f'secret="{value}" ' + "x " * 120 + login, f'secret="{"login=" * 60}"')
+    assert [s.split(":")[0] for s in found[0].split(",")] == ["assign", "account"]
+    assert [s.split(":")[0] for s in found[1].split(",")] == ["account", "assign"]
+    assert [s.split(":")[0] for s in found[2].split(",")] == ["assign"]
+    # what begins within a base span isn't told again, however far it is from the span's begin
+    assert [s.split(":")[0] for s in found[3].split(",")] == ["assign"]
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    text = "é token=abcdef12 " * 100_000
+    started = time.time()
+    found = spans_of(spark, text)[0].split(",")
+    assert len(found) == 100_000 and found[0] == "assign:2:16" and found[-1] == f"assign:{17 * 99_999 + 2}:{17 * 99_999 + 16}"
+    rows = credentials.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert rows.text == "é [SECRET] " * 100_000 and time.time() - started < 90
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd):
     rows = credentials.redact(odd)
     assert rows.columns == odd.columns and rows.count() == len(ODD)
@@ -160,6 +186,22 @@ def test_token_files(spark, odd, tmp_path):
     assert (rows.start == rows.n_tokens.cumsum() - rows.n_tokens).all() and len(rows) == len(ODD)
     assert rows.doc_id.tolist()[1:] == sorted(x[0] for x in ODD if x[0] is not None)
     assert all(ids[-1] == 2 for ids in rows.ids)
+    import glob
+
+    import pyarrow.parquet as pq
+
+    kinds = {}
+    for file in glob.glob(f"{tmp_path}/t/data/*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        for c in range(group.num_columns):
+            column = group.column(c)
+            assert column.has_offset_index and column.has_column_index
+            kinds.setdefault(column.path_in_schema, set()).update(column.encodings)
+    assert all("DELTA_BINARY_PACKED" in kinds[c] for c in ("doc_id", "local_start", "n_tokens"))
+    assert "RLE_DICTIONARY" in kinds["ids.list.element"]
+    # a reader of the counters alone reads these columns alone
+    plan = token_files.read_tokens(spark, f"file://{tmp_path}/t").select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan
     token_files.write_tokens(odd.limit(0), f"file://{tmp_path}/none", WORDS)
     assert token_files.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -180,9 +222,15 @@ def test_byte_bpe_equals_the_library(spark, texts, odd):
         assert sum(counts) == len(ids)
         if len(starts) > 2:
             cut = [*starts.tolist(), len(text)]
-            assert byte_bpe.decode_slices(ids, counts.tolist(), 1, 2, BYTES) == text[cut[1] : cut[2]].encode()
-    rows = byte_bpe.decode(byte_bpe.encode(odd, BYTES), BYTES).collect()
+            assert byte_bpe.decode_slices(np.array(ids[counts[0] : counts[0] + counts[1]]), counts[1:2], BYTES) == text[cut[1] : cut[2]].encode()
+    encoded = byte_bpe.encode(odd, BYTES)
+    rows = byte_bpe.decode(encoded, BYTES).collect()
     assert sorted(bytes(r.decoded) for r in rows) == sorted((x[1] or "").encode() for x in ODD)
+    # the slices that begin at code points 7 to 13
+    part = {r.doc_id: (bytes(r.decoded), r.ids) for r in byte_bpe.decode(encoded, BYTES, 7, 14).collect()}
+    assert part[1][0] == b" sat on" and part[3][0] == part[2][0] == b"" and part[4][0] == b"1 word"
+    assert part[1][1] == library.encode_ordinary(" sat on")
+    assert byte_bpe.decode(byte_bpe.encode(odd.limit(0), BYTES), BYTES).count() == 0
 
 
 # -- op5 --
@@ -230,6 +278,22 @@ def test_trie_walk_loses_no_pair(spark):
     assert {(r.item, r.root) for r in simhash.components(chain).collect()} == {(i, 0) for i in range(1, 41)}
 
 
+def test_large_nodes_are_dealt_out_deeper(spark):
+    """Fingerprints that share a prefix, more than a node may hold, beside others."""
+    rng = np.random.default_rng(8)
+    near = np.uint64(0xABCDEF0123456789) ^ (np.uint64(1) << rng.integers(0, 40, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, 300).astype(np.uint64))
+    values = np.unique(np.concatenate([near, rng.integers(0, 1 << 63, 300, dtype=np.uint64)]))
+    distinct = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long")
+    want = brute_components({int(x): int(x) for x in values})
+    for size in (1 << 18, 64, 8):
+        assert (simhash.node_pairs(distinct, 3, size)[0].where("big >= 0").count() > 0) == (size < 100)
+        root = {x: x for x in want}
+        found = simhash.components(simhash.links(distinct, 3, size)).collect()
+        root |= {r.item % 2**64: r.root % 2**64 for r in found}
+        groups = lambda of: {frozenset(x for x in of if of[x] == r) for r in set(of.values())}
+        assert groups(root) == groups(want)
+
+
 def test_simhash_of_odd_rows(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (2, 3, 7)} == {2}
@@ -276,6 +340,41 @@ def test_near_copies_of_a_star(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_near_copies_equal_brute_force(spark):
+    """Families of texts around the bound, some linked to their base, some to another, some to none."""
+    rng = random.Random(23)
+    rows = []
+    for family in range(12):
+        words = [f"w{rng.randint(0, 300)}" for _ in range(rng.choice([3, 6, 12, 60, 200]))]
+        for _ in range(25):
+            own = list(words)
+            for _ in range(rng.randint(0, max(1, len(own) // 25))):
+                own[rng.randrange(len(own))] = f"own{rng.randint(0, 50)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 12 < len(set(root)) < 250
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == sorted(set(root))
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs, block=4).collect()) == sorted(set(root))
+
+
+def test_whole_simhashes(spark):
+    rng = np.random.default_rng(1)
+    n = np.array([0, 1, 3, 255, 256, 1000])
+    value = rng.integers(0, 1 << 63, n.sum(), dtype=np.int64)
+    got = near_copies.simhashes(value, n)
+    for t, (a, b) in enumerate(zip(np.cumsum(n) - n, np.cumsum(n))):
+        for k, seed in enumerate(near_copies._SEEDS):
+            hashes = arrays.mixed(value[a:b].view(np.uint64) ^ seed)
+            assert int(got[t, k]) == sum(1 << bit for bit in range(64) if 2 * int((hashes >> np.uint64(bit) & np.uint64(1)).sum()) > n[t])
+
+
 # -- op6 --
 def test_quality(spark, odd):
     data = "/root/testdata/sf0.1"
@@ -315,24 +414,82 @@ def test_topk_odd_vectors(spark):
     assert topk.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    big = [(1, [2e6, 2e6]), (2, [-2e6, 1.0]), (3, [1.9e6, 1.9e6]), (4, [2e6, -1.0])]
+    got = topk.search(spark.createDataFrame(big, schema), F.col("vec_id") == 1).collect()
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in big}
+    want = sorted((-sum(a * b for a, b in zip(whole[1], whole[i])), i) for i in (2, 3, 4))
+    assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == want and want[0][0] < -(2**62)
+    # a score beyond 64 bits, or a component, isn't told wrongly
+    for huge in ([1e17, 1e17], [1e12, 1e12]):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.search(spark.createDataFrame([(1, huge), (2, huge)], schema), F.col("vec_id") == 1).collect()
+
+
+def test_topk_over_shelves(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "SHELF", 2)
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(20, 8))
+    rows = [(i, [float(x) for x in centre[i // 40] + rng.normal(size=8) / 9]) for i in range(800)]
+    rows += [(40, rows[40][1])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 40 == 0)
+    found = got.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best")).collect()
+    whole = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows]
+    assert len(found) == 20
+    for r in found:
+        own = next(v for i, v in whole if i == r.query_id)
+        want = sorted((-int(own @ v), i) for i, v in whole if i != r.query_id)[:10]
+        assert [(x.rank, x.vec_id, x.score) for x in r.best] == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+
+
 # -- op10 --
-def test_urls(spark):
-    urls = ["http://www.example.com/en/a", "http://EXAMPLE.com/en/", "https://sub.example.com/fr?x#y", "http://a.net/es/1", "http://a.net/de/", None, "no scheme", "http://x.org/ads/1?utm_source=a", "http://com", "ftp://com/"]
+URLS = ["http://www.example.com/en/a", "http://EXAMPLE.com/en/", "https://sub.example.com/fr?x#y", "http://a.net/es/1", "http://a.net/de/", None, "no scheme", "http://x.org/ads/1?utm_source=a", "http://com", "ftp://com/", "http://x.org/wp-admin", "http://x.org/wp-content"]
+
+
+def judged(spark, urls):
+    """The rows that both ways of judging give."""
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    for inline in (256, 1):
-        got = {r.url: r for r in url_rules.judge(df, inline=inline).collect()}
-        assert [got[u].verdict for u in urls] == ["allow", "block", "allow", "block", "allow", "allow", "allow", "block", "allow", "allow"]
-        assert [got[u].rule for u in urls[:4]] == ["www.example.com/en/", "example.com/en/", "com/", "net/es/"] and got["http://com"].rule is None
-        assert (got["https://sub.example.com/fr?x#y"].host, got["https://sub.example.com/fr?x#y"].path) == ("sub.example.com", "/fr")
-        assert (got[None].host, got["no scheme"].path) == ("", "")
+    one = {r.page_id: r for r in url_rules.judge(df).collect()}
+    hosts = spark.createDataFrame(url_rules.HOST_RULES, "host string, path string, verdict string")
+    patterns = spark.createDataFrame([(p, list(r)) for p, required in url_rules.PATTERN_RULES for r in required], "pattern string, required array<string>")
+    other = {r.page_id: r for r in url_rules.judge_by_tables(df, hosts, patterns).collect()}
+    assert one == other and len(one) == len(urls)
+    return one
+
+
+def test_urls(spark):
+    got = judged(spark, URLS)
+    assert [got[i].verdict for i in range(len(URLS))] == ["allow", "block", "allow", "block", "allow", "allow", "allow", "block", "allow", "allow", "block", "allow"]
+    assert [got[i].rule for i in range(4)] == ["www.example.com/en/", "example.com/en/", "com/", "net/es/"] and got[8].rule is None
+    assert (got[2].host, got[2].path) == ("sub.example.com", "/fr") and (got[5].host, got[6].path) == ("", "")
+    # repeated rows all return, an empty table gives none
+    twice = spark.createDataFrame([(7, u) for u in URLS + URLS], "page_id long, url string")
+    assert url_rules.judge(twice).count() == 2 * len(URLS) and url_rules.judge(twice.limit(0)).count() == 0
+    clash = twice.withColumns({c: F.lit("x") for c in ("host", "token", "verdict", "rule", "hit", "tokens")})
+    assert url_rules.judge(clash).columns == ["page_id", "url", "host", "path", "rule", "verdict"] and url_rules.judge(clash).count() == 2 * len(URLS)
 
 
 def test_urls_with_numbered_hosts(spark):
     urls = ["http://ads2.site.org/", "https://banner12.x.org/a", "http://ad7.x.org", "http://adserver3.x.org/", "http://ads2x.site.org/", "http://x.org/7/ads2"]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    for inline in (256, 1):
-        got = {r.url: r.verdict for r in url_rules.judge(df, inline=inline).collect()}
-        assert [got[u] for u in urls] == ["block", "block", "block", "block", "allow", "allow"]
+    assert [judged(spark, urls)[i].verdict for i in range(6)] == ["block", "block", "block", "block", "allow", "allow"]
+
+
+def test_rules_are_filed_under_their_rarest_token():
+    rules = [("/wp-(admin|login)", [["wp", "admin"], ["wp", "login"]]), ("x", [["a", "b", "c"]])]
+    filed = url_rules.index_rules(rules, {"wp": 5, "admin": 9, "login": 2, "a": 3, "b": 3, "c": 4})
+    assert filed == {"wp": ["/wp-(admin|login)"], "login": ["/wp-(admin|login)"], "a": ["x"]}
+
+
+def test_token_index_loses_no_match(spark):
+    rng = random.Random(3)
+    bits = ["ads", "ad", "banner", "12", "utm_source=", "?", "&", "/", ".", "://", "wp-", "admin", "login", "x", "gclid=", "exe", "cart", "sid=", "tracker", "sponsored"]
+    urls = ["http://" + "".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    want = ["block" if any(re.search(p, u) for p, _ in url_rules.PATTERN_RULES) else "allow" for u in urls]
+    got = judged(spark, urls)
+    assert [got[i].verdict for i in range(len(urls)) if got[i].rule is None] == [w for i, w in enumerate(want) if got[i].rule is None]
+    assert 50 < want.count("block") < 550
 
 
 def test_words_of_bytes():
