@@ -111,27 +111,59 @@ def code_positions(words: DataFrame, codes: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy).groupBy(*LINE, "code").agg(F.min(F.struct("tier", "word_no")).alias("m")).select(*LINE, "code", F.col("m.word_no").alias("at_word"), F.col("m.tier").alias("tier"))
 
 
-def ras_rows(words: DataFrame) -> DataFrame:
-    """(doc_id, metric_key, code, first, second, score): lines of statutory forms, best per metric.
+#: Which form a page is, by its line codes and then by its title (fixed values).
+FORM_CODES = [("pnl", ["2110", "2400"]), ("cashflow", ["4100", "4200", "4300", "4400", "4500"]), ("balance", ["1100", "1200", "1300", "1400", "1500", "1600", "1700"])]
+FORM_TITLES = [("pnl", ["отчет о финансовых результатах"]), ("cashflow", ["движении денежных средств"]), ("balance", ["актив", "пассив"])]
+FULL_TITLES = ["бухгалтерский баланс", "отчет о финансовых результатах", "отчет о движении денежных средств"]
 
-    A line counts by its code, or by its label parts with a damaged code; pages need two exact codes.
+
+def form_pages(spots: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, page, kind): pages of statutory forms. spots: exact codes of pages; labels: lines of pages as labels.
+
+    A page needs two codes, or one and a form's title without a word of consolidation.
+    """
+    codes = spots.groupBy(*PAGE).agg(F.collect_set("code").alias("codes"))
+    says = lambda words: F.max(F.exists(F.array(*map(F.lit, words)), lambda w: F.col("label").contains(w)))
+    said = labels.groupBy(*PAGE).agg(
+        says(FULL_TITLES).alias("titled"), says(["консолидирован"]).alias("consolidated"), *[says(words).alias(f"says_{kind}") for kind, words in FORM_TITLES]
+    )
+    pages = codes.join(said, PAGE)
+    n = F.size("codes")
+    pages = pages.where((n >= 2) | (n == 1) & F.col("titled") & ~F.col("consolidated"))
+    kind = F.lit(None).cast("string")
+    for name, _ in reversed(FORM_TITLES):
+        kind = F.when(F.col(f"says_{name}"), name).otherwise(kind)
+    for name, some in reversed(FORM_CODES):
+        kind = F.when(F.arrays_overlap("codes", F.array(*map(F.lit, some))), name).otherwise(kind)
+    return pages.select(*PAGE, kind.alias("kind")).where("kind is not null")
+
+
+def ras_rows(words: DataFrame, most: float = 2e10, apart: float = 50.0) -> DataFrame:
+    """(doc_id, metric_key, code, first, second, third, score): lines of statutory forms, best per metric.
+
+    A line counts on a page of its form, by its code, or by its label parts with a damaged code, if it
+    has as many amounts as its form has columns, none above most nor apart times another.
     """
     spec = ras_lines(words.sparkSession)
     spots = code_positions(words, spec)
-    rich = spots.where("tier = 0").groupBy(*PAGE).agg(F.count_distinct("code").alias("n")).where("n >= 2").select(*PAGE)
-    label = lines(words).select(*LINE, "conf", normalize_label(F.col("text")).alias("_l"))
-    hit = spots.join(rich, PAGE, "left_semi").join(label, LINE).join(F.broadcast(spec), "code")
-    named = F.forall("parts", lambda p: F.col("_l").contains(p))
+    label = lines(words).select(*LINE, "conf", normalize_label(F.col("text")).alias("label"))
+    kinds = form_pages(spots.where("tier = 0"), label)
+    hit = spots.join(kinds, PAGE).join(label, LINE).join(F.broadcast(spec), ["code", "kind"])
+    named = F.forall("parts", lambda p: F.col("label").contains(p))
     hit = hit.withColumn("named", named).where("tier = 0 OR named")
-    keep = hit.groupBy(*LINE).agg(F.min(F.struct("tier", "ord", "code", "metric_key", "at_word", "conf")).alias("h")).select(*LINE, "h.*")
+    keep = hit.groupBy(*LINE).agg(F.min(F.struct("tier", "ord", "code", "metric_key", "at_word", "conf", "n_values")).alias("h")).select(*LINE, "h.*")
     tail = words.join(keep.select(*LINE, "at_word"), LINE).where("word_no > at_word").drop("at_word")
-    found = amounts(tail, 48.0, 1.8).where("value IS NOT NULL").groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("left", "value"))).alias("_v"))
-    rows = keep.join(found, LINE)
-    score = F.when(F.col("tier") == 0, 120).otherwise(75) + F.col("conf") + 10 * F.size("_v")
+    found = amounts(tail, 48.0, 1.8).where("value IS NOT NULL").groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("left", "value"))).alias("all"))
+    rows = keep.join(found, LINE).where(F.size("all") >= F.col("n_values"))
+    rows = rows.withColumn("v", F.transform(F.slice("all", F.lit(1), F.col("n_values")), lambda x: x["value"]))
+    sizes = F.filter(F.transform("v", lambda x: F.abs(x)), lambda x: x > 0)
+    close = (F.size(sizes) < 2) | (F.array_max(sizes) / F.greatest(F.array_min(sizes), F.lit(1.0)) <= apart)
+    rows = rows.where(F.forall("v", lambda x: F.abs(x) <= most) & close)
+    score = F.when(F.col("tier") == 0, 120).otherwise(75) + F.col("conf") + 10 * F.col("n_values")
     best = Window.partitionBy("doc_id", "metric_key").orderBy(F.col("score").desc(), "page", "line_no")
-    ranked = rows.withColumn("score", score).withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    value = lambda i: F.when(F.col("metric_key").isin(*NEGATIVE), -F.abs(F.get("_v", i)["value"])).otherwise(F.get("_v", i)["value"])
-    return ranked.select("doc_id", "metric_key", "code", value(0).alias("first"), value(1).alias("second"), "score")
+    ranked = rows.withColumn("score", score).withColumn("turn", F.row_number().over(best)).where("turn = 1")
+    value = lambda i: F.when(F.col("metric_key").isin(*NEGATIVE), -F.abs(F.get("v", F.lit(i)))).otherwise(F.get("v", F.lit(i)))
+    return ranked.select("doc_id", "metric_key", "code", value(0).alias("first"), value(1).alias("second"), value(2).alias("third"), "score")
 
 
 def two_column_values(words: DataFrame, reporting_year: Column) -> DataFrame:

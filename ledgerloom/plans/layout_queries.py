@@ -98,13 +98,13 @@ def ras_ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.get(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(c).alias("code")) for a, c in _LINES]), (F.col("l_linenumber") % 4).cast("int"))
     cents = F.floor(F.col("l_extendedprice") * 100)
     word = lambda n, left, text: F.struct(F.lit(n).alias("word_no"), F.lit(float(left)).alias("left"), text.cast("string").alias("text"))
-    cells = F.array(word(0, 0, kind["label"]), word(1, 250, kind["code"]), word(2, 350, cents), word(3, 600, cents * 2))
+    cells = F.array(word(0, 0, kind["label"]), word(1, 250, kind["code"]), word(2, 350, cents), word(3, 600, cents * 2), word(4, 850, cents * 3))
     one = items.select(
         (F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * F.lit(10**13) + F.col("l_partkey") * 1000000 + F.floor("l_extendedprice")).alias("line_no"),
         (50 + F.col("l_quantity")).alias("conf"), F.explode(cells).alias("w"),
     )
     words = one.select("doc_id", "page", "line_no", "conf", "w.*", F.lit(0.0).alias("top"), F.lit(60.0).alias("width"), F.lit(12.0).alias("height"))
-    return layout.ras_rows(words).select("doc_id", "metric_key", "code", "first", "second", "score")
+    return layout.ras_rows(words)
 
 
 QUERIES = {f.__name__: f for f in (ras_ocr_rows, year_columns, label_keys, table_candidates, ras_code_rows, number_groups, widest_amounts, word_lines, row_clusters, column_bands, anchor_range_join)}
@@ -126,10 +126,11 @@ a AS (SELECT doc_id, line_no, grp, string_agg(v::VARCHAR, '' ORDER BY lft, word_
 ORACLE_SQL = {
     "ras_ocr_rows": """WITH x AS (SELECT l_orderkey % 500 AS doc_id, l_orderkey AS page, l_linenumber::BIGINT * 10000000000000 + l_partkey * 1000000 + floor(l_extendedprice)::BIGINT AS line_no, 50 + l_quantity AS conf, floor(l_extendedprice * 100) AS a,
   CASE l_linenumber % 4 WHEN 0 THEN '2110' WHEN 1 THEN '2120' WHEN 2 THEN '1210' ELSE '1600' END AS code FROM lineitem),
-rich AS (SELECT page FROM x GROUP BY page HAVING count(DISTINCT code) >= 2)
+rich AS (SELECT page, CASE WHEN bool_or(code = '2110') THEN 'pnl' WHEN bool_or(code = '1600') THEN 'balance' END AS kind FROM x GROUP BY page HAVING count(DISTINCT code) >= 2)
 SELECT doc_id, CASE code WHEN '2110' THEN 'revenue' WHEN '2120' THEN 'cogs' WHEN '1210' THEN 'inventory' ELSE 'assets' END AS metric_key, code,
-  CASE WHEN code = '2120' THEN -a ELSE a END AS first, CASE WHEN code = '2120' THEN -2 * a ELSE 2 * a END AS second, 120 + conf + 20 AS score
-FROM x JOIN rich USING (page) QUALIFY row_number() OVER (PARTITION BY doc_id, code ORDER BY conf DESC, page, line_no) = 1""",
+  CASE WHEN code = '2120' THEN -a ELSE a END AS first, CASE WHEN code = '2120' THEN -2 * a ELSE 2 * a END AS second, CASE WHEN kind = 'balance' THEN 3 * a END AS third,
+  120 + conf + CASE kind WHEN 'balance' THEN 30 ELSE 20 END AS score
+FROM x JOIN rich USING (page) WHERE kind = CASE WHEN code < '2000' THEN 'balance' ELSE 'pnl' END QUALIFY row_number() OVER (PARTITION BY doc_id, code ORDER BY conf DESC, page, line_no) = 1""",
     "year_columns": "SELECT doc_id, 0 AS header_row, col, yr FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders), (VALUES (2, 2024), (3, 2023)) AS c(col, yr)",
     "label_keys": f"WITH lab AS (SELECT DISTINCT {_CASE(LABELS).replace('k % 8', 'p_partkey % 8')} || ' ' || p_partkey AS label FROM part), {_KEYED} SELECT label, metric_key FROM best",
     "table_candidates": f"""WITH {_ROWS}, lab AS (SELECT DISTINCT label FROM r), {_KEYED}

@@ -208,7 +208,11 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming.ingest import latest_status, status_rows
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        # a folder of this machine serves a local session alone; elsewhere the warehouse is shared
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        named = "file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
     name = f"status_{uuid.uuid4().hex[:12]}"
     latest_status(spark, f"{sf_dir}/events.parquet*", f"{named}/{name}/rows", f"{named}/{name}/checkpoint").awaitTermination()
     return status_rows(spark, f"{named}/{name}/rows")
