@@ -140,6 +140,10 @@ SELECT code, metric_key, yr, count(*) AS n, sum((CASE WHEN neg THEN -abs(val) EL
     "number_groups": f"WITH {_WORDS}, {_ISLANDS.format(48)} SELECT doc_id, line_no, grp::BIGINT AS grp, d::DOUBLE AS value, length(d)::INTEGER AS n_digits FROM a",
     "widest_amounts": f"WITH {_WORDS}, {_ISLANDS.format(45)} SELECT doc_id, line_no, arg_max(d, (length(d), lft))::DOUBLE AS value FROM a GROUP BY doc_id, line_no",
     "word_lines": f"WITH {_WORDS} SELECT doc_id, line_no, string_agg(v::VARCHAR, ' ' ORDER BY lft, word_no) AS text, min(top) AS top, round(avg(conf), 6) AS conf FROM w WHERE conf >= 60 GROUP BY doc_id, line_no",
+    "row_clusters": f"""WITH RECURSIVE {_WORDS}, t AS (SELECT doc_id, word_no, v::VARCHAR AS text, lft, top + lft / 30 AS place, row_number() OVER (PARTITION BY doc_id ORDER BY top + lft / 30, lft, word_no) AS n FROM w),
+f AS (SELECT *, 0 AS cluster, place AS anchor FROM t WHERE n = 1 UNION ALL
+  SELECT t.*, CASE WHEN abs(t.place - f.anchor) > 12 THEN f.cluster + 1 ELSE f.cluster END, CASE WHEN abs(t.place - f.anchor) > 12 THEN t.place ELSE f.anchor END FROM f JOIN t ON t.doc_id = f.doc_id AND t.n = f.n + 1)
+SELECT doc_id, cluster, count(*) AS n_lines, string_agg(text, ' ' ORDER BY lft, word_no, text) AS text FROM f GROUP BY doc_id, cluster HAVING count(*) >= 2""",
     "column_bands": f"WITH {_WORDS}, b AS (SELECT * FROM (VALUES (2023, 75.0, 185.0), (2024, 185.0, 295.0), (2025, 295.0, 405.0)) AS b(yr, lo, hi)) SELECT doc_id, yr, count(*) AS n_words, sum(v)::BIGINT AS total FROM w JOIN b ON lft + 20 >= lo AND lft + 20 < hi GROUP BY doc_id, yr",
     "anchor_range_join": f"""WITH {_WORDS}, p AS (SELECT *, word_no // 10000000000000 * 55.0::DOUBLE + top AS at FROM w), j AS (
   SELECT x.doc_id, x.word_no AS anchor_id, y.word_no AS value_line, y.v::DOUBLE AS first, 100 - 0.35::DOUBLE * abs(y.at - x.at) + 0.1::DOUBLE * y.conf AS score FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.word_no < 20000000000000 AND y.word_no >= 20000000000000 AND y.at - x.at BETWEEN -5 AND 140)

@@ -198,8 +198,13 @@ def manual_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.findings import payload as structured
 
-    found = structured(_metrics(spark, sf_dir), ratios.ratios(facts(spark, sf_dir)), risk.numeric_flags(_risk_wide(spark, sf_dir)))
-    return found.select("doc_id", F.length("json").alias("n_chars"))
+    known = facts(spark, sf_dir)
+    found = structured(_metrics(spark, sf_dir), ratios.ratios(known), risk.numeric_flags(_risk_wide(spark, sf_dir)))
+    kinds = "metrics array<struct<metric_key:string,source_type:string>>, ratios array<struct<ratio_key:string,status:string>>, flags array<struct<code:string,severity:string>>"
+    told = found.select("doc_id", F.from_json("json", kinds).alias("j")).select("doc_id", "j.*")
+    fields = {"metrics": ("metric_key", "source_type"), "ratios": ("ratio_key", "status"), "flags": ("code", "severity")}
+    line = lambda c, one, two: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[one], x[two])), ","), F.lit(""))
+    return told.select("doc_id", *[line(F.col(c), *names).alias(c) for c, names in fields.items()])
 
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,3 +449,10 @@ SELECT doc_id, n_available, CASE WHEN n_available >= 5 THEN greatest(0, least(10
     "export_union": f"""WITH {_RATIOS_CTE} SELECT doc_id, 'financial' AS section, metric_key AS key, yr, round(val, 4) AS value, NULL::VARCHAR AS status FROM fx_facts
 UNION ALL SELECT doc_id, 'ratio', ratio_key, cur_year, round(value, 4), status FROM rt""",
 }
+_SURE = [s for s in TRUSTED_SOURCES if s not in ("manual", "ras_ocr_form", "ifrs_primary_statement", "ifrs_disclosure_note")]
+ORACLE_SQL["payload"] = f"""WITH a AS (SELECT *, CASE WHEN metric_key = 'inventory' AND doc_id % 2 = 0 THEN 0.5 ELSE coalesce(confidence, 0) END AS sure FROM ({ORACLE_SQL["merge_attributes"]})),
+m AS (SELECT doc_id, string_agg(metric_key || ':' || source_type, ',' ORDER BY metric_key) AS metrics FROM a
+  WHERE source_type = 'manual' OR sure >= 0.90 OR (sure >= 0.72 AND source_type IN ({", ".join(repr(x) for x in _SURE)})) GROUP BY doc_id),
+r AS (SELECT doc_id, string_agg(ratio_key || ':' || status, ',' ORDER BY ratio_key) AS ratios FROM ({ORACLE_SQL["ratios_industrial"]}) WHERE status <> 'na' GROUP BY doc_id),
+f AS (SELECT doc_id, string_agg(code || ':' || severity, ',' ORDER BY ord) AS flags FROM ({ORACLE_SQL["risk_numeric"]}) GROUP BY doc_id)
+SELECT doc_id, coalesce(metrics, '') AS metrics, coalesce(ratios, '') AS ratios, coalesce(flags, '') AS flags FROM m FULL JOIN r USING (doc_id) LEFT JOIN f USING (doc_id)"""

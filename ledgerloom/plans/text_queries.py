@@ -137,12 +137,12 @@ def section_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operational_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as operational figures: name, and price by size as a year."""
+    """Parts as operational figures: name, and price by size as a year; documents of 50 parts."""
     parts = table(spark, sf_dir, "part").select(
-        (F.col("p_partkey") % 20).alias("doc_id"), F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"),
+        F.floor(F.col("p_partkey") / 50).alias("doc_id"), F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"),
         F.create_map(F.lit("2001"), F.round(F.col("p_size") * 1.0, 0)).alias("values"), F.lit("spreadsheet").alias("source_type"), F.lit(0.9).alias("confidence"),
     )
-    return J.operational_unique(parts, T.LATIN).select("doc_id", "ord", F.md5("name").alias("name_md5"))
+    return J.operational_unique(parts, T.LATIN).select("doc_id", "ord", "category", F.md5("name").alias("name_md5"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -203,3 +203,10 @@ a AS (SELECT conv_id, string_agg(DISTINCT yr::VARCHAR, ',' ORDER BY yr::VARCHAR)
 SELECT conv_id AS doc_id, count(*) AS n_pages, count(*) FILTER (trim(coalesce(text, '')) <> '') AS text_pages, 0::BIGINT AS ocr_pages, coalesce(any_value(years), '') AS years
 FROM conversations LEFT JOIN a USING (conv_id) GROUP BY conv_id""",
 }
+ORACLE_SQL["operational_dedup"] = f"""WITH p AS (SELECT p_partkey // 50 AS doc_id, p_partkey AS k, concat_ws(' ', p_name, p_brand, p_type) AS name, p_size FROM part),
+t AS (SELECT k, unnest(regexp_extract_all(lower(name), '{_WORD_SQL}')) AS w FROM p), m AS (SELECT k, max(c) AS top, sum(c) AS n FROM (SELECT k, w, count(*) AS c FROM t GROUP BY k, w) GROUP BY k),
+f AS (SELECT * FROM p JOIN m USING (k) WHERE n >= 2 AND top / n <= 0.25 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name), p_size ORDER BY k) = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k)::INTEGER AS ord, '{J.OTHER}' AS category, md5(name) AS name_md5 FROM f QUALIFY ord <= 250"""
+ORACLE_SQL["numbers_read"] = r"""WITH x AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\(?[\x{2212}-]?\d(?:[\d \x{00a0}]*\d)?(?:[,.]\d+)?\)?') AS cells FROM documents),
+n AS (SELECT doc_id, [TRY_CAST(CASE WHEN starts_with(c, '(') AND ends_with(c, ')') THEN '-' ELSE '' END || replace(regexp_replace(translate(c, '−,', '-.'), '[() \x{00a0}]', '', 'g'), '--', '-') AS DOUBLE) FOR c IN cells] AS v FROM x)
+SELECT doc_id, len(v)::INTEGER AS n_numbers, list_max(v) AS largest, list_min(v) AS least FROM n"""
