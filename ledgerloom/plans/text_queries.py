@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.scalars import number_tokens, parse_number
 from ..operators import text_jobs as J
 from ..operators.risk import capped, text_flags
-from .fixtures import table
+from .fixtures import spread, table
 
 RULES = [("risks", ["ation", "risk"]), ("strategy", ["ment", "plan"]), ("esg", ["heit"]), ("governance", ["ción"])]
 RISKS = [("sanctions", "high", ["worthless", "clown"]), ("climate", "medium", ["license", "copyright"]), ("cyber", "medium", ["token"]), ("legal", "medium", ["password", "secret"])]
@@ -21,7 +21,7 @@ KNOWN = ["license", "copyright", "warranty"]
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
