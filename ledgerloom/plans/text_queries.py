@@ -210,3 +210,29 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k)::INTEGER AS or
 ORACLE_SQL["numbers_read"] = r"""WITH x AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\(?[\x{2212}-]?\d(?:[\d \x{00a0}]*\d)?(?:[,.]\d+)?\)?') AS cells FROM documents),
 n AS (SELECT doc_id, [TRY_CAST(CASE WHEN starts_with(c, '(') AND ends_with(c, ')') THEN '-' ELSE '' END || replace(regexp_replace(translate(c, '−,', '-.'), '[() \x{00a0}]', '', 'g'), '--', '-') AS DOUBLE) FOR c IN cells] AS v FROM x)
 SELECT doc_id, len(v)::INTEGER AS n_numbers, list_max(v) AS largest, list_min(v) AS least FROM n"""
+_CODES_SQL = rf"""len(list_distinct(regexp_extract_all(' ' || regexp_replace(text, '(\d+)', ' \1 ', 'g'), ' {_CODE} ')))"""
+_TITLED = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+_ALPHA = "[А-Яа-яЁёA-Za-z]"
+ORACLE_SQL["page_triage"] = rf"""WITH {_DOCS}, k AS (SELECT doc_id, text, regexp_extract_all(text, '{T.TOKEN}') AS w, {_CODES_SQL} >= 2 OR {_TITLED(T.STATEMENT_TITLES)} AS evidence FROM d),
+c AS (SELECT *, len(w) AS n, len([x FOR x IN w IF regexp_matches(x, '{_ALPHA}')]) AS alpha, len([x FOR x IN w IF length(x) = 1 AND NOT regexp_matches(x, '[0-9]')]) AS single,
+  len([x FOR x IN w IF length(x) >= 3 AND regexp_matches(x, '{_ALPHA}')]) AS long,
+  2 * len(regexp_extract_all(text, '\x{{FFFD}}')) + len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS broken FROM k),
+q AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE round(greatest(0, least(100, least(45, n / 4) + long / greatest(alpha, 1) * 45 - single / n * 45 - least(35, broken * 4))), 1) END AS quality FROM c)
+SELECT doc_id, reason, quality::DOUBLE AS quality FROM (SELECT *, CASE WHEN length(trim(text)) < 80 THEN 'short' WHEN quality < 52 THEN 'poor' WHEN evidence AND quality < 78 THEN 'evidence' END AS reason FROM q) WHERE reason IS NOT NULL"""
+ORACLE_SQL["page_neighbours"] = rf"""WITH {_DOCS}, p AS (SELECT doc_id // 50 AS doc_id, (doc_id % 50 + 1)::INTEGER AS page,
+  4 * {_CODES_SQL} + CASE WHEN {_TITLED([w for _, words in J.PAGE_KINDS for w in words])} THEN 30 ELSE 0 END AS score FROM d),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page DESC) AS rank FROM p WHERE score > 0),
+n AS (SELECT doc_id, page + o AS page, min(rank * 10 + pos) AS place FROM h, (VALUES (0, 0), (1, 1), (2, -1)) v(pos, o) GROUP BY ALL),
+t AS (SELECT n.doc_id, n.page, row_number() OVER (PARTITION BY n.doc_id ORDER BY place) AS ord FROM n SEMI JOIN p ON p.doc_id = n.doc_id AND p.page = n.page),
+b AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS c, max(score) OVER (PARTITION BY doc_id) AS top FROM p),
+s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS ord FROM b WHERE top = 0 AND list_contains([round_even(x * (c - 1) / 5, 0) FOR x IN range(least(6, c))], i))
+SELECT doc_id, page::INTEGER AS page, ord::INTEGER AS ord FROM t WHERE ord <= 6 UNION ALL SELECT doc_id, page, ord::INTEGER FROM s"""
+ORACLE_SQL["section_acceptance"] = rf"""WITH r AS (SELECT conv_id AS doc_id, turn, role, coalesce(text, '') AS text, {_CLAIMS_SQL} AS c, row_number() OVER () AS id FROM conversations),
+s AS (SELECT id, {_SQUEEZED_SQL} AS t FROM r), {_TOKENS_CTE},
+a AS (SELECT doc_id, flatten(list(c)) AS allowed FROM r GROUP BY doc_id),
+good AS (SELECT r.* FROM r JOIN s USING (id) JOIN a USING (doc_id) LEFT JOIN m USING (id) WHERE role = 'assistant' AND length(t) BETWEEN 8 AND 1400 AND coalesce(n, 0) >= 3 AND top / n <= 0.20 AND NOT ({_NOISE_SQL(T.BULLET_NOISE)})
+  AND len([x FOR x IN c IF x NOT IN ('1', '2', '3', '4', '5', '6', '7', '8', '9') AND NOT list_contains(allowed, x)]) = 0),
+taken AS (SELECT * FROM good QUALIFY count(*) OVER (PARTITION BY doc_id) >= {J.SECTION_LEAST['risks']}),
+u AS (SELECT doc_id, turn, text FROM taken UNION ALL SELECT doc_id, turn, text FROM r WHERE role IS DISTINCT FROM 'assistant' AND role IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM taken)),
+k2 AS (SELECT *, {_KEY_SQL} AS key FROM u), f AS (SELECT * FROM k2 WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY turn) = 1)
+SELECT doc_id, 'risks' AS section, row_number() OVER (PARTITION BY doc_id ORDER BY turn)::INTEGER AS ord, md5(text) AS text_md5 FROM f QUALIFY ord <= 5"""
