@@ -73,7 +73,7 @@ def text_rows(pages: DataFrame) -> DataFrame:
     # 37 lines of the forms
     met = windows.join(F.broadcast(ras_lines(pages.sparkSession)), "kind")
     tail = F.expr(r"regexp_extract(near, concat('(?s)(?<!\\d)', code, '(?!\\d)(.*)$'), 1)")
-    coded = F.expr(r"rlike(near, concat('(?<!\\d)', code, '(?!\\d)'))")
+    coded = F.expr(r"contains(near, code) AND rlike(near, concat('(?<!\\d)', code, '(?!\\d)'))")
     met = met.withColumn("coded", coded).where(F.col("coded") | F.forall("parts", lambda p: F.col("label").contains(p)))
     numbers = F.filter(number_tokens(F.when(F.col("coded"), tail).otherwise(F.col("near"))), lambda v: F.abs(v) >= 1000)
     met = met.withColumn("numbers", numbers).where(F.size("numbers") >= F.col("n_values"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import ratios as R
 from ..operators import recovery as Y
 from ..operators import trends
-from .fixtures import FX_SQL, facts, table
+from .fixtures import FX_SQL, facts, spread, table
 from .statement_queries import ORACLE_SQL as STATEMENTS
 from .statement_queries import QUERIES as STATEMENT_QUERIES
 
@@ -27,7 +27,7 @@ def _whole(expr: str) -> F.Column:
 
 def _form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page an order: a balance for every third, a profit and loss for the next, else a page of one code only."""
-    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "o_orderkey % 3 AS kind", "cast(floor(o_totalprice) AS bigint) + 1000 AS a", "year(o_orderdate) AS reporting_year")
+    orders = spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS doc_id", "o_orderkey % 3 AS kind", "cast(floor(o_totalprice) AS bigint) + 1000 AS a", "year(o_orderdate) AS reporting_year")
     amount = lambda text, *parts: F.concat_ws("\n", F.lit(text), *parts)
     row = lambda name, *exprs: F.concat_ws(" | ", F.lit(name), *map(_whole, exprs))
     # a window of three lines holds one row, as between rows stand two lines without numbers
