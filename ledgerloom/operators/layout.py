@@ -26,32 +26,34 @@ def lines(words: DataFrame, least_confidence: float = 15.0) -> DataFrame:
     return grouped.withColumn("text", F.array_join(F.transform("_w", lambda w: w["text"]), " ")).drop("_w")
 
 
-def amounts(words: DataFrame, least_gap: float, per_height: float, whole: bool = True) -> DataFrame:
-    """(LINE, grp, value, left, n_digits): numeric words joined across small gaps into amounts.
+def amounts(words: DataFrame, least_gap: float, per_height: float, whole: bool = True, by: list[str] = LINE, taller: bool = False) -> DataFrame:
+    """(by, grp, value, left, n_digits): numeric words joined across small gaps into amounts.
 
     A gap over max(least_gap, per_height times the height of the word before) begins
-    another amount; with whole the second bound is cut to a whole number.
+    another amount; with whole the second bound is cut to a whole number, with taller
+    the taller of the two words counts.
     """
     raw = F.translate(repair_digits(F.trim("text")), "−~", "--")
     numeric = words.withColumn("_raw", raw).where(F.col("_raw").rlike(NUMERIC))
-    order = Window.partitionBy(*LINE).orderBy("left", "word_no")
-    tall = F.lag("height").over(order) * per_height
+    order = Window.partitionBy(*by).orderBy("left", "word_no")
+    before = F.lag("height").over(order)
+    tall = (F.greatest(before, "height") if taller else before) * per_height
     gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(order)
     far = (gap > F.greatest(F.lit(float(least_gap)), F.floor(tall).cast("double") if whole else tall)).cast("int")
     islands = numeric.withColumn("_far", F.coalesce(far, F.lit(0))).withColumn("grp", F.sum("_far").over(order))
     parts = F.array_sort(F.collect_list(F.struct("left", "word_no", "_raw")))
-    grouped = islands.groupBy(*LINE, "grp").agg(parts.alias("_w"), F.min("left").alias("left"))
+    grouped = islands.groupBy(*by, "grp").agg(parts.alias("_w"), F.min("left").alias("left"))
     text = F.array_join(F.transform("_w", lambda w: w["_raw"]), " ")
     joined = grouped.withColumn("_t", text).withColumn("_d", F.regexp_replace("_t", r"\D", ""))
     size = F.col("_d").try_cast("double")
     negative = F.col("_t").contains("(") | F.col("_t").rlike(r"^\s*-")
-    return joined.select(*LINE, "grp", F.when(negative, -size).otherwise(size).alias("value"), "left", F.length("_d").alias("n_digits"), "_t")
+    return joined.select(*by, "grp", F.when(negative, -size).otherwise(size).alias("value"), "left", F.length("_d").alias("n_digits"), "_t")
 
 
-def widest_amount(found: DataFrame) -> DataFrame:
+def widest_amount(found: DataFrame, by: list[str] = LINE) -> DataFrame:
     """Of each line the amount of most digits, the rightmost on ties."""
     best = F.max_by("value", F.struct("n_digits", "left"))
-    return found.groupBy(*LINE).agg(best.alias("value"))
+    return found.groupBy(*by).agg(best.alias("value"))
 
 
 def bank_columns(words: DataFrame, reach: float = 500.0) -> DataFrame:
