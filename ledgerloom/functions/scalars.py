@@ -130,14 +130,14 @@ def number_tokens(text: Column) -> Column:
 def two_amounts(tokens: Column) -> Column:
     """The split of digit groups into two amounts of most similar size: (first, second).
 
-    Score of a cut: |log10 of the ratio| plus 0.15 for each group that one side has more.
+    Neither amount is zero. Score of a cut: |log10 of the ratio| plus 0.15 for each group that one side has more.
     """
     size = F.size(tokens)
 
     def cut(i):
         left, right = F.slice(tokens, 1, i), F.slice(tokens, i + 1, size - i)
-        a, b = F.array_join(left, "").try_cast("double"), F.array_join(right, "").try_cast("double")
-        far = F.abs(F.log10(F.greatest(F.abs(a), F.lit(1e-9)) / F.greatest(F.abs(b), F.lit(1e-9))))
+        a, b = (F.nullif(parse_number(F.array_join(side, " ")), F.lit(0.0)) for side in (left, right))
+        far = F.abs(F.log10(F.abs(a) / F.abs(b)))
         return F.struct((far + 0.15 * F.abs(2 * i - size)).alias("score"), i.alias("at"), a.alias("first"), b.alias("second"))
 
     cuts = F.transform(F.sequence(F.lit(1), size - 1), cut)
@@ -145,6 +145,25 @@ def two_amounts(tokens: Column) -> Column:
     return F.when(size >= 2, F.struct(best["first"].alias("first"), best["second"].alias("second")))
 
 
+def text_pair(text: Column) -> Column:
+    """(first, second): the two amounts at the end of a line of text; null where there aren't two.
+
+    A note's number before the words and years don't count; two amounts in brackets are the pair.
+    """
+
+    def pair(raw: Column) -> Column:
+        line = F.regexp_replace(F.translate(repair_digits(F.trim(raw)), "\u2212}]", "-))"), r"^\s*\d+(?:\s*,\s*\d+)*\s+[—–-]?\s*(?=[A-Za-zА-Яа-яЁё])", "")
+        bracketed = F.regexp_extract_all(line, F.lit(r"\([^)]*\d[^)]*\)"), F.lit(0))
+        found = F.regexp_extract_all(line, F.lit(r"\([^)]*\d[^)]*\)|[-+]?\d[\d.,]*"), F.lit(0))
+        tokens = F.filter(found, lambda t: ~t.rlike(r"^(19|20)\d{2}$"))
+        two = lambda a: F.struct(parse_number(F.get(a, F.lit(0))).alias("first"), parse_number(F.get(a, F.lit(1))).alias("second"))
+        split = F.when(F.size(tokens) > 2, two_amounts(tokens))
+        chosen = F.when(F.size(bracketed) == 2, two(bracketed)).when(F.size(tokens) == 2, two(tokens)).otherwise(split)
+        return F.when(chosen["first"].isNotNull() & chosen["second"].isNotNull(), chosen)
+
+    return bound(text, pair)
+
+
 def comma_decimal(value: Column, digits: int) -> Column:
     return F.translate(F.format_number(value, digits), ",.", " ,")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_label, repair_digits
+from ..functions.scalars import normalize_label, repair_digits, text_pair
 from ..functions.vocabulary import BANK_CASH_NOT, IFRS_SUBTOTALS, NEGATIVE, bank_lines, ifrs_lines, ras_lines
 from .text_jobs import IFRS_KINDS, first_category
 
@@ -183,6 +183,16 @@ def two_column_values(words: DataFrame, reporting_year: Column) -> DataFrame:
     return cells.groupBy(*LINE).agg(side(0).alias("first"), side(1).alias("second")).where("first IS NOT NULL AND second IS NOT NULL")
 
 
+def line_values(words: DataFrame, rows: DataFrame, reporting_year: Column) -> DataFrame:
+    """(LINE, first, second): amounts under the two year headers, else the two amounts of the line's text.
+
+    rows: LINE, text; lines without two amounts are left out.
+    """
+    placed = rows.select(*LINE, text_pair(F.col("text")).alias("pair")).join(two_column_values(words, reporting_year), LINE, "left")
+    value = lambda c: F.when(F.col("first").isNotNull(), F.col(c)).otherwise(F.col(f"pair.{c}")).alias(c)
+    return placed.select(*LINE, value("first"), value("second")).where("first IS NOT NULL")
+
+
 def ifrs_rows(rows: DataFrame, values: DataFrame, pages: DataFrame, most: float = 1e11) -> DataFrame:
     """(doc_id, metric_key, first, second, score): lines of primary statements, best per metric.
 

@@ -58,7 +58,8 @@ def page_tables(words: DataFrame, pages: DataFrame) -> DataFrame:
     """(PAGE, header_line, line_no, code, label, yr, val, confidence): the first table of each page, a row an amount.
 
     words: as in layout; pages: PAGE, ocr_quality. A row has a label of letters left of the years and
-    an amount under one of them; on a statutory form a line code, which names it, and two amounts.
+    an amount under one of them; words with letters that are read for digits (O, I, l) are no part
+    of the label. On a statutory form a row has a line code, which names it, and two amounts.
     Amounts over the ceiling are left out, rows of amounts over 50 times apart and repeated rows too.
     A table has two rows or more. Null texts count as empty; pages of null or low quality give nothing.
     One shuffle by page serves all steps: years and columns meet by order, not by a range join.

@@ -78,12 +78,12 @@ def bank_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _statement(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(words, pages) of a balance a customer; every fourth states its cash beside the label."""
+    """(words, pages) of a balance a customer; every fourth states its cash beside the label, and all state assets left of the columns."""
     at, when = (300, 500), "IF(k % 4 = 0, {0}, NULL)"
     cells = [
         *_pair(0, 0, "2024", "2023", at), *_said(1, 30, "Current assets"), *_said(2, 60, "Inventories"), *_pair(2, 60, "a", "a + 1", at),
         *_said(3, 90, "Cash and cash equivalents"), *_pair(3, 90, when.format("a + 5"), when.format("a + 6"), at), *_pair(4, 120, "a + 2", "a + 3", at),
-        *_said(5, 150, "Non-current assets"), *_pair(6, 180, "a * 2", "a * 2 + 1", at), *_said(7, 210, "Total assets"), *_pair(7, 210, "a * 3", "a * 3 + 1", at),
+        *_said(5, 150, "Non-current assets"), *_pair(6, 180, "a * 2", "a * 2 + 1", at), *_said(7, 210, "Итого активы"), *_pair(7, 210, "a * 3", "a * 3 + 1", (160, 200)),
         *_said(8, 240, "Total liabilities and equity"), *_pair(8, 240, "a * 3", "a * 3 + 1", at),
     ]
     owners = _customers(spark, sf_dir)
@@ -92,12 +92,14 @@ def _statement(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def ifrs_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, pages = _statement(spark, sf_dir)
-    return layout.ifrs_rows(layout.lines(words), layout.two_column_values(words, F.lit(2024)), pages)
+    rows = layout.lines(words)
+    return layout.ifrs_rows(rows, layout.line_values(words, rows, F.lit(2024)), pages)
 
 
 def ifrs_section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, _ = _statement(spark, sf_dir)
-    return layout.ifrs_subtotals(layout.lines(words), layout.two_column_values(words, F.lit(2024))).drop("page")
+    rows = layout.lines(words)
+    return layout.ifrs_subtotals(rows, layout.line_values(words, rows, F.lit(2024))).drop("page")
 
 
 QUERIES = {f.__name__: f for f in (page_tables, bank_forms, ifrs_statements, ifrs_section_totals)}

@@ -1,6 +1,7 @@
 import json
 
 from ledgerloom.operators import layout, text_jobs
+from ledgerloom.operators.page_tables import page_tables
 from ledgerloom.sources import readers, sinks
 from ledgerloom.streaming import ingest
 
@@ -95,6 +96,53 @@ def test_csv_keeps_the_header(spark, tmp_path):
     assert got == [["Показатель", "2024", "2025"], ["Выручка", "1 200", "1 300"]]
 
 
+def test_csv_of_either_encoding(spark, tmp_path):
+    (tmp_path / "utf.csv").write_text('Показатель,2024\n"Выручка, всего","1 ""200"""\n', encoding="utf-8")
+    (tmp_path / "old.csv").write_bytes('Показатель;2024;\r\n;"a;b";Ёж №1\r\n'.encode("cp1251"))
+    (tmp_path / "empty.csv").write_text("")
+    got = readers.statement_csv(spark, str(tmp_path)).orderBy("path", "row_no").collect()
+    assert [r.cells for r in got] == [["Показатель", "2024", ""], ["", "a;b", "Ёж №1"], ["Показатель", "2024"], ["Выручка, всего", '1 "200"']]
+
+
+def page_rows(spark, lines, quality=90.0):
+    pages = spark.createDataFrame([(1, 1, quality)], "doc_id long, page int, ocr_quality double")
+    rows = page_tables(words(spark, lines), pages).orderBy("line_no", "yr").collect()
+    return [(r.line_no, r.code, r.label, r.yr, r.val) for r in rows]
+
+
+def test_page_tables(spark):
+    years = [(400, "2024"), (700, "2023")]
+    lines = [
+        years,
+        [(0, "Revenue"), (80, "sum:"), (130, "total"), (380, "1"), (400, "200"), (690, "(900)")],
+        [(0, "Costs"), (690, "800")],
+        [(0, "Costs"), (690, "800")],  # a repeated row; above, total has a letter that is read for a digit
+        [(0, "Far"), (380, "1"), (690, "80")],  # 80 times apart
+        [(380, "5"), (690, "6")],  # no label
+        [(400, "2022"), (700, "2021")],  # ends the table
+        [(0, "Other"), (380, "5")],
+    ]
+    assert page_rows(spark, lines) == [
+        (1, None, "Revenue sum", 2023, -900.0), (1, None, "Revenue sum", 2024, 1200.0), (2, None, "Costs", 2023, 800.0)
+    ]
+    assert page_rows(spark, lines, quality=47.0) == page_rows(spark, lines, quality=None) == page_rows(spark, lines[:2]) == []
+
+
+def test_page_tables_of_a_form(spark):
+    lines = [
+        [(400, "2024"), (700, "2023")],
+        [(0, "Bыpучка"), (200, "2110"), (400, "500"), (700, "400")],
+        [(0, "Себестоимость"), (200, "2120"), (400, "50")],  # one amount
+        [(0, "Запасы"), (400, "50"), (700, "40")],  # no code
+        [(0, "x"), (200, "1210"), (400, "30000000000"), (700, "40")],  # over the ceiling
+        [(0, None), (200, "2400"), (400, "70"), (700, "60")],
+    ]
+    assert page_rows(spark, [[(left, text or "") for left, text in line] for line in lines]) == [
+        (1, "2110", "Выручка", 2023, 400.0), (1, "2110", "Выручка", 2024, 500.0),
+        (5, "2400", "Чистая прибыль (убыток)", 2023, 60.0), (5, "2400", "Чистая прибыль (убыток)", 2024, 70.0),
+    ]
+
+
 def test_sinks(spark, tmp_path):
     facts = spark.createDataFrame([(1, "cash", 2024, 5.0)], "doc_id long, metric_key string, yr int, val double")
     found = spark.createDataFrame([(1, "roa", 0.1, "good", 2024, "10.0%")], "doc_id long, ratio_key string, value double, status string, cur_year int, display string")

@@ -55,3 +55,11 @@ def test_cleaning(spark):
     text = "Выруч-\nка за год\n_____\nab\n\n\n\nИтог"
     assert one(spark, T.clean_text, text) == "Выручка за год\n\nИтог"
     assert one(spark, T.repair_alphabet, "Bыpучка cash") == "Выручка cash"
+
+
+def test_amounts_of_a_line(spark):
+    from ledgerloom.functions.scalars import text_pair
+
+    lines = ["7 Выручка 3 596 395 4 368 456", "Расходы (1 200) (900)", "3 596 395 4 368 456", "Активы 5,5 6,5", "За 2024 и 2023 годы", "Нет", "(1 200) 900 0", "", None]
+    got = [r.p and tuple(r.p) for r in spark.createDataFrame([(x,) for x in lines], "t string").select(text_pair(F.col("t")).alias("p")).collect()]
+    assert got == [(3596395.0, 4368456.0), (-1200.0, -900.0), (3596395.0, 4368456.0), (5.5, 6.5), None, None, (-1200.0, 9000.0), None, None]
