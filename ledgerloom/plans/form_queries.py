@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import layout, text_jobs
 from ..operators.page_tables import page_tables as tables_of
 from .fixtures import spread, table
 
@@ -102,7 +102,22 @@ def ifrs_section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.ifrs_subtotals(rows, layout.line_values(words, rows, F.lit(2024))).drop("page")
 
 
-QUERIES = {f.__name__: f for f in (page_tables, bank_forms, ifrs_statements, ifrs_section_totals)}
+def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page a customer: two labels with years and amounts in running text, between them a line that is none."""
+    text = F.concat(
+        F.lit("Revenue total 2024 "), F.col("a"), F.lit(" 2023 -"), F.expr("a + 7"), F.lit("\nдалее 2024 год\nЗапасы, тыс. руб. 2024 1 234,5 2023 "), F.expr("a * 2"), F.lit("\n")
+    )
+    return text_jobs.text_metrics(_customers(spark, sf_dir).select("doc_id", "page", text.alias("text"))).drop("page")
+
+
+def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages a customer; the first lists statements, one beyond the document, one only in every third."""
+    lines = ["'Contents'", "'Consolidated statement of financial position .... 2'", "'Balance sheet 99'", "'Notes 3'", "IF(k % 3 = 0, 'Income statement 3', 'Income statement')"]
+    pages = _customers(spark, sf_dir).drop("page").select("doc_id", F.expr(f"concat_ws('\n', {', '.join(lines)})").alias("first"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("page"))
+    return text_jobs.contents_pages(pages.select("doc_id", "page", F.when(F.col("page") == 1, F.col("first")).alias("text")))
+
+
+QUERIES = {f.__name__: f for f in (page_tables, bank_forms, ifrs_statements, ifrs_section_totals, text_metrics, contents_pages)}
 
 _A = "a AS (SELECT c_custkey AS doc_id, c_custkey AS k, floor(abs(c_acctbal))::BIGINT + 10000 AS a FROM customer)"
 ORACLE_SQL = {
@@ -125,6 +140,10 @@ UNION ALL SELECT doc_id, 'net_profit', '0409807', '26', a::DOUBLE, (a + 9)::DOUB
     "ifrs_statements": f"""WITH {_A} SELECT doc_id, 'inventory' AS metric_key, a::DOUBLE AS first, (a + 1)::DOUBLE AS second, 380.0::DOUBLE + k % 30 AS score FROM a
 UNION ALL SELECT doc_id, 'assets', 3.0::DOUBLE * a, 3.0::DOUBLE * a + 1, 380.0::DOUBLE + k % 30 FROM a
 UNION ALL SELECT doc_id, 'cash', (CASE WHEN k % 4 = 0 THEN a + 5 ELSE a END)::DOUBLE, (CASE WHEN k % 4 = 0 THEN a + 6 ELSE a + 1 END)::DOUBLE, CASE WHEN k % 4 = 0 THEN 380.0::DOUBLE ELSE 280 END + k % 30 FROM a""",
+    "text_metrics": f"""WITH {_A} SELECT doc_id, label, yr, v::DOUBLE AS val FROM (SELECT doc_id, unnest([
+  {{'label': 'Revenue total', 'yr': 2024, 'v': a::DOUBLE}}, {{'label': 'Revenue total', 'yr': 2023, 'v': -(a + 7)::DOUBLE}},
+  {{'label': 'Запасы, тыс. руб.', 'yr': 2024, 'v': 1234.5::DOUBLE}}, {{'label': 'Запасы, тыс. руб.', 'yr': 2023, 'v': a * 2.0::DOUBLE}}], recursive := true) FROM a)""",
+    "contents_pages": f"WITH {_A} SELECT doc_id, 2 AS target FROM a UNION ALL SELECT doc_id, 3 FROM a WHERE k % 3 = 0",
     "ifrs_section_totals": f"""WITH {_A} SELECT doc_id, 'current_assets' AS metric_key, 4::BIGINT AS line_no, (a + 2)::DOUBLE AS first, (a + 3)::DOUBLE AS second FROM a
 UNION ALL SELECT doc_id, 'noncurrent_assets', 6, 2.0::DOUBLE * a, 2.0::DOUBLE * a + 1 FROM a""",
 }
