@@ -30,9 +30,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("double").alias("ocr_quality"))
 
 
+VOWELS = "[aeiouyáéíóúèêäöü]"
+
+
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("mean_confidence", F.lit(80.0))
-    return J.quality_scores(docs, T.LATIN, vowels="[aeiouyáéíóúèêäöü]").select("doc_id", "native", "reading")
+    return J.quality_scores(docs, T.LATIN, vowels=VOWELS).select("doc_id", "native", "reading")
 
 
 def narrative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +166,21 @@ _TOKENS_CTE = f"""k AS (SELECT id, unnest(regexp_extract_all(lower(t), '{_WORD_S
 m AS (SELECT id, max(c) AS top, sum(c) AS n FROM (SELECT id, w, count(*) AS c FROM k GROUP BY id, w) GROUP BY id)"""
 _NOISE_SQL = lambda words: " OR ".join(f"contains(lower(t), '{w}')" for w in words)
 _RULE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f"""contains(l, '{w}')""" for w in words)} THEN '{name}'" for name, words in RULES) + " END"
+#: A letter three times in a row, for an engine without back references.
+_THRICE = "|".join(chr(c) * 3 for first, last in ("09", "az", "àÿ", "ая") for c in range(ord(first), ord(last) + 1))
+_QUALITY_SQL = rf"""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(text, '{T.TOKEN}')) AS w FROM documents),
+e AS (SELECT *, regexp_matches(w, '[А-Яа-яЁёA-Za-z]') AS ab, NOT regexp_full_match(w, '[0-9]+') AS alpha, regexp_matches(w, '{T.LATIN}') AND NOT regexp_full_match(w, '[0-9]+') AS own, replace(lower(w), 'ё', 'е') AS l FROM k),
+r AS (SELECT doc_id, max(c)::DOUBLE / sum(c) AS repeated FROM (SELECT doc_id, lower(w) AS w, count(*) AS c FROM e WHERE alpha GROUP BY ALL) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*)::DOUBLE AS n, greatest(count(*) FILTER (ab), 1)::DOUBLE AS ab, (count(*) FILTER (length(w) = 1 AND NOT regexp_full_match(w, '[0-9]')))::DOUBLE AS short, (count(*) FILTER (ab AND length(w) >= 3))::DOUBLE AS long,
+  (count(*) FILTER (alpha))::DOUBLE AS alpha, (count(*) FILTER (own))::DOUBLE AS own, (count(*) FILTER (alpha AND regexp_matches(w, '[А-Яа-яЁё]') AND regexp_matches(w, '[A-Za-z]')))::DOUBLE AS mixed,
+  coalesce(sum(CASE WHEN list_contains({T.FINANCIAL_WORDS!r}, l) THEN 2 WHEN length(regexp_replace(l, '[^A-Za-zÀ-ÿ]', '', 'g')) >= 3 AND regexp_matches(l, '{VOWELS}') AND NOT regexp_matches(l, '{_THRICE}') THEN 1 ELSE 0 END) FILTER (own), 0)::DOUBLE AS sense FROM e GROUP BY doc_id),
+t AS (SELECT doc_id, 2 * len(regexp_extract_all(text, '�')) + len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS broken FROM documents)
+SELECT doc_id, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, least(45.0::DOUBLE, n / 4) + long / ab * 45 - short / n * 45 - least(35.0::DOUBLE, broken * 4.0::DOUBLE))), 1) END AS native,
+  CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 80.0::DOUBLE * 0.62::DOUBLE + alpha / n * 13 + own / greatest(alpha, 1) * 8 + CASE WHEN own > 0 THEN sense / own ELSE 0 END * 12 + least(12.0::DOUBLE, n / 18)
+    - greatest(0.0::DOUBLE, (n - alpha) / n - 0.7::DOUBLE) * 12 - short / n * 25 - mixed / greatest(alpha, 1) * 18 - greatest(0.0::DOUBLE, coalesce(repeated, 0) - 0.2::DOUBLE) * 30)), 1) END AS reading
+FROM t LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id)"""
 ORACLE_SQL = {
+    "text_quality": _QUALITY_SQL,
     "number_grounding": f"""WITH t AS (SELECT conv_id, turn, {_CLAIMS_SQL} AS c FROM conversations), f AS (SELECT conv_id, flatten(list(c)) AS allowed FROM t WHERE turn = 0 GROUP BY conv_id)
 SELECT conv_id AS doc_id, turn::INTEGER AS page, len(c)::INTEGER AS n_numbers,
   len([x FOR x IN c IF x NOT IN ('1', '2', '3', '4', '5', '6', '7', '8', '9') AND NOT list_contains(coalesce(allowed, []), x)]) = 0 AS grounded FROM t LEFT JOIN f USING (conv_id)""",
