@@ -26,10 +26,10 @@ STATEMENT_CODE = r"(?<!\d)(?:1[1-7]\d0|2[1-5]\d0|4[1-5]\d0)(?!\d)"
 TABLE_NOISE = ["наименование показателя", "пояснения код", "единица измерения", "2025за", "2024за"]
 KPI_NOISE = ["наименование показателя", "единица измерения", "пояснения код", "2025за", "2024за", "строка строк", "графа граф"]
 BULLET_NOISE = ["наименование показателя", "единица", "2025за", "2024за", "пояснения код"]
-TOKEN = "[А-Яа-яЁёA-Za-zÀ-ÿ0-9]+"
+TOKEN = "[А-Яа-яЁёA-Za-zÀ-ÖØ-öø-ÿ0-9]+"
 LOOK_ALIKES = ("ABCEHKMOPTXYaceopxy", "АВСЕНКМОРТХУасеорху")
-CYRILLIC, LATIN = "[А-Яа-яЁё]", "[A-Za-zÀ-ÿ]"
-_LETTERS = "А-Яа-яЁёA-Za-zÀ-ÿ"
+CYRILLIC, LATIN = "[А-Яа-яЁё]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_LETTERS = "А-Яа-яЁёA-Za-zÀ-ÖØ-öø-ÿ"
 # ---- end of fixed values ----
 
 

@@ -159,7 +159,7 @@ _YEAR_SQL = r"""list_distinct([x[2:5]::INTEGER FOR x IN regexp_extract_all(' ' |
 _CLAIMS_SQL = r"""list_distinct([replace(x, ',', '.') FOR x IN regexp_extract_all(regexp_replace(coalesce(text, ''), '([A-Za-zА-Яа-яЁё])\d', '\1 ', 'g'), '\d+(?:[.,]\d+)?')])"""
 _SQUEEZED_SQL = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 _LABEL_SQL = lambda c: rf"trim(regexp_replace(regexp_replace(translate(lower({c}), 'ё', 'е'), '[\x{{00AD}}\x{{2010}}-\x{{2015}}]', '-', 'g'), '\s+', ' ', 'g'), ' .,:;–—-' || chr(9))"
-_WORD_SQL = "[А-Яа-яЁёA-Za-zÀ-ÿ]{3,}"
+_WORD_SQL = "[А-Яа-яЁёA-Za-zÀ-ÖØ-öø-ÿ]{3,}"
 _KEY_SQL = "trim(regexp_replace(translate(lower(text), 'ё', 'е'), '[^а-яa-z0-9]+', ' ', 'g'))"
 _SAYS = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
 _TOKENS_CTE = f"""k AS (SELECT id, unnest(regexp_extract_all(lower(t), '{_WORD_SQL}')) AS w FROM s),
@@ -173,7 +173,7 @@ e AS (SELECT *, regexp_matches(w, '[А-Яа-яЁёA-Za-z]') AS ab, NOT regexp_fu
 r AS (SELECT doc_id, max(c)::DOUBLE / sum(c) AS repeated FROM (SELECT doc_id, lower(w) AS w, count(*) AS c FROM e WHERE alpha GROUP BY ALL) GROUP BY doc_id),
 c AS (SELECT doc_id, count(*)::DOUBLE AS n, greatest(count(*) FILTER (ab), 1)::DOUBLE AS ab, (count(*) FILTER (length(w) = 1 AND NOT regexp_full_match(w, '[0-9]')))::DOUBLE AS short, (count(*) FILTER (ab AND length(w) >= 3))::DOUBLE AS long,
   (count(*) FILTER (alpha))::DOUBLE AS alpha, (count(*) FILTER (own))::DOUBLE AS own, (count(*) FILTER (alpha AND regexp_matches(w, '[А-Яа-яЁё]') AND regexp_matches(w, '[A-Za-z]')))::DOUBLE AS mixed,
-  coalesce(sum(CASE WHEN list_contains({T.FINANCIAL_WORDS!r}, l) THEN 2 WHEN length(regexp_replace(l, '[^A-Za-zÀ-ÿ]', '', 'g')) >= 3 AND regexp_matches(l, '{VOWELS}') AND NOT regexp_matches(l, '{_THRICE}') THEN 1 ELSE 0 END) FILTER (own), 0)::DOUBLE AS sense FROM e GROUP BY doc_id),
+  coalesce(sum(CASE WHEN list_contains({T.FINANCIAL_WORDS!r}, l) THEN 2 WHEN length(regexp_replace(l, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) >= 3 AND regexp_matches(l, '{VOWELS}') AND NOT regexp_matches(l, '{_THRICE}') THEN 1 ELSE 0 END) FILTER (own), 0)::DOUBLE AS sense FROM e GROUP BY doc_id),
 t AS (SELECT doc_id, 2 * len(regexp_extract_all(text, '�')) + len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS broken FROM documents)
 SELECT doc_id, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, least(45.0::DOUBLE, n / 4) + long / ab * 45 - short / n * 45 - least(35.0::DOUBLE, broken * 4.0::DOUBLE))), 1) END AS native,
   CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 80.0::DOUBLE * 0.62::DOUBLE + alpha / n * 13 + own / greatest(alpha, 1) * 8 + CASE WHEN own > 0 THEN sense / own ELSE 0 END * 12 + least(12.0::DOUBLE, n / 18)
@@ -194,7 +194,7 @@ SELECT id AS doc_id, length(t) NOT BETWEEN 8 AND 1400 OR coalesce(n, 0) < 3 OR t
   length(t) BETWEEN 30 AND 500 AND coalesce(n, 0) >= 6 AND top / n <= 0.18 AS tidy FROM s LEFT JOIN m USING (id)""",
     "narrative_facts": rf"""WITH x AS (SELECT doc_id, unnest(r) AS text, unnest(range(len(r))) AS pos FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)) AS r FROM documents)),
 s AS (SELECT doc_id, pos, doc_id * 1000000 + pos AS id, {_SQUEEZED_SQL} AS t FROM x), {_TOKENS_CTE},
-latin AS (SELECT id, count(*) FILTER (regexp_matches(w, '[A-Za-zÀ-ÿ]')) AS own FROM k GROUP BY id),
+latin AS (SELECT id, count(*) FILTER (regexp_matches(w, '[A-Za-zÀ-ÖØ-öø-ÿ]')) AS own FROM k GROUP BY id),
 c AS (SELECT doc_id, pos, t, {_LABEL_SQL('t')} AS l FROM s JOIN m USING (id) JOIN latin USING (id) WHERE length(t) BETWEEN 70 AND 650 AND n >= 9 AND own / n >= 0.65 AND top / n <= 0.16
   AND len(regexp_extract_all(t, '\b\d+\b')) <= n * 0.45 AND NOT ({_NOISE_SQL(T.TABLE_NOISE)})),
 g AS (SELECT *, {_RULE_SQL} AS category FROM c), f AS (SELECT * FROM g WHERE category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, l[:220] ORDER BY pos) = 1)
