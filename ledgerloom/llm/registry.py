@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
+from .chat_format import OP11_SQL, op11_chat_format
 from .credentials import OP1_SQL, op1_secret_scan
 from .fingerprints import op2_document_fingerprints
 from .packing import op3_best_fit_packing
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_exact_topk": op9_exact_topk,
     "op10_url_filters": op10_url_filters,
+    "op11_chat_format": op11_chat_format,
 }
 
 ORACLE_SQL = {
     "op1_secret_scan": OP1_SQL,
     "op9_exact_topk": OP9_SQL,
     "op10_url_filters": OP10_SQL,
+    "op11_chat_format": OP11_SQL,
 }

@@ -40,7 +40,7 @@ def texts(data):
 
 def by_sql(sql, data):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS FROM '{data}/{t}.parquet'")
     return con.sql(sql).df()
 
