@@ -10,6 +10,7 @@ from .packing import op3_best_fit_packing
 from .pseudonyms import op7_feistel_pseudonyms
 from .quality import op6_quality_classifier
 from .simhash import op5_simhash_near_dedup
+from .spelling import OP12_SQL, op12_spelling_variants
 from .token_files import op8_token_files
 from .topk import OP9_SQL, op9_exact_topk
 from .url_rules import OP10_SQL, op10_url_filters
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_url_filters": op10_url_filters,
     "op11_chat_format": op11_chat_format,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op9_exact_topk": OP9_SQL,
     "op10_url_filters": OP10_SQL,
     "op11_chat_format": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
