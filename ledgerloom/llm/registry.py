@@ -7,6 +7,7 @@ from .chat_format import OP11_SQL, op11_chat_format
 from .credentials import OP1_SQL, op1_secret_scan
 from .fingerprints import op2_document_fingerprints
 from .packing import op3_best_fit_packing
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .pseudonyms import op7_feistel_pseudonyms
 from .quality import op6_quality_classifier
 from .simhash import op5_simhash_near_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
     "op11_chat_format": op11_chat_format,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -36,4 +38,5 @@ ORACLE_SQL = {
     "op10_url_filters": OP10_SQL,
     "op11_chat_format": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -142,8 +142,8 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(counted(misspelt(runs(documents(spark, sf_dir)))))
 
 
-#: The checksum of a list of bytes: eight shifts a byte.
-_CRC = (
+#: DuckDB SQL for the checksum (crc32, unsigned) of a list of bytes: eight shifts a byte.
+CRC32_SQL = (
     "xor(list_reduce(list_prepend(4294967295::UBIGINT, {}), lambda a, b: xor(a >> 8, list_reduce(list_prepend(xor(a, b) & 255, "
     "[0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END))), "
     "4294967295::UBIGINT)"
@@ -157,7 +157,7 @@ WITH RECURSIVE runs AS (
   SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{5,}}')), '{_UPPER}', '{_LOWER}') AS run
   FROM documents
 ), per_doc AS (SELECT id, run, count(*) AS times FROM runs GROUP BY id, run),
-hashed AS (SELECT run, times, {_CRC.format(_BYTES.format("id || ':' || run"))} AS h FROM per_doc),
+hashed AS (SELECT run, times, {CRC32_SQL.format(_BYTES.format("id || ':' || run"))} AS h FROM per_doc),
 cut AS (
   SELECT times, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed
 ), words AS (
