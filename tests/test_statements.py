@@ -116,3 +116,21 @@ def test_unit_of(spark):
     df = spark.createDataFrame([("Запасы, млн руб.",), ("Добыча, тыс. барр. по курсу руб.",), ("без единицы",)], "t string")
     got = [r.u for r in df.select(tables.unit_of(F.col("t")).alias("u")).collect()]
     assert got == ["млн руб.", "руб.", None]
+
+
+def test_unit_of_equals_every_match_of_every_pattern(spark):
+    import random
+    import re
+
+    from ledgerloom.functions.vocabulary import UNITS
+
+    def last(text):
+        raw = text.lower().replace("ё", "е").replace(" ", " ")
+        spots = [(m.end(), len(m[0]), -i, unit) for i, (unit, pattern) in enumerate(UNITS) for m in re.finditer(pattern, raw)]
+        return max(spots)[-1] if spots else None
+
+    rng = random.Random(1)
+    bits = "млн| | |\n|руб|руб.|тыс.|тыс|барр.|барр|н.э.|/|сут|т|тонн|%|п.п.|п|куб.|м|квт|ч|·|га|гкал|долл.|аров|шт.|чел.|лей|Ё|МВт|тут".split("|")
+    texts = [rng.choice(["", " "]).join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(4000)] + ["млн руб. " * 5000, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tables.unit_of(F.col("t")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: last(t) for i, t in enumerate(texts)}
