@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import form_queries, layout_queries, model_queries, recovery_queries, statement_queries, text_queries
+from .plans import (
+    form_queries, intake_queries, layout_queries, model_queries, recovery_queries, statement_queries, text_queries,
+)
 
-QUERIES = statement_queries.QUERIES | text_queries.QUERIES | layout_queries.QUERIES | form_queries.QUERIES | recovery_queries.QUERIES | model_queries.QUERIES
-ORACLE_SQL = statement_queries.ORACLE_SQL | text_queries.ORACLE_SQL | layout_queries.ORACLE_SQL | form_queries.ORACLE_SQL | recovery_queries.ORACLE_SQL | model_queries.ORACLE_SQL
+_PARTS = [
+    statement_queries, text_queries, layout_queries, form_queries, recovery_queries, model_queries, intake_queries,
+]
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

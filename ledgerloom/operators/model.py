@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,33 +87,51 @@ DERIVATIONS = [
 COMPONENTS = ["longterm_debt_component", "shortterm_debt_component"]
 
 
+def _terms(formula: str) -> list[tuple[str, float, bool]]:
+    """(metric, factor, whether its size counts) of each part of a formula, from left to right."""
+    parts = re.findall(r"([+-]?) ?(abs\()?([a-z_]+)\)?", formula)
+    return [(key, -1.0 if sign == "-" else 1.0, bool(size)) for sign, size, key in parts]
+
+
+def _rules() -> Column:
+    """DERIVATIONS as an array: n, target, terms."""
+    term = lambda key, factor, size: F.struct(F.lit(key).alias("key"), F.lit(factor).alias("factor"), F.lit(size).alias("size"))
+    rule = lambda n, target, formula: F.struct(
+        F.lit(n).alias("n"), F.lit(target).alias("target"), F.array(*[term(*t) for t in _terms(formula)]).alias("terms")
+    )
+    return F.array(*[rule(n, target, formula) for n, (target, formula, _) in enumerate(DERIVATIONS)])
+
+
 def derived(values: DataFrame) -> DataFrame:
-    """values (KEYS, yr, val, confidence) plus the derived ones; adds is_derived. Debt components go.
+    """values (KEYS, yr, val, confidence) plus the derived ones; adds is_derived and rule, the place of its rule in DERIVATIONS.
 
-    Years become rows and metrics columns, so each rule is an expression; whether a
-    document has a metric at all is a window over its rows, sorted and dealt once.
+    Debt components go. A document's years, each with a map of its metrics, are folded over the rules, so a
+    later rule sees what an earlier one added; a target that any year has is left alone in all years.
     """
     used = list(dict.fromkeys(k for t, _, inputs in DERIVATIONS for k in [t, *inputs]))
-    at = lambda k, c: F.max(F.when(F.col("metric_key") == k, F.col(c)))
-    wide = values.repartition("doc_id", "branch").groupBy("doc_id", "branch", "yr").agg(
-        *[at(k, "val").alias(k) for k in used], *[at(k, "confidence").alias(f"{k}__c") for k in used],
-    )
-    doc = Window.partitionBy("doc_id", "branch")
-    wide = wide.withColumns({f"{k}__had": F.max(F.col(k).isNotNull()).over(doc) for k in dict.fromkeys(t for t, *_ in DERIVATIONS)})
-    wide = wide.withColumns({f"{k}__new": F.lit(False) for k in used})
-    for target, formula, inputs in DERIVATIONS:
-        lacks = ~F.max(F.col(target).isNotNull()).over(doc)
-        found = F.when(lacks, F.expr(formula))
-        surest = F.least(*[F.col(f"{k}__c") for k in inputs]) if len(inputs) > 1 else F.col(f"{inputs[0]}__c")
-        wide = wide.withColumn("_found", found).withColumns({
-            target: F.coalesce(target, "_found"), f"{target}__c": F.coalesce(f"{target}__c", F.when(F.col("_found").isNotNull(), surest)),
-            f"{target}__new": F.col(f"{target}__new") | F.col("_found").isNotNull(),
-        })
-    cells = [F.struct(F.lit(k).alias("metric_key"), F.col(k).alias("val"), F.col(f"{k}__c").alias("confidence"), F.col(f"{k}__new").alias("is_derived"))
-             for k in used if k not in COMPONENTS]
-    long = wide.select("doc_id", "branch", "yr", F.explode(F.filter(F.array(*cells), lambda x: x["val"].isNotNull())).alias("x"))
-    rest = values.where(~F.col("metric_key").isin(*used)).select(*KEYS, "yr", "val", "confidence", F.lit(False).alias("is_derived"))
-    return long.select("doc_id", "branch", "x.metric_key", "yr", "x.val", "x.confidence", "x.is_derived").unionByName(rest)
+    dealt = values.repartition("doc_id", "branch")
+    one = dealt.where(F.col("metric_key").isin(*used)).groupBy(*KEYS, "yr").agg(F.max("val").alias("val"), F.max("confidence").alias("confidence"))
+    cell = F.struct("val", "confidence", F.lit(None).cast("int").alias("rule")).alias("cell")
+    years = one.where("val IS NOT NULL").groupBy("doc_id", "branch", "yr").agg(F.map_from_entries(F.collect_list(F.struct("metric_key", cell))).alias("m"))
+    docs = years.groupBy("doc_id", "branch").agg(F.collect_list(F.struct("yr", "m")).alias("years"))
+
+    def follow(known: Column, r: Column) -> Column:
+        def add(year: Column) -> Column:
+            cells = F.transform(r["terms"], lambda t: F.try_element_at(year["m"], t["key"]))
+            parts = F.zip_with(cells, r["terms"], lambda c, t: t["factor"] * F.when(t["size"], F.abs(c["val"])).otherwise(c["val"]))
+            surest = F.array_min(F.transform(cells, lambda c: c["confidence"]))
+            made = F.struct(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x).alias("val"), surest.alias("confidence"), r["n"].alias("rule"))
+            whole = F.forall(cells, lambda c: c.isNotNull())
+            return F.struct(year["yr"].alias("yr"), F.when(whole, F.map_concat(year["m"], F.create_map(r["target"], made))).otherwise(year["m"]).alias("m"))
+
+        had = F.exists(known, lambda year: F.map_contains_key(year["m"], r["target"]))
+        return F.when(had, known).otherwise(F.transform(known, add))
+
+    done = docs.select("doc_id", "branch", F.explode(F.aggregate(_rules(), F.col("years"), follow)).alias("y"))
+    long = done.select("doc_id", "branch", "y.yr", F.explode("y.m").alias("metric_key", "x")).where(~F.col("metric_key").isin(*COMPONENTS))
+    rest = values.where(~F.col("metric_key").isin(*used)).select(*KEYS, "yr", "val", "confidence", F.lit(None).cast("int").alias("rule"))
+    both = long.select(*KEYS, "yr", "x.val", "x.confidence", "x.rule").unionByName(rest)
+    return both.withColumn("is_derived", F.col("rule").isNotNull())
 
 
 BALANCE = ["assets", "noncurrent_assets", "current_assets", "equity", "longterm_liabilities", "current_liabilities"]

@@ -81,12 +81,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, key: str = "c_nationkey") -> DataFrame:
+    """Order lines, a document a nation or, with key c_custkey, a customer."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_extendedprice", "l_discount", "l_tax")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.selectExpr(*_LINES.split(", "))
+    return joined.selectExpr(*_LINES.replace("c_nationkey", key).split(", "))
 
 
 def _long(wide: DataFrame, metrics: list[str]) -> DataFrame:
