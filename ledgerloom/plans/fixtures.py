@@ -95,9 +95,9 @@ def _long(wide: DataFrame, metrics: list[str]) -> DataFrame:
     return wide.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"stack({len(metrics)}, {pairs}) AS (metric_key, val)", "yr").select("doc_id", "metric_key", "yr", "val")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, key: str = "c_nationkey") -> DataFrame:
     """(doc_id, metric_key, yr, val): 19 amounts of every document and year."""
-    wide = lines(spark, sf_dir).groupBy("doc_id", "yr").agg(*[F.expr(e).alias(k) for k, e in SUMS.items()])
+    wide = lines(spark, sf_dir, key).groupBy("doc_id", "yr").agg(*[F.expr(e).alias(k) for k, e in SUMS.items()])
     return _long(wide.select("*", *[F.expr(e).alias(k) for k, e in AMOUNTS.items()]), METRICS)
 
 
@@ -106,14 +106,14 @@ def bank_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(wide, list(BANK_SUMS))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, key: str = "c_nationkey") -> DataFrame:
     """(doc_id, branch, metric_key, seq, source_type, confidence, unit, row_code, yr, val): five readings of each fact.
 
     Reading 2 fails the consistency gate in some documents, 4 is an outlier, 5 a single year.
     """
     rows = [f"struct({s} AS seq, '{t}' AS source_type, {c}D AS confidence, '{u}' AS unit, {m}D AS mult, {'NULL' if r is None else repr(r)} AS row_code)" for s, t, c, u, m, r in READINGS]
     readings = F.expr(f"inline(array({', '.join(rows)}))")
-    one = facts(spark, sf_dir).select("*", readings)
+    one = facts(spark, sf_dir, key).select("*", readings)
     one = one.where("(seq <> 4 OR (doc_id % 6 = 1 AND yr = 1997)) AND (seq <> 5 OR yr = 1996)")
     value = "val * mult * CASE WHEN seq = 2 AND doc_id % 3 = 0 AND yr = 1998 THEN 1000 WHEN seq = 4 THEN 200 ELSE 1 END"
     return one.selectExpr("doc_id", "'ras' AS branch", "metric_key", "seq", "source_type", "confidence", "unit", "row_code", "yr", f"{value} AS val")

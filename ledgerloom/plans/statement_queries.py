@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import SOURCE_BONUS, TRUSTED_SOURCES
 from ..operators import model, ratios, risk, trends, validate
+from ..sources.shared import new_path, written
 from .fixtures import AMOUNTS, BANK_SQL, FX_SQL, SUMS, bank_facts, candidates, facts, table
 
 _METRICS = [*SUMS, *AMOUNTS]
@@ -217,22 +218,32 @@ def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status stream over the events file, run to its end; equals registry_latest."""
-    import uuid
-
     from ..streaming.ingest import latest_status, status_rows
 
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        # a folder of this machine serves a local session alone; elsewhere the warehouse is shared
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        named = "file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    name = f"status_{uuid.uuid4().hex[:12]}"
-    latest_status(spark, f"{sf_dir}/events.parquet*", f"{named}/{name}/rows", f"{named}/{name}/checkpoint").awaitTermination()
-    return status_rows(spark, f"{named}/{name}/rows")
+    place = new_path(spark, "status")
+    latest_status(spark, f"{sf_dir}/events.parquet*", f"{place}/rows", f"{place}/checkpoint").awaitTermination()
+    return status_rows(spark, f"{place}/rows")
+
+
+def stream_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of customers' statements in three files over two batches, the second one with some that came before.
+
+    Each document has readings in all files; its model equals that of one batch.
+    """
+    from ..streaming.ingest import ingest_statements, model_rows
+
+    place, part = new_path(spark, "ingest"), F.col("seq") % 3
+    names = ["doc_id", "branch", "metric_key", F.col("seq").cast("long").alias("seq"), "source_type", "confidence", "unit", "row_code", F.col("yr").cast("int").alias("yr"), "val"]
+    rows = written(candidates(spark, sf_dir, "c_custkey").select(*names), "readings")
+    for files in ([part == 1, part == 2], [part == 0, part == 2]):
+        for chosen in files:
+            rows.where(chosen).write.mode("append").parquet(f"{place}/source")
+        ingest_statements(spark, f"{place}/source", f"{place}/target", f"{place}/checkpoint").awaitTermination()
+    return model_rows(spark, f"{place}/target").select("doc_id", "metric_key", "yr", F.round("val", 5).alias("val"), "seq")
 
 
 QUERIES = {f.__name__: f for f in (
-    findings, findings_bank, manual_override, payload, stream_status,
+    findings, findings_bank, manual_override, payload, stream_status, stream_models,
     ratios_industrial, ratios_bank, ratio_groups, trends_yoy, top_movers, latest_value, registry_latest, registry_top, registry_live,
     merge_candidates, merge_attributes, outlier_years, derive_metrics, reconcile_balance, identity_checks, row_checks, validation_status,
     branch_scores, branch_choice, coverage, risk_numeric, doc_score, pivot_model, export_union,
@@ -486,3 +497,4 @@ m AS (SELECT doc_id, string_agg(metric_key || ':' || source_type, ',' ORDER BY m
 r AS (SELECT doc_id, string_agg(ratio_key || ':' || status, ',' ORDER BY ratio_key) AS ratios FROM ({ORACLE_SQL["ratios_industrial"]}) WHERE status <> 'na' GROUP BY doc_id),
 f AS (SELECT doc_id, string_agg(code || ':' || severity, ',' ORDER BY ord) AS flags FROM ({ORACLE_SQL["risk_numeric"]}) GROUP BY doc_id)
 SELECT doc_id, coalesce(metrics, '') AS metrics, coalesce(ratios, '') AS ratios, coalesce(flags, '') AS flags FROM m FULL JOIN r USING (doc_id) LEFT JOIN f USING (doc_id)"""
+ORACLE_SQL["stream_models"] = ORACLE_SQL["merge_candidates"].replace("c_nationkey::BIGINT", "c_custkey::BIGINT")

@@ -16,17 +16,43 @@ STATUS = "doc_id long, status string, updated_at timestamp, n_events long"
 
 
 def ingest_statements(spark: SparkSession, source: str, target: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """New candidate files become merged facts, one folder a batch; a batch that is run again overwrites its own.
-
-    A document's readings arrive in one file set, so batches don't share documents.
+    """New candidate files become models of their documents; model_rows reads the newest of each.
+
+    The stream's state holds the readings of each document as a set, so a document may come in any number
+    of files and batches: its model is always made of all readings so far, and rows that come again change nothing.
+    A batch writes the readings of the documents it changed, then their models, in folders of its own; when it is
+    run again, it starts from the same state and overwrites the same folders. Order plays no part: where readings
+    are equally good, seq decides, which belongs to the reading. State has a document in a row and is
+    kept for good: give the session the RocksDB state store where it outgrows the executors' memory.
     """
     build = build or (lambda rows: merged_values(gated(rows)))
     stream = spark.readStream.schema(CANDIDATES).parquet(source)
+    names = [part.split()[0] for part in CANDIDATES.split(", ")][1:]
+    documents = stream.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set(F.struct(*names)).alias("readings"))
+
+    def write(changed: DataFrame, batch: int) -> None:
+        rows = changed.select("doc_id", F.explode("readings").alias("r")).select("doc_id", "r.*")
+        rows.write.mode("overwrite").parquet(f"{target}/readings/batch={batch}")
+        # from the files: the state is read and changed once a batch
+        kept = spark.read.schema(CANDIDATES).parquet(f"{target}/readings/batch={batch}")
+        build(kept).write.mode("overwrite").parquet(f"{target}/models/batch={batch}")
+
+    empty = spark.createDataFrame([], CANDIDATES)
+    empty.write.mode("overwrite").parquet(f"{target}/readings/batch=-1")
+    build(empty).write.mode("overwrite").parquet(f"{target}/models/batch=-1")
+    return stream_once(documents, write, checkpoint)
+
+
+def stream_once(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Runs a stateful stream over all that has come, a batch after another, and ends."""
+    writer = rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
-    def write(rows: DataFrame, batch: int) -> None:
-        build(rows).write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def model_rows(spark: SparkSession, target: str) -> DataFrame:
+    """The newest model of each document that ingest_statements wrote; a document without one has no rows."""
+    newest = spark.read.schema("doc_id long, batch long").parquet(f"{target}/readings").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{target}/models").join(newest, ["doc_id", "batch"]).drop("batch")
 
 
 def latest_status(spark: SparkSession, source: str, target: str, checkpoint: str, watermark: str | None = None) -> StreamingQuery:
@@ -46,7 +72,7 @@ def latest_status(spark: SparkSession, source: str, target: str, checkpoint: str
 
     # so that the folder can be read where no event came
     write(spark.createDataFrame([], STATUS), -1)
-    return rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream_once(rows, write, checkpoint)
 
 
 def status_rows(spark: SparkSession, target: str) -> DataFrame:

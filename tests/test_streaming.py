@@ -24,3 +24,41 @@ def test_latest_status_over_batches(spark, tmp_path):
     assert got == {10: ("close", 3, 4), 11: ("open", 1, 1), 12: ("open", 1, 1)}
     sizes = {r.batch: r.n for r in spark.read.parquet(target).groupBy("batch").count().withColumnRenamed("count", "n").collect()}
     assert sorted(n for n in sizes.values() if n) == [1, 2, 2]
+
+
+def test_a_document_in_three_files_over_two_batches(spark, tmp_path):
+    """State holds what came before; a batch that is run again, or rows that come again, change nothing."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.model import gated, merged_values
+
+    rows = [
+        (doc, "ras", key, seq, source, confidence, unit, None, yr, 1000.0 * doc + seq + yr / 10)
+        for doc in (1, 2, 3) for key in ("revenue", "cash") for seq, (source, confidence, unit) in
+        enumerate([("pdf_table", 0.9, "тыс. руб."), ("spreadsheet", 0.8, "млн руб."), ("pdf_table", 0.9, None), ("pdf_text", 0.99, "тыс. руб."), ("spreadsheet", 0.8, "тыс. руб.")])
+        for yr in (2023, 2024)
+    ]
+    everything = spark.createDataFrame(rows, ingest.CANDIDATES).withColumn("part", (F.col("seq") * 2 + F.col("yr")) % 3)
+    source, target, checkpoint = (str(tmp_path / name) for name in ("source", "target", "checkpoint"))
+    shown = lambda df: sorted(map(tuple, df.select("doc_id", "branch", "metric_key", "yr", "val", "seq").collect()))
+    add = lambda where: everything.where(where).drop("part").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: ingest.ingest_statements(spark, source, target, checkpoint).awaitTermination()
+    add("part = 0 AND doc_id < 3")
+    add("part = 1")
+    run()
+    first = shown(ingest.model_rows(spark, target))
+    assert first == shown(merged_values(gated(everything.where("part = 1 OR part = 0 AND doc_id < 3"))))
+    add("part = 2 OR doc_id = 3")
+    run()
+    want = shown(merged_values(gated(everything)))
+    assert shown(ingest.model_rows(spark, target)) == want != first
+    batches = len(glob.glob(f"{target}/models/batch=*"))
+    for name in ("1", ".1.crc"):  # as if the job had died before it was done
+        os.remove(f"{checkpoint}/commits/{name}")
+    run()
+    assert shown(ingest.model_rows(spark, target)) == want and len(glob.glob(f"{target}/models/batch=*")) == batches
+    add("part = 1")
+    run()
+    assert shown(ingest.model_rows(spark, target)) == want and len(glob.glob(f"{target}/models/batch=*")) == batches + 1
