@@ -21,8 +21,8 @@ TEXT_RISKS = [
 FLAGS, FLAG_PAGES = 20, 5
 
 
-def numeric_flags(wide: DataFrame) -> DataFrame:
-    """(doc_id, ord, code, severity) from one row a document: c_equity, c_net_profit, ..., and the ratios named below."""
+def flag_array() -> Column:
+    """The flags of a document's figures, from columns of one row: c_equity, c_net_profit, ..., and the ratios named below."""
     rules = [
         ("negative_equity", "critical", F.col("c_equity") < 0),
         ("net_loss", "high", F.col("c_net_profit") < 0),
@@ -33,8 +33,12 @@ def numeric_flags(wide: DataFrame) -> DataFrame:
         ("profit_decline", "medium", F.col("net_profit_growth") < 0),
     ]
     flag = lambda i, code, severity, holds: F.when(holds, F.struct(F.lit(i).alias("ord"), F.lit(code).alias("code"), F.lit(severity).alias("severity")))
-    flags = F.array_compact(F.array(*[flag(i, *r) for i, r in enumerate(rules, 1)]))
-    return wide.select("doc_id", F.explode(flags).alias("f")).select("doc_id", "f.*")
+    return F.array_compact(F.array(*[flag(i, *r) for i, r in enumerate(rules, 1)]))
+
+
+def numeric_flags(wide: DataFrame) -> DataFrame:
+    """(doc_id, ord, code, severity) from one row a document."""
+    return wide.select("doc_id", F.explode(flag_array()).alias("f")).select("doc_id", "f.*")
 
 
 def text_flags(pages: DataFrame, risks: list = TEXT_RISKS) -> DataFrame:

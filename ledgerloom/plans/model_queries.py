@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import model, ratios, risk
-from ..operators.findings import findings as rules
 from ..operators.findings import wide
 from . import statement_queries as S
 from .fixtures import FX_SQL, facts
@@ -48,11 +47,7 @@ def full_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.scores(ratios.ratios(known), risk.numeric_flags(wide(known)))
 
 
-def full_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(full_facts(spark, sf_dir)).select("doc_id", "section", "ord", "rule_id")
-
-
-QUERIES = {f.__name__: f for f in (full_ratios, full_flags, full_score, full_findings)}
+QUERIES = {f.__name__: f for f in (full_ratios, full_flags, full_score)}
 
 _SHARES = {k: f"CAST({share} AS DOUBLE)" for k, _, share in DEBT}
 _FULL_SQL = f"""{FX_SQL.replace('fx_facts AS MATERIALIZED (', 'fx_base AS MATERIALIZED (', 1).replace('FROM fx_facts f', 'FROM fx_base f')},
@@ -69,19 +64,8 @@ _FORMULAS = {
 _TABLE = {k: (_FORMULAS.get(k, v), g) for k, (v, g) in S._IND_SQL.items()}
 _CTE = f"{_FULL_SQL}, {S._wide_sql(_INPUTS)}, rt AS MATERIALIZED ({S._ratio_union(_TABLE)})"
 _FLAGS = f"{S._FLAGS_SQL} UNION ALL SELECT doc_id, 5 AS ord, 'high_leverage' AS code, 'high' AS severity FROM w WHERE {_FORMULAS['debt_equity']} > 2"
-_EASY = "(debt_equity <= 1.5 AND (interest_coverage IS NULL OR interest_coverage >= 2))"
-#: Rules on debt, each behind the rule that it follows.
-_AFTER = {
-    ("summary", "liquidity"): [("summary", "leverage", "debt_equity IS NOT NULL")],
-    ("weaknesses", "liquidity_gap"): [("strengths", "moderate_debt", _EASY), ("weaknesses", "high_debt", f"debt_equity IS NOT NULL AND NOT {_EASY}")],
-    ("risks", "liquidity_risk"): [("risks", "debt_risk", "debt_equity > 2")],
-    ("actions", "raise_liquidity"): [("actions", "cut_debt", "debt_equity > 1")],
-}
-_RULES = [r for rule in S._IND_FINDINGS for r in [rule, *_AFTER.get(rule[:2], [])] if r[1] != "no_debt"] + [("limitations", "no_debt", "debt_ratio IS NULL")]
-_COLUMNS = ", ".join([S._IND_COLUMNS, *(f"{_TABLE[k][0]} AS {k}" for k in ("debt_equity", "debt_ratio", "interest_coverage"))])
 ORACLE_SQL = {
     "full_ratios": f"WITH {_CTE} SELECT doc_id, ratio_key, round(value, 6) AS value, status, cur_year, prev_year FROM rt",
     "full_flags": f"WITH {_CTE} {_FLAGS}",
     "full_score": S.ORACLE_SQL["doc_score"].replace(S._RATIOS_CTE, _CTE).replace(S._FLAGS_SQL, _FLAGS),
-    "full_findings": S._findings_sql(f"{_FULL_SQL}, {S._wide_sql(_INPUTS)}", _RULES, _COLUMNS),
 }

@@ -13,6 +13,7 @@ from ..operators import ratios as R
 from ..operators import recovery as Y
 from ..operators import trends
 from .fixtures import FX_SQL, facts, spread, table
+from . import findings_queries
 from .statement_queries import ORACLE_SQL as STATEMENTS
 from .statement_queries import QUERIES as STATEMENT_QUERIES
 
@@ -141,7 +142,7 @@ def risk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finding_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands for findings in documents that have none in a section."""
-    found = STATEMENT_QUERIES["findings"](spark, sf_dir).where("doc_id % 2 = 0")
+    found = findings_queries.findings(spark, sf_dir).where("doc_id % 2 = 0")
     return Y.ratio_fallback(R.ratios(facts(spark, sf_dir)), found)
 
 
@@ -222,7 +223,7 @@ WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) GROUP BY
   WHEN 1 THEN CASE WHEN l_extendedprice = floor(l_extendedprice) THEN replace(format('{:,}', floor(l_extendedprice)::BIGINT), ',', ' ') ELSE replace(format('{:,.2f}', l_extendedprice::DOUBLE), ',', ' ') END ELSE '—' END AS cell FROM lineitem""",
     "risk_summaries": f"""WITH f AS ({STATEMENTS['risk_numeric']}), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS turn FROM f)
 SELECT doc_id, turn::INTEGER AS ord, code AS codes FROM n WHERE turn <= 3 UNION ALL SELECT DISTINCT doc_id, 100, 'sanctions,cyber' FROM f""",
-    "finding_fallbacks": f"""WITH r AS ({STATEMENTS['ratios_industrial']}), f AS (SELECT DISTINCT doc_id, section FROM ({STATEMENTS['findings']}) WHERE doc_id % 2 = 0),
+    "finding_fallbacks": f"""WITH r AS ({STATEMENTS['ratios_industrial']}), f AS (SELECT DISTINCT doc_id, section FROM ({findings_queries.ORACLE_SQL['findings']}) WHERE doc_id % 2 = 0),
 s AS (SELECT doc_id, CASE WHEN status = 'good' THEN 'strengths' WHEN status IN ('bad', 'warn') THEN 'weaknesses' END AS section, ratio_key FROM r),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY ratio_key) AS ord FROM s WHERE section IS NOT NULL QUALIFY ord <= 4),
 a AS (SELECT doc_id, section FROM (SELECT DISTINCT doc_id FROM r), (VALUES ('strengths'), ('weaknesses')) v(section) WHERE (doc_id, section) NOT IN (SELECT (doc_id, section) FROM f))

@@ -182,18 +182,6 @@ def export_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_rows(facts(spark, sf_dir), ratios.displayed(ratios.ratios(facts(spark, sf_dir)))).select("doc_id", "section", "key", "yr", F.round("value", 4).alias("value"), "status")
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.findings import findings as rules
-
-    return rules(facts(spark, sf_dir)).select("doc_id", "section", "ord", "rule_id")
-
-
-def findings_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.findings import findings as rules
-
-    return rules(bank_facts(spark, sf_dir)).select("doc_id", "section", "ord", "rule_id")
-
-
 def manual_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios after every fourth document's model is replaced by one of half the amounts."""
     from ..operators.findings import with_overrides
@@ -243,7 +231,7 @@ def stream_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    findings, findings_bank, manual_override, payload, stream_status, stream_models,
+    manual_override, payload, stream_status, stream_models,
     ratios_industrial, ratios_bank, ratio_groups, trends_yoy, top_movers, latest_value, registry_latest, registry_top, registry_live,
     merge_candidates, merge_attributes, outlier_years, derive_metrics, reconcile_balance, identity_checks, row_checks, validation_status,
     branch_scores, branch_choice, coverage, risk_numeric, doc_score, pivot_model, export_union,
@@ -411,48 +399,16 @@ _DERIVE_SQL = f"""WITH {FX_SQL}, d0 AS MATERIALIZED (SELECT doc_id, metric_key,
 SELECT doc_id, metric_key, yr, round(val, 5) + 0.0 AS val, confidence FROM d{len(model.DERIVATIONS)} WHERE is_derived AND metric_key NOT LIKE '%debt_component'"""
 _REG = "reg AS (SELECT user_id AS doc_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS updated_at, count(*) AS n_events FROM events GROUP BY user_id)"
 _TREND = """tr AS (SELECT doc_id, metric_key, lag(yr) OVER y AS from_year, yr AS to_year, lag(val) OVER y AS from_value, val AS to_value FROM fx_facts WINDOW y AS (PARTITION BY doc_id, metric_key ORDER BY yr))"""
-def _findings_sql(cte: str, rules: list, columns: str) -> str:
-    """Rules as (section, rule_id, condition), numbered in order; the caps are those of the operator."""
-    rows = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS section, {i} AS n, '{r}' AS rule_id FROM x WHERE {t}" for i, (s, r, t) in enumerate(rules))
-    return f"""WITH {cte}, x AS MATERIALIZED (SELECT *, {columns} FROM w)
-SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY n)::INTEGER AS ord, rule_id FROM ({rows})
-QUALIFY ord <= CASE section WHEN 'summary' THEN 7 WHEN 'observations' THEN 6 WHEN 'limitations' THEN 3 ELSE 5 END"""
 
 
 def _change(k: str) -> str:
     return f"{_over(f'c_{k} - p_{k}', f'abs(p_{k})')} * 100 AS d_{k}"
 
 
-_IND_COLUMNS = ", ".join([
-    *(f"{_IND_SQL[k][0]} AS {k}" for k in ("current_ratio", "quick_ratio", "net_margin", "roe", "cash_conversion", "asset_turnover", "receivables_turnover")),
-    *map(_change, ("revenue", "net_profit", "operating_profit", "current_assets", "current_liabilities", "operating_cash_flow")),
-])
-_LIQUID = "(current_ratio >= 1 AND (quick_ratio IS NULL OR quick_ratio >= 0.8))"
-#: The fixture has no debt, so rules on debt never hold there.
-_IND_FINDINGS = [
-    ("summary", "revenue_change", "d_revenue IS NOT NULL"), ("summary", "operating_change", "d_operating_profit IS NOT NULL"), ("summary", "net_profit_change", "d_net_profit IS NOT NULL"),
-    ("summary", "liquidity", "current_ratio IS NOT NULL"), ("summary", "cash_flow", "d_operating_cash_flow IS NOT NULL"), ("strengths", "margins", "net_margin >= 0.1 AND roe >= 0.15"),
-    ("strengths", "liquidity_cover", _LIQUID), ("weaknesses", "liquidity_gap", f"current_ratio IS NOT NULL AND NOT {_LIQUID}"), ("weaknesses", "declining", "d_revenue < 0 OR d_net_profit < 0"),
-    ("strengths", "growing", "d_revenue > 0 AND d_net_profit > 0"), ("strengths", "cash_quality", "cash_conversion >= 1 AND c_net_profit > 0"),
-    ("weaknesses", "cash_quality_low", "cash_conversion < 0.7 AND c_net_profit > 0"), ("weaknesses", "cash_flow_decline", "d_operating_cash_flow < -10"),
-    ("observations", "liquidity_scissors", "d_current_assets < 0 AND d_current_liabilities > 0"), ("observations", "below_operations", "d_operating_profit > 0 AND d_net_profit < 0"),
-    ("observations", "growth_without_profit", "d_revenue > 0 AND d_net_profit < 0"), ("observations", "cash_against_profit", "d_operating_cash_flow < 0 AND d_net_profit > 0"),
-    ("observations", "turnover", "asset_turnover IS NOT NULL"), ("risks", "liquidity_risk", "current_ratio < 1"), ("risks", "profit_risk", "d_net_profit < 0"),
-    ("actions", "raise_liquidity", "current_ratio < 1.5"), ("actions", "raise_margin", "net_margin < 0.1"), ("actions", "collect", "receivables_turnover < 6"),
-    ("actions", "cash_control", "cash_conversion < 1"), ("limitations", "no_debt", "true"),
-]
-_BANK_COLUMNS = ", ".join([*(f"{v} AS b_{k}, {g.replace('v ', f'({v}) ')} AS g_{k}" for k, (v, g) in _BANK_SQL.items()), *map(_change, ("net_profit", "bank_net_interest_income"))])
-_BANK_FINDINGS = [
-    ("summary", "assets", "c_assets IS NOT NULL"), ("summary", "loans_to_funds", "b_bank_loan_to_deposit IS NOT NULL"), ("summary", "interest_and_fees", "d_bank_net_interest_income IS NOT NULL"),
-    ("summary", "profit", "d_net_profit IS NOT NULL"), ("risks", "loan_losses", "b_bank_credit_loss_to_loans > 0.02"), ("actions", "watch_capital", "true"), ("limitations", "no_norms", "true"),
-    *(row for k in _BANK_SQL for row in (("strengths", f"good_{k}", f"g_{k} = 'good'"), ("weaknesses", f"weak_{k}", f"g_{k} IN ('warn', 'bad')"))),
-]
 _OVERRIDE = _RATIOS_CTE.replace("fx_facts AS MATERIALIZED (", "fx_all AS MATERIALIZED (", 1).replace("yrs AS (", """fx_facts AS MATERIALIZED (SELECT * FROM fx_all WHERE doc_id % 4 <> 0
   UNION ALL SELECT doc_id, metric_key, yr, val / 2 FROM fx_all WHERE doc_id % 4 = 0 AND metric_key <> 'cash'), yrs AS (""", 1)
 _OVERRIDE = _OVERRIDE.replace("FROM fx_facts f CROSS JOIN", "FROM fx_all f CROSS JOIN")
 ORACLE_SQL = {
-    "findings": _findings_sql(f"{FX_SQL}, {_wide_sql(_IND_INPUTS)}", _IND_FINDINGS, _IND_COLUMNS),
-    "findings_bank": _findings_sql(f"{BANK_SQL}, {_wide_sql(_BANK_INPUTS)}", _BANK_FINDINGS, _BANK_COLUMNS),
     "manual_override": f"WITH {_OVERRIDE} SELECT doc_id, ratio_key, round(value, 5) AS value, status FROM rt",
     "stream_status": f"WITH {_REG} SELECT * FROM reg",
     "ratios_industrial": f"WITH {_RATIOS_CTE} SELECT doc_id, ratio_key, round(value, 6) AS value, status, cur_year, prev_year FROM rt",

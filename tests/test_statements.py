@@ -134,3 +134,25 @@ def test_unit_of_equals_every_match_of_every_pattern(spark):
     texts = [rng.choice(["", " "]).join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(4000)] + ["млн руб. " * 5000, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tables.unit_of(F.col("t")).alias("u")).collect()
     assert {r.i: r.u for r in rows} == {i: last(t) for i, t in enumerate(texts)}
+
+
+def test_findings_of_one_document_and_of_none(spark):
+    amounts = {
+        "revenue": (1000.0, 1100.0), "net_profit": (56.0, 50.0), "current_assets": (200.0, 200.0), "current_liabilities": (100.0, 100.0), "equity": (1000.0, 1000.0),
+        "total_debt": (70.0, 70.0), "assets": (1200.0, 1200.0), "operating_cash_flow": (50.4, 53.6), "cash": (30.0, 40.0),
+    }
+    facts = [(1, k, y, v) for k, pair in amounts.items() for y, v in zip((2024, 2023), pair)]
+    movers = spark.createDataFrame([(2, 1, "output", 12.0, "strength"), (2, 2, "spills", 9.0, "weakness"), (1, 1, "output", 5.0, "strength")], "doc_id long, rank int, name string, change double, direction string")
+    about = spark.createDataFrame([(2, True, "clean")], "doc_id long, is_ras boolean, audit_opinion string")
+    found = findings.findings(spark.createDataFrame(facts, FACTS), findings.known_of(movers=movers, about=about))
+    got = {}
+    for r in found.orderBy("doc_id", "section", "ord").collect():
+        got.setdefault((r.doc_id, r.section), []).append(r.rule_id)
+        assert r.text
+    assert got[1, "strengths"] == ["margins", "liquidity_cover", "moderate_debt", "cash_quality"]
+    assert got[1, "weaknesses"] == ["declining", "cash_flow_decline"]
+    assert got[1, "actions"] == ["cash_bridge", "stress_test", "monitoring"]
+    assert got[1, "risks"] == ["flag_revenue_decline"] and got[1, "summary"][-1] == "top_risk" and len(got[1, "summary"]) == 7
+    assert got[2, "strengths"] == ["mover_output"] and got[2, "weaknesses"] == ["mover_spills"]
+    assert got[2, "observations"] == ["mover_output", "mover_spills", "audit_opinion"] and got[2, "esg"] == ["ras_no_esg"] and got[2, "limitations"] == ["ras_scope"]
+    assert findings.findings(spark.createDataFrame([], FACTS)).count() == 0
