@@ -9,25 +9,37 @@ from .scalars import bound, normalize_label
 
 # ---- fixed values ----
 STATEMENT_TITLES = [
-    "бухгалтерский баланс", "отчет о финансовых результатах", "отчет об изменениях капитала",
+    "бухгалтерский баланс", "отчет о финансовых результатах",
     "отчет о движении денежных средств", "отчет о финансовом положении", "отчет о прибылях и убытках",
     "отчет о совокупном доходе", "statement of financial position", "statement of profit or loss",
     "statement of comprehensive income", "statement of cash flows", "balance sheet", "income statement",
     "cash flow statement",
 ]
-FINANCIAL_WORDS = (
-    "бухгалтерский баланс актив пассив оборотные внеоборотные активы обязательства капитал выручка себестоимость "
-    "прибыль убыток дебиторская кредиторская задолженность денежные средства эквиваленты запасы инвестиции финансовые "
-    "вложения налог операционный инвестиционный финансовый денежный поток платежи поступления заемные долгосрочные "
-    "краткосрочные пояснения аудиторское заключение отчетность российским стандартам организация общество компания "
-    "тысяч рублей показатель наименование текущих операций чистая валовая продаж"
-).split()
+#: Titles that a contents list names a statement by.
+CONTENTS_TITLES = [
+    "бухгалтерский баланс", "отчет о финансовом положении", "отчет о совокупном доходе",
+    "отчет о финансовых результатах", "отчет о движении денежных средств",
+    "statement of financial position", "statement of comprehensive income", "statement of cash flows",
+]
+FINANCIAL_WORDS = [
+    "бухгалтерский", "баланс", "актив", "пассив", "оборотные", "внеоборотные", "активы", "обязательства", "капитал",
+    "выручка", "себестоимость", "прибыль", "убыток", "дебиторская", "кредиторская", "задолженность", "денежные",
+    "средства", "эквиваленты", "запасы", "инвестиции", "финансовые", "вложения", "налог", "операционный",
+    "инвестиционный", "финансовый", "денежный", "поток", "платежи", "поступления", "заемные", "долгосрочные",
+    "краткосрочные", "пояснения", "аудиторское", "заключение", "отчетность", "российским", "стандартам",
+    "организация", "общество", "компания", "тысяч", "рублей", "показатель", "наименование", "текущих", "операций",
+    "чистая", "валовая", "продаж",
+]
 STATEMENT_CODE = r"(?<!\d)(?:1[1-7]\d0|2[1-5]\d0|4[1-5]\d0)(?!\d)"
 TABLE_NOISE = ["наименование показателя", "пояснения код", "единица измерения", "2025за", "2024за"]
 KPI_NOISE = ["наименование показателя", "единица измерения", "пояснения код", "2025за", "2024за", "строка строк", "графа граф"]
 BULLET_NOISE = ["наименование показателя", "единица", "2025за", "2024за", "пояснения код"]
 TOKEN = "[А-Яа-яЁёA-Za-zÀ-ÖØ-öø-ÿ0-9]+"
-LOOK_ALIKES = ("ABCEHKMOPTXYaceopxy", "АВСЕНКМОРТХУасеорху")
+#: Latin letters and the Cyrillic ones that look alike.
+LOOK_ALIKES = {
+    "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "K": "К", "M": "М", "O": "О", "P": "Р", "T": "Т", "X": "Х",
+    "Y": "У", "a": "а", "c": "с", "e": "е", "o": "о", "p": "р", "x": "х", "y": "у",
+}
 CYRILLIC, LATIN = "[А-Яа-яЁё]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _LETTERS = "А-Яа-яЁёA-Za-zÀ-ÖØ-öø-ÿ"
 # ---- end of fixed values ----
@@ -122,7 +134,7 @@ def repair_alphabet(text: Column) -> Column:
     """Latin look-alikes as Cyrillic letters within tokens that are mostly Cyrillic; single spaces."""
     def one(token):
         own, other = F.size(found(token, CYRILLIC)), F.size(found(token, "[A-Za-z]"))
-        return F.when((own > 0) & (own >= other), F.translate(token, *LOOK_ALIKES)).otherwise(token)
+        return F.when((own > 0) & (own >= other), F.translate(token, "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values()))).otherwise(token)
 
     return F.array_join(F.transform(F.split(squeezed(text), " "), one), " ")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_label, repair_digits, text_pair
 from ..functions.vocabulary import BANK_CASH_NOT, IFRS_SUBTOTALS, NEGATIVE, bank_lines, ifrs_lines, ras_lines
-from .text_jobs import IFRS_KINDS, first_category
+from .text_jobs import IFRS_KINDS, first_category, ifrs_unit
 
 PAGE, LINE = ["doc_id", "page"], ["doc_id", "page", "line_no"]
 NUMERIC = r"^[()\-+]?\d[\d.,()\-+]*$"
@@ -168,12 +168,18 @@ def ras_rows(words: DataFrame, most: float = 2e10, apart: float = 50.0) -> DataF
     return ranked.select("doc_id", "metric_key", "code", value(0).alias("first"), value(1).alias("second"), value(2).alias("third"), "score")
 
 
-def two_column_values(words: DataFrame, reporting_year: Column) -> DataFrame:
-    """(LINE, first, second): amounts under the two year headers; the boundary lies at 72 % between them."""
+def year_columns(words: DataFrame, reporting_year: Column) -> DataFrame:
+    """(PAGE, a, b): where the headers of the reporting year and of the one before stand, from the first line with both."""
     token = F.regexp_replace(repair_digits(F.col("text")), r"\D", "").try_cast("int")
     heads = words.where("line_no < 20").select(*LINE, "left", token.alias("y"), reporting_year.alias("ry"))
-    pairs = heads.groupBy(*LINE).agg(F.min(F.when(F.col("y") == F.col("ry"), F.col("left"))).alias("a"), F.min(F.when(F.col("y") == F.col("ry") - 1, F.col("left"))).alias("b")).where("a < b")
-    first = pairs.groupBy(*PAGE).agg(F.min_by(F.struct("a", "b"), "line_no").alias("h")).select(*PAGE, "h.a", "h.b")
+    place = lambda back: F.min(F.when(F.col("y") == F.col("ry") - back, F.col("left")))
+    pairs = heads.groupBy(*LINE).agg(place(0).alias("a"), place(1).alias("b")).where("a < b")
+    return pairs.groupBy(*PAGE).agg(F.min_by(F.struct("a", "b"), "line_no").alias("h")).select(*PAGE, "h.a", "h.b")
+
+
+def two_column_values(words: DataFrame, reporting_year: Column) -> DataFrame:
+    """(LINE, first, second): amounts under the two year headers; the boundary lies at 72 % between them."""
+    first = year_columns(words, reporting_year)
     inside = words.join(first, PAGE).where("left >= a - 85").withColumn("side", (F.col("left") >= F.col("a") + (F.col("b") - F.col("a")) * 0.72).cast("int"))
     raw = F.translate(repair_digits(F.trim("text")), "−", "-")
     cells = inside.withColumn("_raw", raw).where(F.col("_raw").rlike(NUMERIC)).groupBy(*LINE, "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "word_no", "_raw"))), lambda w: w["_raw"]), " ").alias("t"))
@@ -193,17 +199,27 @@ def line_values(words: DataFrame, rows: DataFrame, reporting_year: Column) -> Da
     return placed.select(*LINE, value("first"), value("second")).where("first IS NOT NULL")
 
 
-def ifrs_rows(rows: DataFrame, values: DataFrame, pages: DataFrame, most: float = 1e11) -> DataFrame:
-    """(doc_id, metric_key, first, second, score): lines of primary statements, best per metric.
+def ifrs_rows(rows: DataFrame, values: DataFrame, pages: DataFrame, columned: DataFrame | None = None, most: float = 1e11) -> DataFrame:
+    """(doc_id, metric_key, first, second, score, page, unit, confidence, source_row): lines of primary statements, best per metric.
 
-    rows: LINE, text, conf (line_no without gaps); values: LINE, first, second; a row
-    without amounts takes those of the line before, the second before, after, or second after.
+    rows: LINE, text, conf (line_no without gaps); values: LINE, first, second; a row without amounts takes those of
+    the line before, the second before, after, or second after. pages: doc_id, page, text and, where known,
+    ocr_quality; the unit is the page's. columned: pages with year columns, whose lines count 20 more.
     """
-    kinds = pages.select(*PAGE, first_category(F.col("text"), IFRS_KINDS).alias("kind")).where("kind IS NOT NULL")
+    quality = F.coalesce(F.col("ocr_quality"), F.lit(80.0)) if "ocr_quality" in pages.columns else F.lit(80.0)
+    kinds = pages.select(
+        *PAGE, first_category(F.col("text"), IFRS_KINDS).alias("kind"), ifrs_unit(F.col("text")).alias("unit"),
+        F.round(F.least(F.lit(0.99), 0.90 + quality / 1000), 2).alias("confidence"),
+    ).where("kind IS NOT NULL")
+    if columned is not None:
+        kinds = kinds.join(columned.select(*PAGE, F.lit(20).alias("columns")).distinct(), PAGE, "left")
+    else:
+        kinds = kinds.withColumn("columns", F.lit(0))
     order = Window.partitionBy(*PAGE).orderBy("line_no")
     both = F.when(F.col("first").isNotNull(), F.struct("first", "second"))
     near = rows.join(values, LINE, "left").withColumn("own", both)
-    near = near.withColumn("got", F.coalesce("own", F.lag("own", 1).over(order), F.lag("own", 2).over(order), F.lead("own", 1).over(order), F.lead("own", 2).over(order)))
+    others = [F.lag("own", 1).over(order), F.lag("own", 2).over(order), F.lead("own", 1).over(order), F.lead("own", 2).over(order)]
+    near = near.withColumn("got", F.coalesce("own", *others))
     named = near.where("got IS NOT NULL").join(kinds, PAGE).withColumn("_l", normalize_label(F.col("text")))
     hit = named.join(F.broadcast(ifrs_lines(rows.sparkSession)), "kind").where(F.exists("aliases", lambda a: F.col("_l").contains(a)))
     label, key = F.col("_l"), F.col("metric_key")
@@ -211,11 +227,16 @@ def ifrs_rows(rows: DataFrame, values: DataFrame, pages: DataFrame, most: float
         (key == "liabilities") & label.rlike("и капитал|and equity") | (key == "equity") & ~label.rlike("^(итого капитал|total equity)")
         | (key == "receivables") & label.rlike("долгосроч|long-term|non-current")
     )
-    scored = hit.where(~bars).withColumn("score", 200 + F.col("conf") + 20 + F.when(F.col("own").isNotNull(), 100).otherwise(0))
+    own = F.when(F.col("own").isNotNull(), 100).otherwise(0)
+    scored = hit.where(~bars).withColumn("score", 200 + F.col("conf") + F.coalesce("columns", F.lit(0)) + own)
     signed = lambda c: F.when(F.col("negative"), -F.abs(F.col(f"got.{c}"))).otherwise(F.col(f"got.{c}"))
     scored = scored.withColumns({"a": signed("first"), "b": signed("second")}).where(F.greatest(F.abs("a"), F.abs("b")) <= most)
     best = Window.partitionBy("doc_id", "metric_key").orderBy(F.col("score").desc(), "page", "ord", "line_no")
-    return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("doc_id", "metric_key", F.col("a").alias("first"), F.col("b").alias("second"), "score")
+    ranked = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    return ranked.select(
+        "doc_id", "metric_key", F.col("a").alias("first"), F.col("b").alias("second"), "score", "page", "unit", "confidence",
+        F.col("text").alias("source_row"),
+    )
 
 
 def ifrs_subtotals(rows: DataFrame, values: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.scalars import normalize_label, number_tokens, parse_number, two_amounts
+from ..functions.scalars import normalize_label, number_tokens, parse_number, text_pair
 from ..functions.vocabulary import NEGATIVE, RAS_LINES, ras_lines
+from .text_jobs import ifrs_unit
 
 PAGE = ["doc_id", "page"]
 # ---- fixed values: page kinds by title and by code, note lines, legal forms, marks of context ----
@@ -91,11 +92,19 @@ def ranked_last(better: DataFrame, text: DataFrame) -> DataFrame:
     return better.unionByName(missing, allowMissingColumns=True)
 
 
+#: Confidence of a line of the notes (fixed value).
+NOTE_CONFIDENCE = 0.97
+
+
 def note_rows(pages: DataFrame) -> DataFrame:
-    """(doc_id, metric_key, page, yr, val): lines of notes that ratios need, of the last page that has them."""
+    """(doc_id, metric_key, page, yr, val, unit, confidence, source_row): lines of notes that ratios need, of the last page that has them.
+
+    A line's two amounts keep signs, brackets and decimals; years and a leading note number don't count.
+    """
     label = normalize_label(F.col("text"))
-    notes = pages.where(F.col("reporting_year").isNotNull() & T.holds_any(label, NOTE_PAGES)).withColumn("whole", label)
-    lines = notes.select(*PAGE, "reporting_year", "whole", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line"))
+    notes = pages.where(F.col("reporting_year").isNotNull() & T.holds_any(label, NOTE_PAGES))
+    notes = notes.withColumns({"whole": label, "unit": ifrs_unit(F.col("text"))})
+    lines = notes.select(*PAGE, "reporting_year", "whole", "unit", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line"))
     lines = lines.withColumn("label", normalize_label(F.col("line")))
     named = [
         F.when(
@@ -104,14 +113,15 @@ def note_rows(pages: DataFrame) -> DataFrame:
         )
         for key, titles, begins, negative in NOTE_LINES
     ]
-    groups = F.regexp_extract_all("line", F.lit(r"\d+"), F.lit(0))
-    hit = lines.withColumn("found", F.explode(F.array_compact(F.array(*named)))).withColumn("pair", two_amounts(groups)).where("pair.first is not null")
+    hit = lines.withColumn("found", F.explode(F.array_compact(F.array(*named)))).withColumn("pair", text_pair(F.col("line"))).where("pair.first is not null")
     last = Window.partitionBy("doc_id", "found.metric_key").orderBy(F.col("page").desc(), "pos")
     hit = hit.withColumn("turn", F.row_number().over(last)).where("turn = 1")
     signed = lambda v: F.when(F.col("found.negative"), -F.abs(v)).otherwise(v)
     values = F.array(signed(F.col("pair.first")), signed(F.col("pair.second")))
-    rows = hit.select("doc_id", "found.metric_key", "page", "reporting_year", F.posexplode(values).alias("back", "val"))
-    return rows.select("doc_id", "metric_key", "page", (F.col("reporting_year") - F.col("back")).alias("yr"), "val")
+    rows = hit.select("doc_id", "found.metric_key", "page", "reporting_year", "unit", F.trim("line").alias("source_row"), F.posexplode(values).alias("back", "val"))
+    return rows.select(
+        "doc_id", "metric_key", "page", (F.col("reporting_year") - F.col("back")).alias("yr"), "val", "unit", F.lit(NOTE_CONFIDENCE).alias("confidence"), "source_row"
+    )
 
 
 def companies(texts: DataFrame, fallback: str = "Не определено") -> DataFrame:

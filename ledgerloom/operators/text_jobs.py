@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scalars import normalize_label, parse_number
+from .tables import unit_of
 
 # ---- fixed values: keywords by category, in the order in which they are tried ----
 NARRATIVE = [
@@ -83,9 +84,10 @@ def reporting_year(text: Column) -> Column:
 
 
 def ifrs_unit(text: Column) -> Column:
+    """The unit that a page of an international statement names in words, else the last one written."""
     t = normalize_label(text)
     ruble = t.contains("руб") | t.contains("ruble") | t.contains("rouble")
-    return F.when(ruble & (t.contains("миллион") | t.contains("million")), "млн руб.").when(ruble & (t.contains("тысяч") | t.contains("thousand")), "тыс. руб.")
+    return F.when(ruble & (t.contains("миллион") | t.contains("million")), "млн руб.").when(ruble & (t.contains("тысяч") | t.contains("thousand")), "тыс. руб.").otherwise(unit_of(text))
 
 
 def narrative_facts(pages: DataFrame, rules: list = NARRATIVE, script: str = T.CYRILLIC, most: int = 24) -> DataFrame:
@@ -156,9 +158,12 @@ def pages_to_read(pages: DataFrame, least_chars: int = 80) -> DataFrame:
     return cut.withColumn("reason", why).where("reason IS NOT NULL")
 
 
-def contents_pages(pages: DataFrame, titles: list[str] = T.STATEMENT_TITLES) -> DataFrame:
-    """(doc_id, target): page numbers at the end of contents lines that name a statement, within the document."""
-    sized = pages.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("page <= 8")
+def contents_pages(pages: DataFrame, titles: list[str] = T.CONTENTS_TITLES, first_pages: int = 8) -> DataFrame:
+    """(doc_id, target): page numbers at the end of contents lines that name a statement, within the document.
+
+    Contents are sought on the first pages.
+    """
+    sized = pages.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where(F.col("page") <= first_pages)
     lines = sized.select("doc_id", "n", F.explode(F.split("text", "\r\n|\n|\r")).alias("line")).where(T.holds_any(normalize_label(F.col("line")), titles))
     target = F.regexp_extract(F.trim("line"), r"(\d{1,3})\s*$", 1).try_cast("int")
     return lines.withColumn("target", target).where("target BETWEEN 1 AND n").select("doc_id", "target").distinct()

@@ -78,22 +78,25 @@ def bank_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _statement(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(words, pages) of a balance a customer; every fourth states its cash beside the label, and all state assets left of the columns."""
-    at, when = (300, 500), "IF(k % 4 = 0, {0}, NULL)"
+    """(words, pages) of a balance a customer; every fourth states its cash beside the label, and all state assets left of the columns.
+
+    Every fifth has no year columns.
+    """
+    at, when, headed = (300, 500), "IF(k % 4 = 0, {0}, NULL)", "IF(k % 5 = 0, NULL, {0})"
     cells = [
-        *_pair(0, 0, "2024", "2023", at), *_said(1, 30, "Current assets"), *_said(2, 60, "Inventories"), *_pair(2, 60, "a", "a + 1", at),
-        *_said(3, 90, "Cash and cash equivalents"), *_pair(3, 90, when.format("a + 5"), when.format("a + 6"), at), *_pair(4, 120, "a + 2", "a + 3", at),
+        *_pair(0, 0, headed.format("2024"), headed.format("2023"), at), *_said(0, 0, "Balance"), *_said(1, 30, "Current assets"), *_said(2, 60, "Запасы"), *_pair(2, 60, "a", "a + 1", at),
+        *_said(3, 90, "Денежные средства и их эквиваленты"), *_pair(3, 90, when.format("a + 5"), when.format("a + 6"), at), *_pair(4, 120, "a + 2", "a + 3", at),
         *_said(5, 150, "Non-current assets"), *_pair(6, 180, "a * 2", "a * 2 + 1", at), *_said(7, 210, "Итого активы"), *_pair(7, 210, "a * 3", "a * 3 + 1", (160, 200)),
         *_said(8, 240, "Total liabilities and equity"), *_pair(8, 240, "a * 3", "a * 3 + 1", at),
     ]
     owners = _customers(spark, sf_dir)
-    return _laid(owners, cells, "60 + k % 30"), owners.select("doc_id", "page", F.lit("Consolidated statement of financial position").alias("text"))
+    return _laid(owners, cells, "60 + k % 30"), owners.select("doc_id", "page", F.lit("Consolidated statement of financial position, in millions of roubles").alias("text"))
 
 
 def ifrs_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, pages = _statement(spark, sf_dir)
     rows = layout.lines(words)
-    return layout.ifrs_rows(rows, layout.line_values(words, rows, F.lit(2024)), pages)
+    return layout.ifrs_rows(rows, layout.line_values(words, rows, F.lit(2024)), pages, layout.year_columns(words, F.lit(2024)))
 
 
 def ifrs_section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +115,7 @@ def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three pages a customer; the first lists statements, one beyond the document, one only in every third."""
-    lines = ["'Contents'", "'Consolidated statement of financial position .... 2'", "'Balance sheet 99'", "'Notes 3'", "IF(k % 3 = 0, 'Income statement 3', 'Income statement')"]
+    lines = ["'Contents'", "'Consolidated statement of financial position .... 2'", "'Balance sheet 99'", "'Notes 3'", "IF(k % 3 = 0, 'Statement of cash flows 3', 'Income statement 3')"]
     pages = _customers(spark, sf_dir).drop("page").select("doc_id", F.expr(f"concat_ws('\n', {', '.join(lines)})").alias("first"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("page"))
     return text_jobs.contents_pages(pages.select("doc_id", "page", F.when(F.col("page") == 1, F.col("first")).alias("text")))
 
@@ -137,9 +140,11 @@ FROM b JOIN q USING (doc_id), (VALUES (0), (-1)) AS y(d) WHERE q >= 48 AND (d =
 UNION ALL SELECT doc_id, 'liabilities', '0409806', '24', CASE WHEN w THEN 1984 ELSE a END::DOUBLE, CASE WHEN w THEN 77 ELSE a + 1 END::DOUBLE, 235.0::DOUBLE + CASE WHEN w THEN k % 17 ELSE k % 5 END FROM (SELECT *, k % 17 - k % 5 > 10 AS w FROM a)
 UNION ALL SELECT doc_id, 'bank_operating_expenses', '0409807', '21', -a::DOUBLE, -3.0::DOUBLE * a, 235.0::DOUBLE + k % 5 FROM a
 UNION ALL SELECT doc_id, 'net_profit', '0409807', '26', a::DOUBLE, (a + 9)::DOUBLE, 235.0::DOUBLE + k % 5 FROM a""",
-    "ifrs_statements": f"""WITH {_A} SELECT doc_id, 'inventory' AS metric_key, a::DOUBLE AS first, (a + 1)::DOUBLE AS second, 380.0::DOUBLE + k % 30 AS score FROM a
-UNION ALL SELECT doc_id, 'assets', 3.0::DOUBLE * a, 3.0::DOUBLE * a + 1, 380.0::DOUBLE + k % 30 FROM a
-UNION ALL SELECT doc_id, 'cash', (CASE WHEN k % 4 = 0 THEN a + 5 ELSE a END)::DOUBLE, (CASE WHEN k % 4 = 0 THEN a + 6 ELSE a + 1 END)::DOUBLE, CASE WHEN k % 4 = 0 THEN 380.0::DOUBLE ELSE 280 END + k % 30 FROM a""",
+    "ifrs_statements": f"""WITH {_A}, r AS (SELECT doc_id, k, 'inventory' AS metric_key, a::DOUBLE AS first, (a + 1)::DOUBLE AS second, 380.0::DOUBLE AS score, 'Запасы ' || a || ' ' || (a + 1) AS source_row FROM a
+UNION ALL SELECT doc_id, k, 'assets', 3.0::DOUBLE * a, 3.0::DOUBLE * a + 1, 380.0::DOUBLE, 'Итого активы ' || a * 3 || ' ' || (a * 3 + 1) FROM a
+UNION ALL SELECT doc_id, k, 'cash', (CASE WHEN k % 4 = 0 THEN a + 5 ELSE a END)::DOUBLE, (CASE WHEN k % 4 = 0 THEN a + 6 ELSE a + 1 END)::DOUBLE, CASE WHEN k % 4 = 0 THEN 380.0::DOUBLE ELSE 280 END,
+  'Денежные средства и их эквиваленты' || CASE WHEN k % 4 = 0 THEN ' ' || (a + 5) || ' ' || (a + 6) ELSE '' END FROM a)
+SELECT doc_id, metric_key, first, second, score + k % 30 - CASE WHEN k % 5 = 0 THEN 20 ELSE 0 END AS score, 1 AS page, 'млн руб.' AS unit, 0.98::DOUBLE AS confidence, source_row FROM r""",
     "text_metrics": f"""WITH {_A} SELECT doc_id, label, yr, v::DOUBLE AS val FROM (SELECT doc_id, unnest([
   {{'label': 'Revenue total', 'yr': 2024, 'v': a::DOUBLE}}, {{'label': 'Revenue total', 'yr': 2023, 'v': -(a + 7)::DOUBLE}},
   {{'label': 'Запасы, тыс. руб.', 'yr': 2024, 'v': 1234.5::DOUBLE}}, {{'label': 'Запасы, тыс. руб.', 'yr': 2023, 'v': a * 2.0::DOUBLE}}], recursive := true) FROM a)""",

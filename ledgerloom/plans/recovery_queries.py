@@ -55,11 +55,13 @@ def ranked_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ifrs_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pages of notes a customer; the second says other amounts, which count."""
+    """Two pages of notes a customer; the second says other amounts, which count. Some stand in brackets, some have decimals and years."""
     customers = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "cast(floor(abs(c_acctbal)) AS bigint) + 10000 AS a", "explode(array(1, 2)) AS page")
-    lines = [F.lit("Notes to the statements"), F.lit("Operating expenses")]
-    lines += [F.concat(F.lit("Depreciation "), F.expr("cast(a * page AS string)"), F.lit(" "), F.expr("cast(a * page + 7 AS string)"))]
-    finance = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Finance income and costs\nInterest costs "), F.col("a").cast("string"), F.lit(" "), (F.col("a") + 1).cast("string")))
+    lines = [F.lit("Notes to the statements, thousands of roubles"), F.lit("Operating expenses")]
+    two = ["cast(a * page AS string)", "cast(a * page + 7 AS string)"]
+    written = [f"concat('Depreciation ', {two[0]}, ' ', {two[1]})", f"concat('Depreciation (', {two[0]}, ') (', {two[1]}, ')')", f"concat('Depreciation 2020 ', {two[0]}, ',5 2019 ', {two[1]}, ',5')"]
+    lines.append(F.expr(f"CASE doc_id % 3 WHEN 0 THEN {written[0]} WHEN 1 THEN {written[1]} ELSE {written[2]} END"))
+    finance = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Finance income and costs\nПроцентный расход "), F.col("a").cast("string"), F.lit(" "), (F.col("a") + 1).cast("string")))
     pages = customers.select("doc_id", "page", F.lit(2020).alias("reporting_year"), F.concat_ws("\n", *lines, finance).alias("text"))
     return Y.note_rows(pages)
 
@@ -192,9 +194,11 @@ ORACLE_SQL = {
     "statement_text_rows": f"WITH {_TEXT_ROWS} SELECT * FROM t",
     "ranked_text_rows": f"""WITH {_TEXT_ROWS}, own AS (SELECT doc_id, 'inventory' AS metric_key, y AS yr, c::DOUBLE AS val, 0.98::DOUBLE AS confidence FROM o WHERE c % 5 = 0 AND kind = 0)
 SELECT * FROM own UNION ALL SELECT doc_id, metric_key, yr, val, confidence FROM t WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.doc_id = t.doc_id AND own.metric_key = t.metric_key)""",
-    "ifrs_notes": """WITH c AS (SELECT c_custkey AS doc_id, floor(abs(c_acctbal))::BIGINT + 10000 AS a FROM customer)
-SELECT doc_id, 'depreciation_amortization' AS metric_key, 2 AS page, (2020 - b)::INTEGER AS yr, (a * 2 + 7 * b)::DOUBLE AS val FROM c, range(2) r(b)
-UNION ALL SELECT doc_id, 'interest_expense', 2, (2020 - b)::INTEGER, -(a + b)::DOUBLE FROM c, range(2) r(b) WHERE doc_id % 2 = 0""",
+    "ifrs_notes": """WITH c AS (SELECT c_custkey AS doc_id, floor(abs(c_acctbal))::BIGINT + 10000 AS a FROM customer),
+d AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'Depreciation ' || a * 2 || ' ' || (a * 2 + 7) WHEN 1 THEN 'Depreciation (' || a * 2 || ') (' || (a * 2 + 7) || ')' ELSE 'Depreciation 2020 ' || a * 2 || ',5 2019 ' || (a * 2 + 7) || ',5' END AS line FROM c)
+SELECT doc_id, 'depreciation_amortization' AS metric_key, 2 AS page, (2020 - b)::INTEGER AS yr, (CASE WHEN doc_id % 3 = 1 THEN -1 ELSE 1 END * (a * 2 + 7 * b) + CASE WHEN doc_id % 3 = 2 THEN 0.5 ELSE 0 END)::DOUBLE AS val,
+  'тыс. руб.' AS unit, 0.97::DOUBLE AS confidence, line AS source_row FROM d, range(2) r(b)
+UNION ALL SELECT doc_id, 'interest_expense', 2, (2020 - b)::INTEGER, -(a + b)::DOUBLE, 'тыс. руб.', 0.97, 'Процентный расход ' || a || ' ' || (a + 1) FROM c, range(2) r(b) WHERE doc_id % 2 = 0""",
     "company_names": """SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'ПАО «' || c_name || '»' WHEN 1 THEN 'ООО «' || c_name || '»' WHEN 2 THEN 'Group ' || c_name ELSE 'Не определено' END AS company FROM customer""",
     "stored_repair": f"""WITH m AS (SELECT o_custkey AS doc_id, count(*) FILTER (o_orderkey % 4 <> 0) AS coded FROM orders GROUP BY 1),
 r AS (SELECT c_custkey AS doc_id, CASE c_custkey % 7 WHEN 0 THEN 'annual_report' WHEN 1 THEN 'bank_ras_financial_statements' ELSE 'corporate_document' END AS document_type,

@@ -170,9 +170,11 @@ def doc_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pivot_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide sheet: a row a document and metric, a column a year."""
-    wide = facts(spark, sf_dir).groupBy("doc_id", "metric_key").pivot("yr", list(range(1995, 2002))).agg(F.first("val"))
-    return wide.select("doc_id", "metric_key", *[F.round(str(y), 5).alias(f"y{y}") for y in range(1995, 2002)])
+    """The wide sheet: a row a document and metric, a column each year that the data have."""
+    from ..sources.sinks import model_sheet
+
+    sheet = model_sheet(facts(spark, sf_dir))
+    return sheet.select("doc_id", "metric_key", *[F.round(c, 5).alias(c) for c in sheet.columns if c[:1] == "y"])
 
 
 def export_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +444,7 @@ SELECT doc_id, (SELECT count(*) FROM k WHERE k.doc_id = d.doc_id)::INTEGER AS n_
     "doc_score": f"""WITH {_RATIOS_CTE}, fl AS ({_FLAGS_SQL}), g AS (SELECT doc_id, count(*) FILTER (status <> 'na') AS n_available, avg(CASE status WHEN 'good' THEN 100 WHEN 'warn' THEN 60 WHEN 'bad' THEN 20 END) AS base FROM rt GROUP BY doc_id),
 p AS (SELECT doc_id, sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END) AS lost FROM fl GROUP BY doc_id)
 SELECT doc_id, n_available, CASE WHEN n_available >= 5 THEN greatest(0, least(100, round_even(base - coalesce(lost, 0), 0)))::INTEGER END AS score, CASE WHEN n_available >= 5 THEN 'financial' ELSE 'document_completeness' END AS mode FROM g LEFT JOIN p USING (doc_id)""",
-    "pivot_model": f"WITH {FX_SQL} SELECT doc_id, metric_key, {', '.join(f'round(max(val) FILTER (yr = {y}), 5) AS y{y}' for y in range(1995, 2002))} FROM fx_facts GROUP BY doc_id, metric_key",
+    "pivot_model": f"WITH {FX_SQL}, cells AS (SELECT doc_id, metric_key, 'y' || yr AS y, round(val, 5) AS val FROM fx_facts) PIVOT cells ON y USING max(val) GROUP BY doc_id, metric_key",
     "export_union": f"""WITH {_RATIOS_CTE} SELECT doc_id, 'financial' AS section, metric_key AS key, yr, round(val, 4) AS value, NULL::VARCHAR AS status FROM fx_facts
 UNION ALL SELECT doc_id, 'ratio', ratio_key, cur_year, round(value, 4), status FROM rt""",
 }

@@ -42,3 +42,16 @@ def provenance_rows(metrics: DataFrame) -> DataFrame:
     one = metrics.select("doc_id", "metric_key", "confidence", "row_code", "source_type", F.explode_outer("provenance").alias("p"))
     return one.select("doc_id", "metric_key", F.coalesce("p.row_code", "row_code").alias("row_code"),
                       F.coalesce("p.extraction_method", "source_type").alias("method"), F.coalesce("p.confidence", "confidence").alias("confidence"))
+
+
+def model_sheet(values: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """The wide sheet: a row a document, branch and metric, a column y<year> for each year in the data, then the metric's own columns.
+
+    values: doc_id, metric_key, yr, val, and branch where there are several; metrics: the same keys and what is to stand
+    beside the amounts. Years are looked up first; they are as many as the calendar has, whatever the table's size.
+    """
+    keys = [k for k in ("doc_id", "branch", "metric_key") if k in values.columns]
+    years = sorted(r.yr for r in values.select("yr").distinct().where("yr BETWEEN 1900 AND 2099").collect())
+    wide = values.groupBy(*keys).pivot("yr", years).agg(F.max("val"))
+    sheet = wide.select(*keys, *[F.col(str(y)).alias(f"y{y}") for y in years])
+    return sheet.join(metrics, keys, "left") if metrics is not None else sheet

@@ -159,7 +159,7 @@ def test_streams_equal_batch(spark, data, tmp_path):
     rows = candidates(spark, data).selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in ingest.CANDIDATES.split(", ")])
     rows.write.parquet(str(tmp_path / "in"))
     ingest.ingest_statements(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "metric_key", "yr", "seq")
+    got = ingest.model_rows(spark, str(tmp_path / "out")).select("doc_id", "metric_key", "yr", "seq")
     want = merged_values(gated(rows)).select("doc_id", "metric_key", "yr", "seq")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 

@@ -41,3 +41,27 @@ def test_export_cells_and_items(spark):
         Y.export_items(F.array(F.lit(" x "), F.lit(""), F.lit(None))).alias("d"), Y.export_items(F.lit(None).cast("array<string>"), "none").alias("e"),
     ).first()
     assert list(row) == ["1 234 567", "1 234.50", "—", ["x"], ["none"]]
+
+
+def test_notes_keep_signs_decimals_and_years_apart(spark):
+    from ledgerloom.operators import recovery
+
+    lines = ["Depreciation (1 234) (1 100)", "Depreciation 12,5 11,4", "Depreciation 2024 1 200 2023 1 100", "Depreciation"]
+    pages = [(i, 1, 2024, f"Notes to the statements, in millions of roubles\nOperating expenses\n{line}") for i, line in enumerate(lines)]
+    rows = recovery.note_rows(spark.createDataFrame(pages, "doc_id long, page int, reporting_year int, text string")).collect()
+    assert {(r.doc_id, r.yr): r.val for r in rows} == {(0, 2024): -1234.0, (0, 2023): -1100.0, (1, 2024): 12.5, (1, 2023): 11.4, (2, 2024): 1200.0, (2, 2023): 1100.0}
+    assert {(r.unit, r.confidence) for r in rows} == {("млн руб.", 0.97)}
+
+
+def test_a_page_with_year_columns_beats_one_without(spark):
+    from ledgerloom.operators import layout
+
+    rows = [(1, page, 1, f"Итого активы {v} {v}", conf) for page, v, conf in ((1, 100, 95.0), (2, 200, 80.0))]
+    values = [(1, page, 1, float(v), float(v)) for page, v in ((1, 100), (2, 200))]
+    text = "Consolidated statement of financial position, thousands of roubles"
+    pages = spark.createDataFrame([(1, 1, text, 50.0), (1, 2, text, None)], "doc_id long, page int, text string, ocr_quality double")
+    given = spark.createDataFrame(rows, "doc_id long, page int, line_no int, text string, conf double"), spark.createDataFrame(values, "doc_id long, page int, line_no int, first double, second double")
+    columned = spark.createDataFrame([(1, 2)], "doc_id long, page int")
+    got = layout.ifrs_rows(*given, pages, columned).first()
+    assert (got.page, got.first, got.unit, got.confidence, got.score) == (2, 200.0, "тыс. руб.", 0.98, 400.0)
+    assert layout.ifrs_rows(*given, pages).first().page == 1
