@@ -501,3 +501,19 @@ def test_words_of_bytes():
     for (a, b), h in zip(zip(words.begin, words.end), words.hashes):
         assert seen.setdefault(words.data[a:b].tobytes(), h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_word_ids_of_all_code_points_equal_the_library():
+    """In context, alone and behind a letter; newer letters and controls among them."""
+    table = word_tokens.ChunkIds(WORDS)
+    points = [i for i in range(1, 0x20000) if not 0xD800 <= i <= 0xDFFF]
+    for pattern in ("a{0}b", "x{0}y {0}", "AᲉ{0}"):
+        texts = [pattern.format(chr(i)) for i in points]
+        for begin in range(0, len(texts), 20000):
+            part = texts[begin : begin + 20000]
+            for text, found in zip(part, table.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                assert np.frombuffer(table.encode(text), "<u4").tolist() == found.ids, ascii(text)
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(1, 0x300), rng.randrange(0x300, 0x2000), rng.randrange(0x10000, 0x11F00), 32, 0x301])) for _ in range(20))
+        assert np.frombuffer(table.encode(text), "<u4").tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
