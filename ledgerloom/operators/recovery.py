@@ -58,32 +58,63 @@ def page_kind(text: Column) -> Column:
     return kind
 
 
+#: Unit of the rows of running text (fixed value).
+TEXT_UNIT = "тыс. руб."
+
+
+def _lines_of_kinds() -> Column:
+    """The lines of the forms by page kind, as a map of arrays: code, metric_key, parts, n_values, in order."""
+    kinds = dict.fromkeys(line[2] for line in RAS_LINES)
+    spec = lambda code, key, kind, parts, n: F.struct(
+        F.lit(code).alias("code"), F.lit(key).alias("metric_key"), F.array(*map(F.lit, parts)).alias("parts"), F.lit(n).alias("n_values")
+    )
+    table = [x for kind in kinds for x in (F.lit(kind), F.array(*[spec(*line) for line in RAS_LINES if line[2] == kind]))]
+    return F.create_map(*table)
+
+
 def text_rows(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, metric_key, code, yr, val, confidence): statement rows out of pages (doc_id, page, text, reporting_year).
+    """(doc_id, page, metric_key, code, yr, val, confidence, unit, source_row): statement rows out of pages (doc_id, page, text, reporting_year).
 
     A window of three lines counts by a line's code (0.78) or all parts of its label (0.62); of the
     numbers of 1000 and more behind it the first belong to the reporting year and those before. Pages
     need two codes. The first window of a page that has a metric's numbers is taken.
+
+    Codes are found and labels put in order once a line; a window has those of its lines, so it is
+    compared with its page's lines by lookups, and only what it holds is cut and read.
     """
-    rich = pages.where(F.col("reporting_year").isNotNull() & (F.size(official_codes(F.col("text"))) >= 2))
-    rich = rich.withColumn("kind", page_kind(F.col("text"))).where("kind is not null")
+    rich = pages.where(F.col("reporting_year").isNotNull()).withColumn("codes", official_codes(F.col("text")))
+    rich = rich.where(F.size("codes") >= 2).withColumn("kind", page_kind(F.col("text"))).where("kind is not null")
     lines = rich.select(*PAGE, "reporting_year", "kind", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line"))
+    lines = lines.withColumns({"codes": official_codes(F.col("line")), "label": normalize_label(F.col("line"))})
     order = Window.partitionBy(*PAGE).orderBy("pos")
-    near = F.concat_ws(" ", "line", F.lead("line", 1).over(order), F.lead("line", 2).over(order))
-    windows = lines.select(*PAGE, "reporting_year", "kind", "pos", near.alias("near")).withColumn("label", normalize_label(F.col("near")))
-    # 37 lines of the forms
-    met = windows.join(F.broadcast(ras_lines(pages.sparkSession)), "kind")
-    tail = F.expr(r"regexp_extract(near, concat('(?s)(?<!\\d)', code, '(?!\\d)(.*)$'), 1)")
-    coded = F.expr(r"contains(near, code) AND rlike(near, concat('(?<!\\d)', code, '(?!\\d)'))")
-    met = met.withColumn("coded", coded).where(F.col("coded") | F.forall("parts", lambda p: F.col("label").contains(p)))
-    numbers = F.filter(number_tokens(F.when(F.col("coded"), tail).otherwise(F.col("near"))), lambda v: F.abs(v) >= 1000)
-    met = met.withColumn("numbers", numbers).where(F.size("numbers") >= F.col("n_values"))
+    next_two = lambda c: [c, F.lead(c, 1).over(order), F.lead(c, 2).over(order)]
+    none = F.array().cast("array<string>")
+    windows = lines.select(
+        *PAGE, "reporting_year", "kind", "pos", F.concat_ws(" ", *next_two("line")).alias("near"), F.concat_ws(" ", *next_two("label")).alias("label"),
+        F.concat(*[F.coalesce(c, none) for c in next_two("codes")]).alias("codes"),
+    )
+    holds = lambda s: F.array_contains("codes", s["code"]) | F.forall(s["parts"], lambda part: F.col("label").contains(part))
+
+    def read(s: Column) -> Column:
+        coded = F.array_contains("codes", s["code"])
+        behind = F.concat(F.lit(r"(?s)(?<!\d)"), s["code"], F.lit(r"(?!\d)(.*)$"))
+        tail = F.when(coded, F.call_function("regexp_extract", F.col("near"), behind, F.lit(1))).otherwise(F.col("near"))
+        numbers = F.filter(number_tokens(tail), lambda v: F.abs(v) >= 1000)
+        return F.struct(s["code"].alias("code"), s["metric_key"].alias("metric_key"), s["n_values"].alias("n_values"), coded.alias("coded"), numbers.alias("numbers"))
+
+    # inside the generator, so that a filter doesn't read the numbers twice
+    found = F.transform(F.filter(F.try_element_at(_lines_of_kinds(), F.col("kind")), holds), read)
+    found = F.filter(found, lambda x: F.size(x["numbers"]) >= x["n_values"])
+    met = windows.select(*PAGE, "reporting_year", "pos", "near", F.inline(found))
     first = Window.partitionBy(*PAGE, "metric_key").orderBy("pos")
     met = met.withColumn("turn", F.row_number().over(first)).where("turn = 1")
     values = F.slice("numbers", F.lit(1), F.col("n_values"))
     values = F.when(F.col("metric_key").isin(*NEGATIVE), F.transform(values, lambda v: -F.abs(v))).otherwise(values)
-    rows = met.select(*PAGE, "metric_key", "code", "reporting_year", F.when(F.col("coded"), 0.78).otherwise(0.62).alias("confidence"), F.posexplode(values).alias("back", "val"))
-    return rows.select(*PAGE, "metric_key", "code", (F.col("reporting_year") - F.col("back")).alias("yr"), "val", "confidence")
+    sure = F.when(F.col("coded"), 0.78).otherwise(0.62).alias("confidence")
+    rows = met.select(*PAGE, "metric_key", "code", "reporting_year", sure, F.trim("near").alias("source_row"), F.posexplode(values).alias("back", "val"))
+    return rows.select(
+        *PAGE, "metric_key", "code", (F.col("reporting_year") - F.col("back")).alias("yr"), "val", "confidence", F.lit(TEXT_UNIT).alias("unit"), "source_row"
+    )
 
 
 def ranked_last(better: DataFrame, text: DataFrame) -> DataFrame:

@@ -184,11 +184,12 @@ QUERIES = {f.__name__: f for f in (
     model_coverage, risk_summaries, finding_fallbacks, page_unions, report_rows, registry_lookup, reanalysis, export_cells,
 )}
 
-_TEXT_ROWS = """o AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 AS kind, floor(o_totalprice)::BIGINT + 1000 AS a, year(o_orderdate)::INTEGER AS y, o_custkey AS c FROM orders),
-t AS (SELECT doc_id, 1 AS page, 'inventory' AS metric_key, '1210' AS code, (y - b)::INTEGER AS yr, (a + b)::DOUBLE AS val, 0.78::DOUBLE AS confidence FROM o, range(3) r(b) WHERE kind = 0
-UNION ALL SELECT doc_id, 1, 'cash', '1250', (y - b)::INTEGER, (a * 2 + b)::DOUBLE, 0.62 FROM o, range(3) r(b) WHERE kind = 0
-UNION ALL SELECT doc_id, 1, 'revenue', '2110', (y - b)::INTEGER, (a * 3 + b)::DOUBLE, 0.78 FROM o, range(2) r(b) WHERE kind = 1
-UNION ALL SELECT doc_id, 1, 'cogs', '2120', (y - b)::INTEGER, -(a + b)::DOUBLE, 0.78 FROM o, range(2) r(b) WHERE kind = 1)"""
+_SHOWN = lambda name, *exprs: f"'в тысячах за период {name}'" + "".join(f" || ' | ' || replace(format('{{:,}}', {e}), ',', ' ')" for e in exprs)
+_TEXT_ROWS = f"""o AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 AS kind, floor(o_totalprice)::BIGINT + 1000 AS a, year(o_orderdate)::INTEGER AS y, o_custkey AS c FROM orders),
+t AS (SELECT doc_id, 1 AS page, 'inventory' AS metric_key, '1210' AS code, (y - b)::INTEGER AS yr, (a + b)::DOUBLE AS val, 0.78::DOUBLE AS confidence, 'тыс. руб.' AS unit, {_SHOWN('Запасы 1210', 'a', 'a + 1', 'a + 2')} AS source_row FROM o, range(3) r(b) WHERE kind = 0
+UNION ALL SELECT doc_id, 1, 'cash', '1250', (y - b)::INTEGER, (a * 2 + b)::DOUBLE, 0.62, 'тыс. руб.', {_SHOWN('Денежные средства и эквиваленты', 'a * 2', 'a * 2 + 1', 'a * 2 + 2')} FROM o, range(3) r(b) WHERE kind = 0
+UNION ALL SELECT doc_id, 1, 'revenue', '2110', (y - b)::INTEGER, (a * 3 + b)::DOUBLE, 0.78, 'тыс. руб.', {_SHOWN('Выручка 2110', 'a * 3', 'a * 3 + 1')} FROM o, range(2) r(b) WHERE kind = 1
+UNION ALL SELECT doc_id, 1, 'cogs', '2120', (y - b)::INTEGER, -(a + b)::DOUBLE, 0.78, 'тыс. руб.', {_SHOWN('Себестоимость продаж 2120', 'a', 'a + 1')} FROM o, range(2) r(b) WHERE kind = 1)"""
 _RAS = "(document_type = 'bank_ras_financial_statements' OR standard = 'РСБУ' OR coded >= 8)"
 ORACLE_SQL = {
     "statement_text_rows": f"WITH {_TEXT_ROWS} SELECT * FROM t",
