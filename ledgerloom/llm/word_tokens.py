@@ -78,14 +78,14 @@ class ChunkIds(dict):
         return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
 
     def __missing__(self, chunk: str) -> bytes:
-        if _odd(chunk):
-            raise OddChunk
-        if chunk.isalpha():
+        if chunk.isalpha():  # letters that are known here, and no marks
             ids = self._merged(chunk)
         else:
             word = chunk.rstrip(_MARKS)
             if word.isalpha():
                 return self[word] + self[chunk[len(word) :]]
+            if _odd(chunk):
+                raise OddChunk
             pieces = self.pieces(chunk)
             ids = self._merged(chunk) if pieces == [chunk] else b"".join(map(self.__getitem__, pieces))
         if len(chunk) <= 64:
