@@ -18,33 +18,31 @@ STATUS = "doc_id long, status string, updated_at timestamp, n_events long"
 def ingest_statements(spark: SparkSession, source: str, target: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """New candidate files become models of their documents; model_rows reads the newest of each.
 
-    The stream's state holds the readings of each document as a set, so a document may come in any number
-    of files and batches: its model is always made of all readings so far, and rows that come again change nothing.
-    A batch writes the readings of the documents it changed, then their models, in folders of its own; when it is
-    run again, it starts from the same state and overwrites the same folders. Order plays no part: where readings
-    are equally good, seq decides, which belongs to the reading. State has a document in a row and is
-    kept for good: give the session the RocksDB state store where it outgrows the executors' memory.
+    What has come is kept in files, a folder of readings a batch. A batch writes its own readings, then
+    the models of the documents that they are of, out of all readings of these so far, equal ones once.
+    So a document may come in any number of files and batches, rows that come again change nothing, and
+    no memory holds more than a task's share of a join, however many readings there are. A batch that is run
+    again overwrites its own folders. Order plays no part: where readings are equally good, seq decides,
+    which belongs to the reading. Each batch reads the folders of those before it.
     """
     build = build or (lambda rows: merged_values(gated(rows)))
-    stream = spark.readStream.schema(CANDIDATES).parquet(source)
-    names = [part.split()[0] for part in CANDIDATES.split(", ")][1:]
-    documents = stream.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set(F.struct(*names)).alias("readings"))
+    stream = spark.readStream.schema(CANDIDATES).parquet(source).where("doc_id IS NOT NULL")
 
-    def write(changed: DataFrame, batch: int) -> None:
-        rows = changed.select("doc_id", F.explode("readings").alias("r")).select("doc_id", "r.*")
-        rows.write.mode("overwrite").parquet(f"{target}/readings/batch={batch}")
-        # from the files: the state is read and changed once a batch
-        kept = spark.read.schema(CANDIDATES).parquet(f"{target}/readings/batch={batch}")
-        build(kept).write.mode("overwrite").parquet(f"{target}/models/batch={batch}")
+    def write(arrived: DataFrame, batch: int) -> None:
+        arrived.write.mode("overwrite").parquet(f"{target}/readings/batch={batch}")
+        known = spark.read.schema(f"{CANDIDATES}, batch long").parquet(f"{target}/readings").where(F.col("batch") <= batch)
+        changed = spark.read.schema(CANDIDATES).parquet(f"{target}/readings/batch={batch}").select("doc_id").distinct()
+        whole = known.drop("batch").join(changed, "doc_id", "left_semi").distinct()
+        build(whole).write.mode("overwrite").parquet(f"{target}/models/batch={batch}")
 
     empty = spark.createDataFrame([], CANDIDATES)
     empty.write.mode("overwrite").parquet(f"{target}/readings/batch=-1")
     build(empty).write.mode("overwrite").parquet(f"{target}/models/batch=-1")
-    return stream_once(documents, write, checkpoint)
+    return stream_once(stream, write, checkpoint)
 
 
 def stream_once(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs a stateful stream over all that has come, a batch after another, and ends."""
+    """Runs a stream over all that has come, a batch after another, and ends."""
     writer = rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
