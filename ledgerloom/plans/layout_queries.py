@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import EXCLUSIONS, SYNONYMS
 from ..operators import layout, tables
-from .fixtures import table
+from .fixtures import spread, table
 
 #: Row labels by a number's remainder.
 LABELS = ["Total assets", "Revenue, mln", "Cash and cash equivalents", "Net profit", "Wells drilled", "Cost of sales", "Доказанные запасы углеводородов", "Запасы, млн руб."]
@@ -94,7 +94,7 @@ _LINES = [("Выручка", "2110"), ("Себестоимость продаж"
 
 def ras_ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as statement lines: label, code and two amounts; an order is a page."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"))
     kind = F.get(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(c).alias("code")) for a, c in _LINES]), (F.col("l_linenumber") % 4).cast("int"))
     cents = F.floor(F.col("l_extendedprice") * 100)
     word = lambda n, left, text: F.struct(F.lit(n).alias("word_no"), F.lit(float(left)).alias("left"), text.cast("string").alias("text"))
