@@ -33,3 +33,9 @@ def test_filters_run_on_all_cores(spark, data):
     rows = spread(table(spark, data, "orders")).where(F.length(F.col("o_orderkey").cast("string")) > 1)
     assert "Repartition" not in _plan(rows)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_scores_are_rounded_by_tenths(spark):
+    """12 of 25 tokens have three letters: 6.25 and 21.6 are 27.85, whose nearest double lies below."""
+    rows = spark.createDataFrame([(" ".join(["abc"] * 12 + ["ab"] * 13),)], "text string")
+    assert J.quality_scores(rows.withColumn("mean_confidence", F.lit(80.0))).first().native == 27.9
