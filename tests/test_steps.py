@@ -39,3 +39,14 @@ def test_scores_are_rounded_by_tenths(spark):
     """12 of 25 tokens have three letters: 6.25 and 21.6 are 27.85, whose nearest double lies below."""
     rows = spark.createDataFrame([(" ".join(["abc"] * 12 + ["ab"] * 13),)], "text string")
     assert J.quality_scores(rows.withColumn("mean_confidence", F.lit(80.0))).first().native == 27.9
+
+
+def test_ingestion_holds_no_readings_in_state(spark, tmp_path):
+    from ledgerloom.streaming import ingest
+
+    source, target, checkpoint = (str(tmp_path / name) for name in ("source", "target", "checkpoint"))
+    row = (1, "ras", "revenue", 1, "pdf_table", 0.9, "тыс. руб.", None, 2024, 5.0)
+    spark.createDataFrame([row, row], ingest.CANDIDATES).coalesce(1).write.parquet(source)
+    ingest.ingest_statements(spark, source, target, checkpoint).awaitTermination()
+    assert not (tmp_path / "checkpoint" / "state").exists()
+    assert [(r.yr, r.val) for r in ingest.model_rows(spark, target).collect()] == [(2024, 5.0)]
