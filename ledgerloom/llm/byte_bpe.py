@@ -5,9 +5,9 @@ that may open a contraction, anything else, with what follows looked up where it
 matters). A class is a transition function over the kinds of pre-token that may
 be open; such functions compose associatively, so a blocked prefix scan gives the
 open kind at every code point of a batch, and with it every boundary. The slices
-between boundaries go through a cache to the merges. encode() keeps the offset of
-every slice and its number of tokens; decode() spells slice by slice by them, and can
-so return any part of a text.
+between boundaries are looked up all at once in a table of short slices, by all of their
+bytes; others go through a cache to the merges, which new slices of a batch do together. encode() keeps the offset of every slice
+and its number of tokens; decode() finds slices by them, and can so return any part of a text.
 
 A null text counts as empty (no ids). Rows are handled one by one, so nulls,
 repeated rows, ties and empty tables need no rule of their own; other columns are
@@ -26,11 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import portions
+from .arrays import mixed, portions
 from .common import documents, whole_text
 
-#: Slices kept in a Python worker, code points scanned together, ids decoded together.
+#: Slices kept by the merges of a Python worker, code points scanned together, ids decoded together.
 CACHE_ENTRIES, SCANNED, DECODED = 300_000, 1 << 19, 1 << 19
+#: Places of the table of short slices (a power of two), bytes of a short slice, ids that the table holds.
+SLOTS, SHORT, POOLED = 1 << 18, 16, 1 << 21
+#: Widths in bytes of slices that are merged together, and what stands for the rank of a pair that can't be joined.
+WIDTHS, NONE = (8, 16, 32, 48), 1 << 30
+#: The lowest bytes of a word, by their number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Code points of the White_Space property (fixed values).
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 LETTER, NUMBER, OTHER, MARK2, MARK3, GAP, LAST_SPACE, LAST_GAP = range(8)
@@ -133,40 +139,71 @@ class Scanner:
 
 
 class Merges(dict):
-    """Slice of text -> bytes of its ids, merged by rank when it is new."""
+    """Bytes of a slice -> bytes of its ids, merged by rank when it is new."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.packed = ranks, [i.to_bytes(4, "little") for i in range(max(ranks.values()) + 1)]
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
+        pairs = [(a << 32 | b, rank) for word, rank in ranks.items() for i in range(1, len(word)) if (a := ranks.get(word[:i])) is not None and (b := ranks.get(word[i:])) is not None]
+        self.pairs, self.joint = np.array(sorted(pairs) or [(-1, NONE)], np.int64).T.copy()
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE for one that no id spells."""
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.joint[at], NONE)
+
+    def learn(self, slices: list[bytes]) -> None:
+        """Merges the new ones of up to 48 bytes together: all rows join their own neighbours of least rank, step by step."""
+        if len(self) + len(slices) > CACHE_ENTRIES:
+            self.clear()
+        new = [x for x in dict.fromkeys(slices) if len(x) <= WIDTHS[-1] and x not in self and x not in self.ranks]
+        for below, width in zip((0, *WIDTHS), WIDTHS):
+            own = [x for x in new if below < len(x) <= width]
+            if own:
+                parts, left = self._merged(own, width)
+                data = parts.astype("<u4").tobytes()
+                self.update((x, data[4 * width * i : 4 * (width * i + n)]) for i, (x, n) in enumerate(zip(own, left.tolist(), strict=True)))
+
+    def _merged(self, slices: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, a row a slice, how many of them count)."""
+        left = np.fromiter(map(len, slices), np.int64, len(slices))
+        parts = self.bytes[np.frombuffer(b"".join([x.ljust(width, b"\0") for x in slices]), np.uint8)].reshape(-1, width)
+        ranks = np.full(parts.shape, NONE)
+        inside = np.arange(width - 1) < left[:, None] - 1
+        ranks[:, :-1][inside] = self.joined(parts[:, :-1][inside], parts[:, 1:][inside])
+        done, counts, rows, columns = parts.copy(), left.copy(), np.arange(len(slices)), np.arange(width - 1)
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(rows)), at]
+            more = least < NONE
+            if not more.all():
+                done[rows[~more]], counts[rows[~more]] = parts[~more], left[~more]
+                parts, ranks, rows, left, at, least = parts[more], ranks[more], rows[more], left[more], at[more], least[more]
+            every = np.arange(len(rows))
+            # what is right of the pair moves one place to the left
+            source = columns + (columns > at[:, None])
+            parts[:, :-1], ranks[:, :-1] = np.take_along_axis(parts, source, 1), np.take_along_axis(ranks, source, 1)
+            parts[every, at], ranks[:, -1] = least, NONE
+            left = left - 1
+            ranks[every, at] = NONE
+            for side in (at, at - 1):
+                fit = np.flatnonzero((side >= 0) & (side < left - 1))
+                place = side[fit]
+                ranks[fit, place] = self.joined(parts[fit, place], parts[fit, place + 1])
+        return done, counts
+
+    def __missing__(self, data: bytes) -> bytes:
         rank = self.ranks.get(data)
         ids = self.packed[rank] if rank is not None else b"".join([self.packed[i] for i in self.merge(data)])
-        if len(piece) <= 64:
+        if len(data) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
-            self[piece] = ids
+            self[data] = ids
         return ids
 
     def merge(self, data: bytes) -> list[int]:
-        """Joins the neighbours of least rank, the leftmost first, until none can be joined."""
-        get = self.ranks.get
-        if len(data) > 48:
-            return self._merge_long(data)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        joint = [get(data[i : i + 2], 1 << 30) for i in range(len(data) - 1)]
-        while joint and (least := min(joint)) < 1 << 30:
-            i = joint.index(least)
-            parts[i] += parts.pop(i + 1)
-            joint.pop(i)
-            if i < len(joint):
-                joint[i] = get(parts[i] + parts[i + 1], 1 << 30)
-            if i:
-                joint[i - 1] = get(parts[i - 1] + parts[i], 1 << 30)
-        return [self.ranks[p] for p in parts]
-
-    def _merge_long(self, data: bytes) -> list[int]:
-        """The same with a heap over linked parts: for slices of any length."""
+        """Joins the neighbours of least rank, the leftmost first, until none can be joined: a heap over linked parts, for any length."""
         get, n = self.ranks.get, len(data)
         end, back = list(range(1, n + 1)), list(range(-1, n - 1))  # part i is data[i:end[i]]
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(data[i : i + 2])) is not None]
@@ -191,6 +228,57 @@ class Merges(dict):
         return out
 
 
+def _strung(at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places at[0], at[0] + 1, ... of count[0] items, then those of the next run."""
+    before = np.cumsum(count) - count
+    return np.repeat(at - before, count) + np.arange(int(count.sum()))
+
+
+class Slices:
+    """Ids of all slices of a text: short ones from a table, others and new ones by the merges.
+
+    A row of the table holds the two words of a slice's bytes, its size, and where its ids are and how
+    many; a slice is found only if all of its bytes are equal. One that meets another in its place
+    takes the place over.
+    """
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.pool, self.used = np.zeros((SLOTS, 5), np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def ids(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slices in order, how many each has); slices are data[begin[i]:end[i]], none empty."""
+        if self.used > POOLED:
+            self.clear()
+        size = end - begin
+        padded = np.frombuffer(data + bytes(16), np.uint8)
+        words = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
+        low, high = words[begin] & _LOW[np.minimum(size, 8)], words[begin + 8] & _LOW[np.clip(size - 8, 0, 8)]
+        place = (mixed(low ^ mixed(high + size.astype(np.uint64))) & np.uint64(SLOTS - 1)).astype(np.int64)
+        own = (low.view(np.int64), high.view(np.int64), size)
+        rows = self.table[place]
+        at, count = rows[:, 3].copy(), rows[:, 4].copy()
+        new = np.flatnonzero((rows[:, 0] != own[0]) | (rows[:, 1] != own[1]) | (rows[:, 2] != own[2]))
+        if len(new):
+            slices = [data[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
+            self.merges.learn(slices)
+            found = [self.merges[x] for x in slices]
+            fresh = np.frombuffer(b"".join(found), "<u4")
+            count[new] = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+            at[new] = self.used + np.cumsum(count[new]) - count[new]
+            if self.used + len(fresh) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(fresh), len(self.pool)), np.uint32)])
+            self.pool[self.used : self.used + len(fresh)] = fresh
+            self.used += len(fresh)
+            short = new[size[new] <= SHORT]
+            short = short[np.unique(place[short], return_index=True)[1]]
+            self.table[place[short]] = np.column_stack([*(x[short] for x in own), at[short], count[short]])
+        return self.pool[_strung(at, count)], count
+
+
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -199,27 +287,28 @@ def _ranks(vocabulary: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def _encoder(vocabulary: str) -> tuple[Scanner, Merges]:
+def _encoder(vocabulary: str) -> tuple[Scanner, Slices]:
     """Loaded once in each Python worker that encodes."""
     if ("encode", vocabulary) not in _loaded:
-        _loaded["encode", vocabulary] = Scanner(), Merges(_ranks(vocabulary))
+        _loaded["encode", vocabulary] = Scanner(), Slices(Merges(_ranks(vocabulary)))
     return _loaded["encode", vocabulary]
 
 
-def _spelling(vocabulary: str) -> list[bytes]:
-    """The bytes of each id, loaded once in each Python worker that decodes."""
+def _spelling(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all ids one after another, where each id's begin, how many it has), loaded once in each Python worker that decodes."""
     if ("decode", vocabulary) not in _loaded:
         ranks = _ranks(vocabulary)
         spelled = [b""] * (max(ranks.values()) + 1)
         for word, rank in ranks.items():
             spelled[rank] = word
-        _loaded["decode", vocabulary] = spelled
+        size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        _loaded["decode", vocabulary] = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(size) - size, size
     return _loaded["decode", vocabulary]
 
 
 def encode_texts(texts: list[str], vocabulary: str) -> Iterator[list[tuple[bytes, np.ndarray, np.ndarray]]]:
     """For each text: ids as bytes, begin of each slice in the text, tokens of each slice; some texts at a time."""
-    scanner, merges = _encoder(vocabulary)
+    scanner, slices = _encoder(vocabulary)
     begin = 0
     while begin < len(texts):
         stop, size = begin, 0
@@ -230,12 +319,14 @@ def encode_texts(texts: list[str], vocabulary: str) -> Iterator[list[tuple[bytes
         np.cumsum([len(t) for t in texts[begin:stop]], out=edges[1:])
         text = "".join(texts[begin:stop])
         starts = scanner.boundaries(text, edges[:-1]) if text else np.zeros(0, np.int64)
-        places = starts.tolist()
-        ids = list(map(merges.__getitem__, [text[a:b] for a, b in zip(places, [*places[1:], len(text)])]))
+        data = text.encode()
         first = np.searchsorted(starts, edges)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        spans = zip(first[:-1], first[1:], edges[:-1], strict=True)
-        yield [(b"".join(ids[a:b]), starts[a:b] - edge, counts[a:b]) for a, b, edge in spans]
+        # slices begin at code points, of which each has one byte that doesn't go on from another
+        places = starts if len(data) == len(text) else np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[starts]
+        ids, counts = slices.ids(data, places, np.append(places[1:], len(data))) if len(places) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        cuts = np.concatenate([[0], np.cumsum(counts)])[first]
+        spans = zip(cuts[:-1], cuts[1:], first[:-1], first[1:], edges[:-1], strict=True)
+        yield [(ids[i:j].tobytes(), starts[a:b] - edge, counts[a:b]) for i, j, a, b, edge in spans]
         begin = stop
 
 
@@ -265,31 +356,22 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, schema)
 
 
-class Spelled(dict):
-    """Bytes of a slice's ids -> bytes that they spell."""
-
-    def __init__(self, vocabulary: str):
-        self.words = _spelling(vocabulary)
-
-    def __missing__(self, ids: bytes) -> bytes:
-        spelled = b"".join([self.words[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        if len(ids) <= 256:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[ids] = spelled
-        return spelled
+def _binary(bounds: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The bytes of data between bounds, an item each."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _spelled(vocabulary: str) -> Spelled:
-    if ("slices", vocabulary) not in _loaded:
-        _loaded["slices", vocabulary] = Spelled(vocabulary)
-    return _loaded["slices", vocabulary]
+def spelled(ids: np.ndarray, bounds: np.ndarray, vocabulary: str) -> pa.Array:
+    """What the ids between bounds spell, an item each."""
+    data, begin, size = _spelling(vocabulary)
+    sizes = size[ids]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return _binary(ends[bounds], data[_strung(begin[ids], sizes)])
 
 
 def decode_slices(ids: np.ndarray, counts: np.ndarray, vocabulary: str) -> bytes:
-    """What ids spell, a slice of counts[i] ids at a time, each looked up whole."""
-    data, cuts = ids.astype("<u4", copy=False).tobytes(), (np.cumsum(counts, dtype=np.int64) * 4).tolist()
-    return b"".join(map(_spelled(vocabulary).__getitem__, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+    """What the ids of slices of counts[i] ids each spell."""
+    return spelled(ids, np.array([0, int(np.sum(counts))]), vocabulary)[0].as_py()
 
 
 def decode(encoded: DataFrame, vocabulary: str, begin: int = 0, stop: int | None = None) -> DataFrame:
@@ -302,19 +384,19 @@ def decode(encoded: DataFrame, vocabulary: str, begin: int = 0, stop: int | None
     def run(batches):
         for batch in batches:
             bounds, values = ([np.asarray(batch.column(c).offsets) for c in (1, 2, 3)], [np.asarray(batch.column(c).values) for c in (1, 2, 3)])
-            ids, decoded = [], []
-            for row in range(batch.num_rows):
-                own, starts, counts = (v[b[row] : b[row + 1]] for b, v in zip(bounds, values, strict=True))
-                first, last = np.searchsorted(starts, [begin, stop]) if stop is not None else (np.searchsorted(starts, begin), len(starts))
-                if first or last < len(starts):
+            bound, own = bounds[0] - bounds[0][0], values[0][bounds[0][0] : bounds[0][-1]]
+            if begin or stop is not None:
+                parts = []
+                for row in range(batch.num_rows):
+                    ids, starts, counts = (v[b[row] : b[row + 1]] for b, v in zip(bounds, values, strict=True))
+                    first, last = np.searchsorted(starts, [begin, stop]) if stop is not None else (np.searchsorted(starts, begin), len(starts))
                     skipped = int(counts[:first].sum())
-                    counts = counts[first:last]
-                    own = own[skipped : skipped + int(counts.sum())]
-                ids.append(own)
-                decoded.append(decode_slices(own, counts, vocabulary))
+                    parts.append(ids[skipped : skipped + int(counts[first:last].sum())])
+                bound, own = np.cumsum([0, *map(len, parts)]), np.concatenate([own[:0], *parts])
+            own = np.ascontiguousarray(own, "<i4")
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "ids": _lists(ids, pa.int32()), "decoded": pa.array(decoded, pa.binary()),
-                "packed": pa.array([x.astype("<u4", copy=False).tobytes() for x in ids], pa.binary()),
+                "doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(own)),
+                "decoded": spelled(own, bound, vocabulary), "packed": _binary(4 * bound, own.view(np.uint8)),
             })
 
     def small(batches):
@@ -324,7 +406,7 @@ def decode(encoded: DataFrame, vocabulary: str, begin: int = 0, stop: int | None
 
 
 def _by_ids(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch with about DECODED ids each."""
+    """Pieces of the batch with about DECODED ids each."""
     bounds, begin = np.asarray(batch.column(1).offsets), 0
     while begin < batch.num_rows:
         stop = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + DECODED, "right")) - 1)

@@ -235,6 +235,25 @@ def test_byte_bpe_equals_the_library(spark, texts, odd):
     assert byte_bpe.decode(byte_bpe.encode(odd.limit(0), BYTES), BYTES).count() == 0
 
 
+def test_byte_bpe_merges_new_slices_together(monkeypatch):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    words = [" " + "".join(rng.choice("abcdeéñßхж漢") for _ in range(rng.randint(1, 60))) for _ in range(5000)]
+    alone, one = [], byte_bpe.Merges.merge
+    monkeypatch.setattr(byte_bpe.Merges, "merge", lambda self, data: alone.append(data) or one(self, data))
+    monkeypatch.setattr(byte_bpe, "_loaded", {})
+    monkeypatch.setattr(byte_bpe, "SLOTS", 64)  # most slices meet others in their place
+    texts = ["".join(words), "", "".join(words[::-1]), "a\0 a a\0\0"]
+    found = [x for part in byte_bpe.encode_texts(texts, BYTES) for x in part]
+    for text, (ids, _, counts) in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert byte_bpe.decode_slices(np.frombuffer(ids, "<u4"), counts, BYTES) == text.encode()
+    assert alone and min(map(len, alone)) > 48
+
+
 # -- op5 --
 def brute_components(prints, budget=3):
     items = sorted(prints)
