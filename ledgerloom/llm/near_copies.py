@@ -6,8 +6,8 @@ of WORDS times 64 bits. Its first 64 bits go through the trie self-join of opera
 whose links are candidates. A budget of three bits finds only close copies, so the
 rest are found exactly: texts of similarity t share a shingle among the first
 n - ceil(t n) + 1 of each, in any order that holds for all texts, and meet under it.
-The order puts shingles that a sample holds often last, so common lines bring few
-texts together; the sample has no influence on what is linked. A shingle has a hub,
+The order puts shingles last that the texts hold often, counted over all of them, so common
+lines bring few texts together. A shingle has a hub,
 the one of its texts whose shingles are the most common, and the texts of all shingles
 of a hub are its family. Each text is a candidate with its hubs, which joins a base and
 its variants by links that grow with the texts. Texts that are then in another group
@@ -42,8 +42,10 @@ from .simhash import Groups, components, links
 SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a text's SimHash.
 WORDS = 4
-#: Texts whose shingles are counted for the order, the count from which one is common, and at most how many are.
-SAMPLE, COMMON, MOST_COMMON = 10_000, 3, 1 << 16
+#: A shingle is common if COMMON texts hold it, and that many of each PER_TEXTS; how many of the most common are ordered by it.
+COMMON, PER_TEXTS, MOST_COMMON = 3, 10_000, 1 << 16
+#: Texts and shingles that are counted together in a task before the counts of all tasks meet.
+COUNTED_TEXTS, COUNTED_SHINGLES = 20_000, 1 << 23
 #: The low bits of a text's key that name it under a shingle; above them its rank as a hub.
 NAME_BITS, RANKS = 56, 127
 #: Texts of a family in a block, and rows that one task gets at a time.
@@ -115,12 +117,44 @@ def _shingles(batches):
         yield pa.RecordBatch.from_arrays([pa.array(_sets(part.column(0).to_pylist())[1])], ["value"])
 
 
+def _often_here(batches):
+    """Of each portion of texts the shingles with their counts that are common in it, and what a count of others may reach at most (slack).
+
+    A row of null value has a portion's texts and slack.
+    """
+
+    def told(held: list[np.ndarray], texts: int) -> pa.RecordBatch:
+        slack = -(-COMMON * texts // PER_TEXTS) - 1
+        value, count = np.unique(np.concatenate(held), return_counts=True)
+        value, count = value[count > slack], count[count > slack]
+        columns = [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(value)]), pa.array(np.concatenate([[texts], count])), pa.array(np.full(len(value) + 1, slack))]
+        return pa.RecordBatch.from_arrays(columns, ["value", "count", "slack"])
+
+    held, texts, size = [], 0, 0
+    for part in portions(batches, 0):
+        held.append(_sets(part.column(0).to_pylist())[1])
+        texts, size = texts + part.num_rows, size + len(held[-1])
+        if texts >= COUNTED_TEXTS or size >= COUNTED_SHINGLES:
+            yield told(held, texts)
+            held, texts, size = [], 0, 0
+    if texts:
+        yield told(held, texts)
+
+
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that the sample holds often, in order, and how often; at most MOST_COMMON."""
-    n = rows.count()
-    some = rows.sample(fraction=SAMPLE / n, seed=1) if n > SAMPLE else rows
-    held = some.select("text").mapInArrow(_shingles, "value long").groupBy("value").count().where(F.col("count") >= COMMON)
-    top = held.orderBy(F.desc("count"), "value").limit(MOST_COMMON).toArrow()
+    """The shingles that the most of all rows hold, in order, and how many rows hold each; at most MOST_COMMON.
+
+    What is common in all texts is so in some portion of them, so these are counted first; those whose
+    counts, with the slack of the portions that don't name them, may reach the bound are counted in all texts.
+    """
+    texts = rows.select("text")
+    here = written(texts.mapInArrow(_often_here, "value long, count long, slack long"), "often")
+    n, slack = here.where("value is null").agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("slack"), F.lit(0))).first()
+    least = max(COMMON, -(-COMMON * n // PER_TEXTS))
+    maybe = here.where("value is not null").groupBy("value").agg(F.sum("count").alias("known"), F.sum("slack").alias("told"))
+    maybe = written(maybe.where(F.col("known") + slack - F.col("told") >= least).select("value"), "maybe")
+    held = texts.mapInArrow(_shingles, "value long").join(maybe, "value").groupBy("value").count().where(F.col("count") >= least)
+    top = written(held.orderBy(F.desc("count"), "value").limit(MOST_COMMON), "common").toArrow()
     value, count = top.column("value").to_numpy(), top.column("count").to_numpy()
     order = np.argsort(value)
     return value[order], count[order]
@@ -128,6 +162,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _describe(common: tuple[np.ndarray, np.ndarray], similarity: float):
     known, counts = common
+    # the rank of a text whose shingles are all the most common one; 16 binary orders fill the ranks, or what there is beyond
+    step = RANKS / max(16.0, float(np.log2(1 + counts.max(initial=0))))
 
     def run(batches):
         for part in portions(batches, 2):
@@ -148,7 +184,7 @@ def _describe(common: tuple[np.ndarray, np.ndarray], similarity: float):
             by = np.argsort(name, kind="stable")
             under = np.concatenate([under, np.zeros(len(empty), np.int64)])[by]
             weight = np.bincount(text, np.log2(1 + often), rows) / np.maximum(n, 1)
-            hub = np.minimum(RANKS, weight * 8).astype(np.int64)
+            hub = np.minimum(RANKS, weight * step).astype(np.int64)
             keys = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u8").reshape(-1, 2)[:, 0]
             num = (keys & np.uint64((1 << NAME_BITS) - 1)).astype(np.int64)
             hashes = simhashes(value, n).view(np.int64)

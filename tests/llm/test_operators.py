@@ -385,6 +385,14 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs, block=4).collect()) == sorted(set(root))
 
 
+def test_common_shingles_are_counted_over_all_texts(spark):
+    line, rare = "one line that all hold", "a few of them hold this"  # the latter by 25
+    texts = spark.range(25_000).selectExpr(f"concat('{line} ', id, if(id % 1000 = 7, ' {rare}', '')) AS text")
+    values, counts = near_copies.common_shingles(texts)
+    expected = {int(near_copies._sets([t])[1][0]): n for t, n in ((line, 25_000), ("a few of them hold", 25), ("few of them hold this", 25))}
+    assert dict(zip(values.tolist(), counts.tolist(), strict=True)) == expected
+
+
 def test_whole_simhashes(spark):
     rng = np.random.default_rng(1)
     n = np.array([0, 1, 3, 255, 256, 1000])
