@@ -44,8 +44,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 4
 #: A shingle is common if COMMON texts hold it, and that many of each PER_TEXTS; how many of the most common are ordered by it.
 COMMON, PER_TEXTS, MOST_COMMON = 3, 10_000, 1 << 16
-#: Texts and shingles that are counted together in a task before the counts of all tasks meet.
-COUNTED_TEXTS, COUNTED_SHINGLES = 20_000, 1 << 23
+#: Leading bits of a shingle's hash that are its place when shingles are counted; how many rows the places of a task are cut into.
+PLACE_BITS, STRETCHES = 23, 64
+#: Shingles on crowded places that a task counts together.
+MOST_HELD = 1 << 22
 #: The low bits of a text's key that name it under a shingle; above them its rank as a hub.
 NAME_BITS, RANKS = 56, 127
 #: Texts of a family in a block, and rows that one task gets at a time.
@@ -112,48 +114,78 @@ def _lists(text: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(value))
 
 
-def _shingles(batches):
-    for part in portions(batches, 0):
-        yield pa.RecordBatch.from_arrays([pa.array(_sets(part.column(0).to_pylist())[1])], ["value"])
+def _places(value: np.ndarray) -> np.ndarray:
+    return (value.view(np.uint64) >> np.uint64(64 - PLACE_BITS)).view(np.int64)
 
 
-def _often_here(batches):
-    """Of each portion of texts the shingles with their counts that are common in it, and what a count of others may reach at most (slack).
+def _placed(batches):
+    """How many shingles fall on each place, over all texts of a task: a row a stretch of places, with the number of texts.
 
-    A row of null value has a portion's texts and slack.
+    Counts are as narrow unsigned integers as hold them.
     """
-
-    def told(held: list[np.ndarray], texts: int) -> pa.RecordBatch:
-        slack = -(-COMMON * texts // PER_TEXTS) - 1
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        value, count = value[count > slack], count[count > slack]
-        columns = [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(value)]), pa.array(np.concatenate([[texts], count])), pa.array(np.full(len(value) + 1, slack))]
-        return pa.RecordBatch.from_arrays(columns, ["value", "count", "slack"])
-
-    held, texts, size = [], 0, 0
+    held, texts = np.zeros(1 << PLACE_BITS, np.uint32), 0
     for part in portions(batches, 0):
-        held.append(_sets(part.column(0).to_pylist())[1])
-        texts, size = texts + part.num_rows, size + len(held[-1])
-        if texts >= COUNTED_TEXTS or size >= COUNTED_SHINGLES:
-            yield told(held, texts)
-            held, texts, size = [], 0, 0
+        np.add.at(held, _places(_sets(part.column(0).to_pylist())[1]), np.uint32(1))
+        texts += part.num_rows
     if texts:
-        yield told(held, texts)
+        held = held.reshape(STRETCHES, -1)
+        counts = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in held]
+        columns = [pa.array(np.arange(STRETCHES)), pa.array(np.full(STRETCHES, texts)), pa.array(counts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["stretch", "texts", "counts"])
+
+
+def _crowded(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a stretch the places, as bits, that as many shingles fall on as a common one has texts."""
+    size = (1 << PLACE_BITS) // STRETCHES
+    total = np.zeros(size, np.int64)
+    for counts in frame["counts"]:
+        total += np.frombuffer(counts, f"<u{len(counts) // size}")
+    texts = int(frame["texts"].sum())
+    return pd.DataFrame({"stretch": frame["stretch"].iloc[:1], "texts": texts, "bits": [np.packbits(total >= _least(texts)).tobytes()]})
+
+
+def _least(texts: int) -> int:
+    """How many of so many texts hold a common shingle."""
+    return max(COMMON, -(-COMMON * texts // PER_TEXTS))
+
+
+def _held_there(bits: np.ndarray):
+    """(value, count): the shingles on the places of bits, counted over the texts of a task, MOST_HELD at a time."""
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held), return_counts=True)], ["value", "count"])
+
+    def run(batches):
+        held, size = [], 0
+        for part in portions(batches, 0):
+            value = _sets(part.column(0).to_pylist())[1]
+            at = _places(value)
+            held.append(value[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1])
+            size += len(held[-1])
+            if size >= MOST_HELD:
+                yield told(held)
+                held, size = [], 0
+        if size:
+            yield told(held)
+
+    return run
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that the most of all rows hold, in order, and how many rows hold each; at most MOST_COMMON.
 
-    What is common in all texts is so in some portion of them, so these are counted first; those whose
-    counts, with the slack of the portions that don't name them, may reach the bound are counted in all texts.
+    A place counts the shingles of all texts whose hashes begin alike, so none of them is in more texts
+    than that. Only shingles on places that reach the bound are then counted one by one, again in all texts.
+    The counts of a task are one table of places, and there are two tasks a core, however the rows are cut up.
     """
-    texts = rows.select("text")
-    here = written(texts.mapInArrow(_often_here, "value long, count long, slack long"), "often")
-    n, slack = here.where("value is null").agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("slack"), F.lit(0))).first()
-    least = max(COMMON, -(-COMMON * n // PER_TEXTS))
-    maybe = here.where("value is not null").groupBy("value").agg(F.sum("count").alias("known"), F.sum("slack").alias("told"))
-    maybe = written(maybe.where(F.col("known") + slack - F.col("told") >= least).select("value"), "maybe")
-    held = texts.mapInArrow(_shingles, "value long").join(maybe, "value").groupBy("value").count().where(F.col("count") >= least)
+    texts = rows.select("text").coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    places = texts.mapInArrow(_placed, "stretch long, texts long, counts binary")
+    places = places.groupBy("stretch").applyInPandas(_crowded, "stretch long, texts long, bits binary").toPandas().sort_values("stretch")
+    if not len(places):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = np.frombuffer(b"".join(places["bits"]), np.uint8)
+    held = texts.mapInArrow(_held_there(bits), "value long, count long").groupBy("value").agg(F.sum("count").alias("count"))
+    held = held.where(F.col("count") >= _least(int(places["texts"].iloc[0])))
     top = written(held.orderBy(F.desc("count"), "value").limit(MOST_COMMON), "common").toArrow()
     value, count = top.column("value").to_numpy(), top.column("count").to_numpy()
     order = np.argsort(value)

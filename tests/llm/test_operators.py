@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -393,6 +394,22 @@ def test_common_shingles_are_counted_over_all_texts(spark):
     assert dict(zip(values.tolist(), counts.tolist(), strict=True)) == expected
 
 
+def test_common_shingles_pass_on_few_rows_however_texts_are_dealt(spark):
+    """Shingles of a single text are counted in places, not passed on, also if a task has few texts."""
+    texts = [f"one line that all hold {i} {i + 1} {i + 2} {i + 3} {i + 4}" for i in range(900)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 9])], ["text"]) for i in range(0, 900, 9)]
+    placed = [near_copies._placed(iter([b])) for b in batches]
+    rows = pd.concat([b.to_pandas() for p in placed for b in p])
+    assert len(rows) == 100 * near_copies.STRETCHES and set(rows["texts"]) == {9}
+    bits = b"".join(near_copies._crowded(g)["bits"].iloc[0] for _, g in rows.groupby("stretch"))
+    told = [b.num_rows for part in batches for b in near_copies._held_there(np.frombuffer(bits, np.uint8))(iter([part]))]
+    assert sum(told) < 150  # the line once a task, and what shares a place
+    many = spark.createDataFrame([(t,) for t in texts], "text string").repartition(100)
+    values, counts = near_copies.common_shingles(many)
+    assert values.tolist() == [int(near_copies._sets(["one line that all hold"])[1][0])] and counts.tolist() == [900]
+    assert [len(x) for x in near_copies.common_shingles(many.limit(0))] == [0, 0]
+
+
 def test_whole_simhashes(spark):
     rng = np.random.default_rng(1)
     n = np.array([0, 1, 3, 255, 256, 1000])
