@@ -15,10 +15,12 @@ from ..functions.vocabulary import BANK_CASH_NOT, IFRS_SUBTOTALS, NEGATIVE, bank
 from .text_jobs import IFRS_KINDS, first_category, ifrs_unit
 
 PAGE, LINE = ["doc_id", "page"], ["doc_id", "page", "line_no"]
+#: Words of less confidence are left out of a line's text.
+LEAST_CONFIDENCE = 15.0
 NUMERIC = r"^[()\-+]?\d[\d.,()\-+]*$"
 
 
-def lines(words: DataFrame, least_confidence: float = 15.0) -> DataFrame:
+def lines(words: DataFrame, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """One row a line: text in order of left, its top, left and mean confidence; unsure words are left out."""
     sure = words.where(F.col("conf") >= least_confidence)
     parts = F.array_sort(F.collect_list(F.struct("left", "word_no", "text")))
@@ -125,19 +127,25 @@ def form_pages(spots: DataFrame, labels: DataFrame) -> DataFrame:
     A page needs two codes, or one and a form's title without a word of consolidation.
     """
     codes = spots.groupBy(*PAGE).agg(F.collect_set("code").alias("codes"))
-    says = lambda words: F.max(F.exists(F.array(*map(F.lit, words)), lambda w: F.col("label").contains(w)))
-    said = labels.groupBy(*PAGE).agg(
-        says(FULL_TITLES).alias("titled"), says(["консолидирован"]).alias("consolidated"), *[says(words).alias(f"says_{kind}") for kind, words in FORM_TITLES]
-    )
-    pages = codes.join(said, PAGE)
-    n = F.size("codes")
-    pages = pages.where((n >= 2) | (n == 1) & F.col("titled") & ~F.col("consolidated"))
+    said = labels.groupBy(*PAGE).agg(*[F.max(says).alias(name) for name, says in _titles().items()])
+    return codes.join(said, PAGE).select(*PAGE, _form_kind().alias("kind")).where("kind is not null")
+
+
+def _titles() -> dict[str, Column]:
+    """What a line's label says of its page's form."""
+    says = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.col("label").contains(w))
+    return {"titled": says(FULL_TITLES), "consolidated": says(["консолидирован"]), **{f"says_{kind}": says(words) for kind, words in FORM_TITLES}}
+
+
+def _form_kind() -> Column:
+    """The form of a page by its codes and what its lines say, null if it is none."""
     kind = F.lit(None).cast("string")
     for name, _ in reversed(FORM_TITLES):
         kind = F.when(F.col(f"says_{name}"), name).otherwise(kind)
     for name, some in reversed(FORM_CODES):
         kind = F.when(F.arrays_overlap("codes", F.array(*map(F.lit, some))), name).otherwise(kind)
-    return pages.select(*PAGE, kind.alias("kind")).where("kind is not null")
+    n = F.size("codes")
+    return F.when((n >= 2) | (n == 1) & F.col("titled") & ~F.col("consolidated"), kind)
 
 
 def ras_rows(words: DataFrame, most: float = 2e10, apart: float = 50.0) -> DataFrame:
@@ -145,18 +153,37 @@ def ras_rows(words: DataFrame, most: float = 2e10, apart: float = 50.0) -> DataF
 
     A line counts on a page of its form, by its code, or by its label parts with a damaged code, if it
     has as many amounts as its form has columns, none above most nor apart times another.
+    One shuffle of words by page serves all steps up to the best line of a metric.
     """
     spec = ras_lines(words.sparkSession)
-    spots = code_positions(words, spec)
-    label = lines(words).select(*LINE, "conf", normalize_label(F.col("text")).alias("label"))
-    kinds = form_pages(spots.where("tier = 0"), label)
-    hit = spots.join(kinds, PAGE).join(label, LINE).join(F.broadcast(spec), ["code", "kind"])
+    cut = spec.select(F.explode(F.array(F.substring("code", 2, 3), F.substring("code", 1, 3))).alias("d"), F.lit(1).alias("tier"), "code")
+    marks = spec.select(F.col("code").alias("d"), F.lit(0).alias("tier"), "code").unionByName(cut)
+    marks = marks.groupBy("d").agg(F.collect_set(F.struct("tier", "code")).alias("marks"))
+    digits = F.regexp_replace(repair_digits(F.col("text")), r"\D", "")
+    read = words.repartition(*PAGE).withColumn("d", digits).join(F.broadcast(marks), "d", "left")
+    spot = F.transform("marks", lambda m: F.struct(m["tier"].alias("tier"), m["code"].alias("code"), F.col("word_no").alias("at_word")))
+    line = read.groupBy(*LINE).agg(
+        F.array_sort(F.collect_list(F.struct("left", "word_no", "text", "width", "height", "conf"))).alias("words"),
+        F.avg(F.when(F.col("conf") >= LEAST_CONFIDENCE, F.col("conf"))).alias("conf"), F.flatten(F.collect_list(spot)).alias("spots"),
+    )
+    sure = F.filter("words", lambda w: w["conf"] >= LEAST_CONFIDENCE)
+    line = line.withColumn("label", normalize_label(F.array_join(F.transform(sure, lambda w: w["text"]), " ")))
+    page = Window.partitionBy(*PAGE)
+    exact = F.transform(F.filter("spots", lambda x: x["tier"] == 0), lambda x: x["code"])
+    line = line.withColumns({"codes": exact, **_titles()})
+    codes = F.array_distinct(F.flatten(F.collect_list("codes").over(page)))
+    line = line.withColumns({"codes": codes, **{name: F.max(name).over(page) for name in _titles()}})
+    # a line without a sure word has no label
+    line = line.where("conf IS NOT NULL AND size(spots) > 0").withColumn("kind", _form_kind()).where("kind IS NOT NULL")
+    hit = line.select(*LINE, "kind", "label", "conf", "words", F.inline("spots")).join(F.broadcast(spec), ["code", "kind"])
     named = F.forall("parts", lambda p: F.col("label").contains(p))
-    hit = hit.withColumn("named", named).where("tier = 0 OR named")
-    keep = hit.groupBy(*LINE).agg(F.min(F.struct("tier", "ord", "code", "metric_key", "at_word", "conf", "n_values")).alias("h")).select(*LINE, "h.*")
-    tail = words.join(keep.select(*LINE, "at_word"), LINE).where("word_no > at_word").drop("at_word")
-    found = amounts(tail, 48.0, 1.8).where("value IS NOT NULL").groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("left", "value"))).alias("all"))
-    rows = keep.join(found, LINE).where(F.size("all") >= F.col("n_values"))
+    hit = hit.where((F.col("tier") == 0) | named)
+    keep = hit.groupBy(*LINE).agg(F.min(F.struct("tier", "ord", "code", "metric_key", "at_word", "conf", "n_values")).alias("h"), F.first("words").alias("words"))
+    tail = keep.select(*LINE, "h", F.inline(F.filter("words", lambda w: w["word_no"] > F.col("h.at_word"))))
+    # what is known of a line goes along as a key, so lines needn't be joined again
+    known = [*LINE, "h"]
+    found = amounts(tail, 48.0, 1.8, by=known).where("value IS NOT NULL").groupBy(*known).agg(F.array_sort(F.collect_list(F.struct("left", "value"))).alias("all"))
+    rows = found.select(*LINE, "h.*", "all").where(F.size("all") >= F.col("n_values"))
     rows = rows.withColumn("v", F.transform(F.slice("all", F.lit(1), F.col("n_values")), lambda x: x["value"]))
     sizes = F.filter(F.transform("v", lambda x: F.abs(x)), lambda x: x > 0)
     close = (F.size(sizes) < 2) | (F.array_max(sizes) / F.greatest(F.array_min(sizes), F.lit(1.0)) <= apart)

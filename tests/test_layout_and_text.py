@@ -177,3 +177,19 @@ def test_class_by_a_late_keyword(spark):
     late = "some words " * 25000 + "investor presentation"
     rows = spark.createDataFrame([(late,), ("some words",)], "text string")
     assert [r[0] for r in rows.select(document_class(rows.text)).collect()] == ["investor_presentation", "corporate_document"]
+
+
+def test_words_of_statutory_forms_are_shuffled_once(spark):
+    """Also a page whose only code is damaged, a line of unsure words and one without text."""
+    columns = "doc_id long, page long, line_no long, word_no int, text string, left double, top double, width double, height double, conf double"
+    said = lambda page, line, texts, conf=90.0: [(1, page, line, i, t, 300.0 * i, 0.0, 60.0, 12.0, conf) for i, t in enumerate(texts)]
+    rows = [
+        *said(1, 1, ["Выручка", "2110", "100", "90"]), *said(1, 2, ["Себестоимость продаж", "212", "60", "50"]), *said(1, 3, ["Чистая прибыль", "2400", "7", "8"]),
+        *said(1, 4, ["Выручка", "2110", "999", "998"], 5.0), *said(1, 5, [None, None]), *said(2, 1, ["Запасы", "121", "5", "6", "7"]),
+    ]
+    found = layout.ras_rows(spark.createDataFrame(rows, columns).repartition(3))
+    got = {r.metric_key: (r.code, r["first"], r.second, r.score) for r in found.collect()}
+    assert got == {"revenue": ("2110", 100.0, 90.0, 230.0), "cogs": ("2120", -60.0, -50.0, 185.0), "net_profit": ("2400", 7.0, 8.0, 230.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(doc_id") == 2  # words by page, then lines by metric
+    assert layout.ras_rows(spark.createDataFrame([], columns)).count() == 0
