@@ -193,3 +193,19 @@ def test_words_of_statutory_forms_are_shuffled_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(doc_id") == 2  # words by page, then lines by metric
     assert layout.ras_rows(spark.createDataFrame([], columns)).count() == 0
+
+
+def test_words_of_page_tables_are_shuffled_once(spark):
+    """Also where pages are too many to be broadcast."""
+    lines = [[(380.0, "2023"), (680.0, "2022")], [(0.0, "Goods"), (380.0, "52345"), (680.0, "51234")], [(0.0, "Services"), (380.0, "31234"), (680.0, "41234")]]
+    pages = spark.createDataFrame([(1, 1, 80.0), (2, 1, 20.0)], "doc_id long, page int, ocr_quality double")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = page_tables(words(spark, lines), pages)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    # words once, pages for each of their joins
+    assert plan.count("Exchange hashpartitioning(doc_id") == 3
