@@ -68,7 +68,7 @@ def page_tables(words: DataFrame, pages: DataFrame) -> DataFrame:
     digits = F.regexp_replace(repair_digits(F.coalesce("text", F.lit(""))), r"\D", "")
     spec = F.broadcast(line_labels(words.sparkSession))
     coded = words.repartition(*PAGE).withColumns({"digits": digits, "middle": F.col("left") + F.col("width") / 2}).join(spec, F.col("digits") == F.col("code"), "left")
-    # lines are where words were dealt to by page; a join of words would shuffle and sort these once more
+    # lines are where words were dealt to by page; a join of words would sort these once more
     body = _bodies(_lines(coded).join(sure.select(*PAGE), PAGE, "left_semi"))
     left = F.filter("plain", lambda w: w["middle"] < F.get("head.years", F.lit(0))["middle"] - LEFT_OF_YEARS)
     raw = F.trim(squeezed(F.array_join(F.transform(left, lambda w: w["text"]), " ")), F.lit(" .:;|"))

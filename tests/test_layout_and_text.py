@@ -195,7 +195,7 @@ def test_words_of_statutory_forms_are_shuffled_once(spark):
     assert layout.ras_rows(spark.createDataFrame([], columns)).count() == 0
 
 
-def test_words_of_page_tables_are_shuffled_once(spark):
+def test_page_tables_join_lines_with_pages_not_words(spark):
     """Also where pages are too many to be broadcast."""
     lines = [[(380.0, "2023"), (680.0, "2022")], [(0.0, "Goods"), (380.0, "52345"), (680.0, "51234")], [(0.0, "Services"), (380.0, "31234"), (680.0, "41234")]]
     pages = spark.createDataFrame([(1, 1, 80.0), (2, 1, 20.0)], "doc_id long, page int, ocr_quality double")
@@ -207,5 +207,6 @@ def test_words_of_page_tables_are_shuffled_once(spark):
         assert found.count() == 4
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert plan.index("LeftSemi") < plan.index("collect_set(code")  # the join is above the grouping of words to lines
     # words once, pages for each of their joins
     assert plan.count("Exchange hashpartitioning(doc_id") == 3
