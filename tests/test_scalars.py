@@ -63,3 +63,32 @@ def test_amounts_of_a_line(spark):
     lines = ["7 Выручка 3 596 395 4 368 456", "Расходы (1 200) (900)", "3 596 395 4 368 456", "Активы 5,5 6,5", "За 2024 и 2023 годы", "Нет", "(1 200) 900 0", "", None]
     got = [r.p and tuple(r.p) for r in spark.createDataFrame([(x,) for x in lines], "t string").select(text_pair(F.col("t")).alias("p")).collect()]
     assert got == [(3596395.0, 4368456.0), (-1200.0, -900.0), (3596395.0, 4368456.0), (5.5, 6.5), None, None, (-1200.0, 9000.0), None, None]
+
+
+def test_numbers_equal_their_steps_one_by_one(spark):
+    import random
+    import re
+
+    def plain(text):
+        cell = re.sub(r"^\s+|\s+$", "", text)
+        if cell in S.MISSING:
+            return None
+        body = re.sub(r"(?<=\d)\s+(?=\d)", "", cell.replace("\u00a0", " ").replace("\u2212", "-"))
+        body = re.sub(r"[^0-9,.\-+]", "", re.sub(r"%|₽|руб\.", "", body))
+        if re.search("^[^,.]*,[^,.]*$", body):
+            body = body.replace(",", ".")
+        elif re.search(r"\..*,[^.]*$", body):
+            body = body.replace(".", "").replace(",", ".")
+        elif "." in body and "," in body:
+            body = body.replace(",", "")
+        try:
+            value = float(body)
+        except ValueError:
+            return None
+        return -abs(value) if cell.startswith("(") and cell.endswith(")") else value
+
+    rng = random.Random(3)
+    bits = ["1", "23", "456", "0", ",", ".", "-", "+", "(", ")", " ", "  ", "\u00a0", "\u2009", "\u3000", "\t", "\n", "\u0085", "\u2212", "%", "₽", "руб.", "руб", "р", "у%б.", "н/д", "na", "x", "٣"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 8))) for _ in range(6000)] + ["1 234 567,89", "(1 234,5)", "1,234,567", "1.234,5", "1,234.5"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.parse_number(F.col("t")).alias("v")).collect()
+    assert {r.i: r.v for r in rows} == {i: plain(t) for i, t in enumerate(texts)}

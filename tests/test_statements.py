@@ -106,6 +106,22 @@ def test_year_headers(spark):
     assert values == {("revenue", 2023): 1.0, ("revenue", 2024): 2.0, ("revenue", 2025): 3.0}
 
 
+def test_candidates_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    cells = [["", "Код", "2023", "2024"], ["Выручка, млн руб.", "2110", "1 234,5", "(2)"], ["Скважины", "-", "н/д", "7"], ["2022", "", "1", "2"], ["Запасы", "1210", "-", ""]]
+    rows = [(doc, 1, i, c) for doc in (1, 2, None) for i, c in enumerate(cells)]
+
+    def seen(row):
+        made.add(1)
+        return row
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "doc_id long, table_id int, row_no int, cells array<string>")
+    got = sorted(tuple(r) for r in tables.table_candidates(df).select("doc_id", "row_no", "label", "metric_key", "unit", "confidence", "yr", "val").collect())
+    one = [(1, "Выручка, млн руб.", "revenue", "млн руб.", 0.9, 2023, 1234.5), (1, "Выручка, млн руб.", "revenue", "млн руб.", 0.9, 2024, -2.0), (2, "Скважины", None, None, 0.72, 2024, 7.0)]
+    assert got == [(doc, *r) for doc in (1, 2) for r in one]
+    assert made.value == len(rows)
+
+
 def test_override_replaces_whole_models(spark):
     known = spark.createDataFrame([(1, "cash", 2024, 1.0), (2, "cash", 2024, 2.0)], FACTS)
     got = findings.with_overrides(known, spark.createDataFrame([(1, "assets", 2024, 9.0)], FACTS)).collect()
