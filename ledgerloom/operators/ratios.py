@@ -51,17 +51,19 @@ INPUTS = [
 def latest_wide(facts: DataFrame, inputs: list[str] = INPUTS) -> DataFrame:
     """One row a document: cur_year, prev_year, is_bank, and c_key / p_key of each input in these years.
 
-    With a single year the previous year is the current one. One shuffle, on doc_id.
+    With a single year the previous year is the current one. Facts become a row a year before they are shuffled;
+    the two years are then taken from these few rows.
     """
+    at = lambda k: F.max(F.when((F.col("metric_key") == k) & F.col("yr").isNotNull(), F.col("val")))
+    years = facts.groupBy("doc_id", "yr").agg(F.max(F.col("metric_key").startswith("bank_")).alias("_bank"), *[at(k).alias(k) for k in inputs])
+    rows = years.select("doc_id", "_bank", F.struct("yr", *inputs).alias("_c"))
     doc = Window.partitionBy("doc_id")
-    cur = F.max("yr").over(doc)
-    years = facts.withColumn("cur_year", cur)
-    years = years.withColumn("prev_year", F.coalesce(F.max(F.when(F.col("yr") < F.col("cur_year"), F.col("yr"))).over(doc), "cur_year"))
-    at = lambda k, year: F.max(F.when((F.col("metric_key") == k) & (F.col("yr") == F.col(year)), F.col("val")))
-    return years.groupBy("doc_id").agg(
-        F.max("cur_year").alias("cur_year"), F.max("prev_year").alias("prev_year"),
-        F.max(F.col("metric_key").startswith("bank_")).alias("is_bank"),
-        *[at(k, "cur_year").alias(f"c_{k}") for k in inputs], *[at(k, "prev_year").alias(f"p_{k}") for k in inputs],
+    newest = doc.orderBy(F.col("_c.yr").desc())
+    rows = rows.select("doc_id", "_c", F.lead("_c").over(newest).alias("_p"), F.row_number().over(newest).alias("_n"), F.max("_bank").over(doc).alias("is_bank")).where("_n = 1")
+    rows = rows.withColumn("_p", F.when(F.col("_p.yr").isNotNull(), F.col("_p")).otherwise(F.col("_c")))
+    return rows.select(
+        "doc_id", F.col("_c.yr").alias("cur_year"), F.col("_p.yr").alias("prev_year"), "is_bank",
+        *[F.col(f"_c.{k}").alias(f"c_{k}") for k in inputs], *[F.col(f"_p.{k}").alias(f"p_{k}") for k in inputs],
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_label
+from ..functions.scalars import normalize_label, those_that
 
 #: Points that a flag of each severity takes, and a grade gives. Fixed values.
 PENALTY = {"critical": 10, "high": 6, "medium": 3, "low": 1}
@@ -32,8 +32,8 @@ def flag_array() -> Column:
         ("revenue_decline", "medium", F.col("revenue_growth") < 0),
         ("profit_decline", "medium", F.col("net_profit_growth") < 0),
     ]
-    flag = lambda i, code, severity, holds: F.when(holds, F.struct(F.lit(i).alias("ord"), F.lit(code).alias("code"), F.lit(severity).alias("severity")))
-    return F.array_compact(F.array(*[flag(i, *r) for i, r in enumerate(rules, 1)]))
+    flag = lambda i, code, severity: F.struct(F.lit(i).alias("ord"), F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    return those_that(*[(holds, flag(i, code, severity)) for i, (code, severity, holds) in enumerate(rules, 1)])
 
 
 def numeric_flags(wide: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import trends
 from ..operators.findings import FALLBACKS, FIGURE_RISKS, LEAST_ACTIONS, MOST, known_of
 from ..operators.findings import findings as rules
+from ..sources.shared import written
 from . import statement_queries as S
 from .fixtures import BANK_SQL, FX_SQL, bank_facts, facts
 from .model_queries import _FULL_SQL, _INPUTS, _TABLE, full_facts
@@ -39,13 +40,13 @@ _CHANGED = (
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir, "c_custkey").withColumn("val", F.expr(_CHANGED)).where("val IS NOT NULL")
+    return facts(spark, sf_dir, "c_custkey", several=True).withColumn("val", F.expr(_CHANGED)).where("val IS NOT NULL")
 
 
 def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of customers' documents: some tell of risks, ESG, an audit, some have operational figures alone."""
     known = _customers(spark, sf_dir)
-    docs = known.select("doc_id").distinct()
+    docs = written(known.select("doc_id").distinct(), "docs")
     told = F.array(*[F.struct(F.lit(100 + i).alias("ord"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(of).alias("of"))
                      for i, (code, severity, of) in enumerate(_TOLD)])
     flags = docs.select("doc_id", F.inline(told)).where("doc_id % of = 1")

@@ -172,3 +172,24 @@ def test_findings_of_one_document_and_of_none(spark):
     assert got[2, "strengths"] == ["mover_output"] and got[2, "weaknesses"] == ["mover_spills"]
     assert got[2, "observations"] == ["mover_output", "mover_spills", "audit_opinion"] and got[2, "esg"] == ["ras_no_esg"] and got[2, "limitations"] == ["ras_scope"]
     assert findings.findings(spark.createDataFrame([], FACTS)).count() == 0
+
+
+def test_report_findings_make_their_amounts_once(spark, data):
+    from ledgerloom.plans import findings_queries
+
+    # lines are joined when the amounts are written; all that follows reads these
+    assert not [f for f in findings_queries.report_findings(spark, data).inputFiles() if "lineitem" in f]
+
+
+def test_latest_wide_by_years(spark):
+    rows = [
+        (1, "cash", 2022, 1.0), (1, "cash", 2024, 2.0), (1, "cash", 2024, 5.0), (1, "assets", 2020, 7.0), (1, "bank_fee_income", 2020, 3.0), (1, "cash", None, 9.0),
+        (2, "cash", 2021, 4.0), (2, "assets", None, 8.0), (3, "cash", None, 6.0), (4, "cash", 2023, None), (4, "assets", 2022, 1.0), (4, "unknown", 2021, 1.0),
+    ]
+    from ledgerloom.operators import ratios
+
+    wide = ratios.latest_wide(spark.createDataFrame(rows, FACTS), ["cash", "assets"]).orderBy("doc_id").collect()
+    assert [tuple(r) for r in wide] == [
+        (1, 2024, 2022, True, 5.0, None, 1.0, None), (2, 2021, 2021, False, 4.0, None, 4.0, None),
+        (3, None, None, False, None, None, None, None), (4, 2023, 2022, False, None, None, None, 1.0),
+    ]
