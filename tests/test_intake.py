@@ -89,6 +89,22 @@ def test_attributes_of_accepted_readings(spark):
     assert got.pages == [2, 5, 7] and got.n_accepted == 4 and [(p.page, p.row_code) for p in got.provenance] == [(2, "2110")]
 
 
+def test_metrics_and_amounts_in_one_pass(spark):
+    """Amounts beside the attributes are those of merge and outliers, and readings are shuffled once for both."""
+    pick = random.Random(4)
+    rows = [
+        (doc, "ras", key, seq, source, confidence, pick.choice(["тыс. руб.", "млн руб.", None]), None, None, None, None, y, pick.choice([0.0, 1.0, 30.0, 900.0]))
+        for doc in range(8) for key in ("revenue", "cash") for seq, (source, confidence) in enumerate([("pdf_table", 0.9), ("pdf_text", 0.95), ("pdf_table", 0.72), ("spreadsheet", 0.9)])
+        for y in (2021, 2022, 2023) if pick.random() < 0.8
+    ]
+    kept = model.gated(spark.createDataFrame(rows, READ))
+    told = lineage.without_outlier_years(lineage.attributes(kept))
+    got = {(*r[:3], y.yr): y.val for r in told.select(*model.KEYS, "years").collect() for y in r.years}
+    marked = model.without_outliers(model.merged_values(kept)).collect()
+    assert any(r.dropped for r in marked) and got == {(r.doc_id, r.branch, r.metric_key, r.yr): r.val for r in marked if not r.dropped}
+    assert told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_a_lost_year_makes_less_sure(spark):
     rows = reading(1, "pdf_table", 0.9, 10.0) + reading(2, "spreadsheet", 0.98, 5000.0, years=(2022,)) + reading(3, "pdf_table", 0.9, 7.0, key="cash")
     got = chain.built(spark.createDataFrame(rows, READ))
