@@ -105,6 +105,17 @@ def test_metrics_and_amounts_in_one_pass(spark):
     assert told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
 
 
+def test_titles_and_codes_come_with_the_numbers(spark):
+    """A table's rows are shuffled once for header, title and numbers; a row's code is that of its first cell with one."""
+    rows = table(1, [["Отчет, млн руб.", "", "", ""], ["", "Код", "2024", "2023"], ["Выручка", "211О", "1600", "5"], ["Запасы", "x", "7", "6"]]) + table(1, [["нет", "1", "2", "3"]], 1)
+    under = tables._under_years(spark.createDataFrame(rows, ROWS))
+    assert [(r.row_no, r.label, r.row_code, r.source_row, r.title_unit) for r in under.orderBy("row_no").collect()] == [
+        (2, "Выручка", "2110", "Выручка | 211О | 1600 | 5", "млн руб."), (3, "Запасы", None, None, "млн руб."),
+    ]
+    plan = tables.coded_readings(None, under=under)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan
+
+
 def test_a_lost_year_makes_less_sure(spark):
     rows = reading(1, "pdf_table", 0.9, 10.0) + reading(2, "spreadsheet", 0.98, 5000.0, years=(2022,)) + reading(3, "pdf_table", 0.9, 7.0, key="cash")
     got = chain.built(spark.createDataFrame(rows, READ))
