@@ -20,6 +20,15 @@ LEAST_CONFIDENCE = 15.0
 NUMERIC = r"^[()\-+]?\d[\d.,()\-+]*$"
 
 
+def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join of sides that both grow with the pages, by a shuffle on either side.
+
+    Words are exploded out of few rows, and what is estimated of them is the size of these: left to
+    the estimate, the right side would be broadcast through the driver however many pages there are.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
 def lines(words: DataFrame, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """One row a line: text in order of left, its top, left and mean confidence; unsure words are left out."""
     sure = words.where(F.col("conf") >= least_confidence)
@@ -75,7 +84,7 @@ def anchored_values(anchors: DataFrame, values: DataFrame, above: float = 5.0, b
     A band join within a page: score 100 - 0.35 |distance| + 0.1 confidence, the upper line first on ties.
     """
     v = values.select(*PAGE, F.col("line_no").alias("value_line"), F.col("top").alias("_vt"), F.col("conf").alias("value_conf"), "first", "second")
-    joined = anchors.join(v, PAGE).where((F.col("_vt") - F.col("top")).between(-above, below))
+    joined = _met(anchors, v, PAGE).where((F.col("_vt") - F.col("top")).between(-above, below))
     joined = joined.withColumn("score", 100 - 0.35 * F.abs(F.col("_vt") - F.col("top")) + 0.1 * F.col("value_conf"))
     best = Window.partitionBy(*PAGE, "anchor_id").orderBy(F.col("score").desc(), "value_line")
     return joined.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_vt")
@@ -86,7 +95,7 @@ def bank_rows(words: DataFrame, pages: DataFrame, most: float = 5e11) -> DataFra
     form = F.regexp_extract("text", r"(?<!\d)(0409806|0409807)(?!\d)", 1)
     formed = pages.select(*PAGE, form.alias("form")).where("form <> ''")
     row = lines(words)
-    labels = row.join(formed, PAGE).withColumn("_l", normalize_label(F.col("text")))
+    labels = _met(row, formed, PAGE).withColumn("_l", normalize_label(F.col("text")))
     # a regulatory row number at the line's start, followed by its label
     number = F.translate(F.regexp_extract("text", r"^[\s\[\](){}|]{0,4}(\d{1,2}(?:[.,]\d+)?)(?!\d)[\s|\]\[().,:;_-]{0,8}[A-Za-zА-Яа-яЁё]", 1), ",", ".")
     spec = F.broadcast(bank_lines(words.sparkSession))
@@ -95,7 +104,7 @@ def bank_rows(words: DataFrame, pages: DataFrame, most: float = 5e11) -> DataFra
     bars = (F.col("metric_key") == "cash") & F.exists(F.array(*map(F.lit, BANK_CASH_NOT)), lambda p: F.col("_l").contains(p))
     hit = joined.withColumns({"exact": F.col("_no") == F.col("row_code"), "named": says}).where((F.col("exact") | F.col("named")) & ~bars)
     anchors = hit.select(*PAGE, F.concat_ws(":", "line_no", "metric_key").alias("anchor_id"), "top", F.col("conf").alias("anchor_conf"), "metric_key", "form", "row_code", "negative", "exact", "named", "ord")
-    values = bank_columns(words).join(row.select(*LINE, "top", "conf"), LINE)
+    values = _met(bank_columns(words), row.select(*LINE, "top", "conf"), LINE)
     found = anchored_values(anchors, values).where(F.greatest(F.abs("first"), F.abs("second")) <= most)
     sure = F.greatest("anchor_conf", "value_conf")
     total = F.when(F.col("exact"), 140).otherwise(105) + F.when(F.col("named"), 35).otherwise(0) + sure
@@ -207,7 +216,7 @@ def year_columns(words: DataFrame, reporting_year: Column) -> DataFrame:
 def two_column_values(words: DataFrame, reporting_year: Column) -> DataFrame:
     """(LINE, first, second): amounts under the two year headers; the boundary lies at 72 % between them."""
     first = year_columns(words, reporting_year)
-    inside = words.join(first, PAGE).where("left >= a - 85").withColumn("side", (F.col("left") >= F.col("a") + (F.col("b") - F.col("a")) * 0.72).cast("int"))
+    inside = _met(words, first, PAGE).where("left >= a - 85").withColumn("side", (F.col("left") >= F.col("a") + (F.col("b") - F.col("a")) * 0.72).cast("int"))
     raw = F.translate(repair_digits(F.trim("text")), "−", "-")
     cells = inside.withColumn("_raw", raw).where(F.col("_raw").rlike(NUMERIC)).groupBy(*LINE, "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "word_no", "_raw"))), lambda w: w["_raw"]), " ").alias("t"))
     size = F.regexp_replace("t", r"\D", "").try_cast("double")
@@ -221,7 +230,7 @@ def line_values(words: DataFrame, rows: DataFrame, reporting_year: Column) -> Da
 
     rows: LINE, text; lines without two amounts are left out.
     """
-    placed = rows.select(*LINE, text_pair(F.col("text")).alias("pair")).join(two_column_values(words, reporting_year), LINE, "left")
+    placed = _met(rows.select(*LINE, text_pair(F.col("text")).alias("pair")), two_column_values(words, reporting_year), LINE, "left")
     value = lambda c: F.when(F.col("first").isNotNull(), F.col(c)).otherwise(F.col(f"pair.{c}")).alias(c)
     return placed.select(*LINE, value("first"), value("second")).where("first IS NOT NULL")
 
@@ -239,15 +248,15 @@ def ifrs_rows(rows: DataFrame, values: DataFrame, pages: DataFrame, columned: Da
         F.round(F.least(F.lit(0.99), 0.90 + quality / 1000), 2).alias("confidence"),
     ).where("kind IS NOT NULL")
     if columned is not None:
-        kinds = kinds.join(columned.select(*PAGE, F.lit(20).alias("columns")).distinct(), PAGE, "left")
+        kinds = _met(kinds, columned.select(*PAGE, F.lit(20).alias("columns")).distinct(), PAGE, "left")
     else:
         kinds = kinds.withColumn("columns", F.lit(0))
     order = Window.partitionBy(*PAGE).orderBy("line_no")
     both = F.when(F.col("first").isNotNull(), F.struct("first", "second"))
-    near = rows.join(values, LINE, "left").withColumn("own", both)
+    near = _met(rows, values, LINE, "left").withColumn("own", both)
     others = [F.lag("own", 1).over(order), F.lag("own", 2).over(order), F.lead("own", 1).over(order), F.lead("own", 2).over(order)]
     near = near.withColumn("got", F.coalesce("own", *others))
-    named = near.where("got IS NOT NULL").join(kinds, PAGE).withColumn("_l", normalize_label(F.col("text")))
+    named = _met(near.where("got IS NOT NULL"), kinds, PAGE).withColumn("_l", normalize_label(F.col("text")))
     hit = named.join(F.broadcast(ifrs_lines(rows.sparkSession)), "kind").where(F.exists("aliases", lambda a: F.col("_l").contains(a)))
     label, key = F.col("_l"), F.col("metric_key")
     bars = (
@@ -275,7 +284,7 @@ def ifrs_subtotals(rows: DataFrame, values: DataFrame) -> DataFrame:
     each = each.withColumn("open", opens).where("line_no > open")
     closes = F.min(F.when(F.exists("ends", lambda a: F.col("_l").contains(a)), F.col("line_no"))).over(Window.partitionBy(*PAGE, "metric_key"))
     inside = each.withColumn("close", closes).where("close IS NULL OR line_no < close").where(~F.col("_l").rlike("[а-яa-z]{2,}"))
-    valued = inside.join(values, LINE)
+    valued = _met(inside, values, LINE)
     return valued.groupBy(*PAGE, "metric_key").agg(F.max_by(F.struct("line_no", "first", "second"), "line_no").alias("v")).select(*PAGE, "metric_key", "v.*")
 
 
@@ -296,7 +305,7 @@ def column_bands(headers: DataFrame) -> DataFrame:
 def banded_words(words: DataFrame, bands: DataFrame) -> DataFrame:
     """Words with the year of the band their middle falls in: a range join within a page."""
     middle = F.col("left") + F.col("width") / 2
-    return words.withColumn("_m", middle).join(bands, PAGE).where("_m >= low AND _m < high").drop("_m", "low", "high")
+    return _met(words.withColumn("_m", middle), bands, PAGE).where("_m >= low AND _m < high").drop("_m", "low", "high")
 
 
 def row_clusters(rows: DataFrame, reach: float = 12.0) -> DataFrame:

@@ -50,3 +50,11 @@ def test_ingestion_holds_no_readings_in_state(spark, tmp_path):
     ingest.ingest_statements(spark, source, target, checkpoint).awaitTermination()
     assert not (tmp_path / "checkpoint" / "state").exists()
     assert [(r.yr, r.val) for r in ingest.model_rows(spark, target).collect()] == [(2024, 5.0)]
+
+
+def test_lines_and_their_amounts_are_not_broadcast(spark, data):
+    """Both sides of these joins grow with the pages, though words exploded out of few rows are taken for few."""
+    from ledgerloom.plans.form_queries import ifrs_section_totals
+
+    plan = ifrs_section_totals(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 3
