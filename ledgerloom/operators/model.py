@@ -16,14 +16,15 @@ LOOSE_SOURCES = ["pdf_text", "ocr_coordinate_table"]
 MOST_APART = 50.0
 
 
-def gated(candidates: DataFrame) -> DataFrame:
+def gated(candidates: DataFrame, by: list[str] = KEYS) -> DataFrame:
     """Readings that pass the gate, in thousands of rubles, with their quality and plausibility.
 
-    One shuffle: all later steps group by a superset of KEYS.
+    One shuffle: all later steps group by a superset of KEYS. by: those of KEYS that readings are dealt by,
+    where they are dealt so already no shuffle.
     """
     # a reading's own rows are next to each other in the order of a metric's readings, so one sort serves both windows
     reading = Window.partitionBy(*KEYS, "seq")
-    dealt = candidates.where("metric_key IS NOT NULL AND val IS NOT NULL AND yr BETWEEN 1900 AND 2099").repartition(*KEYS)
+    dealt = candidates.where("metric_key IS NOT NULL AND val IS NOT NULL AND yr BETWEEN 1900 AND 2099").repartition(*by)
     size = F.abs("val")
     sized = dealt.withColumns({"_high": F.max(size).over(reading), "_low": F.min(F.when(size > 0, size)).over(reading), "_n": F.count("*").over(reading)})
     loose = F.col("source_type").isin(*LOOSE_SOURCES) & (F.col("_n") < 2) & (F.coalesce("confidence", F.lit(0.0)) < 0.9)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import SOURCE_BONUS, TRUSTED_SOURCES
 from ..operators import model, ratios, risk, trends, validate
-from ..sources.shared import new_path, written
+from ..sources.shared import new_path, removed
 from .fixtures import AMOUNTS, BANK_SQL, FX_SQL, SUMS, bank_facts, candidates, facts, table
 
 _METRICS = [*SUMS, *AMOUNTS]
@@ -224,10 +224,13 @@ def stream_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     place, part = new_path(spark, "ingest"), F.col("seq") % 3
     names = ["doc_id", "branch", "metric_key", F.col("seq").cast("long").alias("seq"), "source_type", "confidence", "unit", "row_code", F.col("yr").cast("int").alias("yr"), "val"]
-    rows = written(candidates(spark, sf_dir, "c_custkey").select(*names), "readings")
-    for files in ([part == 1, part == 2], [part == 0, part == 2]):
+    candidates(spark, sf_dir, "c_custkey").select(*names).write.parquet(f"{place}/all")
+    rows = spark.read.parquet(f"{place}/all")
+    for again, files in enumerate(([part == 1, part == 2], [part == 0, part == 2])):
         for chosen in files:
             rows.where(chosen).write.mode("append").parquet(f"{place}/source")
+        if again:
+            removed(spark, f"{place}/all")
         ingest_statements(spark, f"{place}/source", f"{place}/target", f"{place}/checkpoint").awaitTermination()
     return model_rows(spark, f"{place}/target").select("doc_id", "metric_key", "yr", F.round("val", 5).alias("val"), "seq")
 

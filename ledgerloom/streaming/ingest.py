@@ -23,16 +23,17 @@ def ingest_statements(spark: SparkSession, source: str, target: str, checkpoint:
     So a document may come in any number of files and batches, rows that come again change nothing, and
     no memory holds more than a task's share of a join, however many readings there are. A batch that is run
     again overwrites its own folders. Order plays no part: where readings are equally good, seq decides,
-    which belongs to the reading. Each batch reads the folders of those before it.
+    which belongs to the reading. Each batch reads the folders of those before it, and deals their readings
+    by document once: for the join with the documents that came, for equal ones and for the models.
     """
-    build = build or (lambda rows: merged_values(gated(rows)))
+    build = build or (lambda rows: merged_values(gated(rows, by=["doc_id"])))
     stream = spark.readStream.schema(CANDIDATES).parquet(source).where("doc_id IS NOT NULL")
 
     def write(arrived: DataFrame, batch: int) -> None:
         arrived.write.mode("overwrite").parquet(f"{target}/readings/batch={batch}")
         known = spark.read.schema(f"{CANDIDATES}, batch long").parquet(f"{target}/readings").where(F.col("batch") <= batch)
         changed = spark.read.schema(CANDIDATES).parquet(f"{target}/readings/batch={batch}").select("doc_id").distinct()
-        whole = known.drop("batch").join(changed, "doc_id", "left_semi").distinct()
+        whole = known.drop("batch").repartition("doc_id").join(changed, "doc_id", "left_semi").distinct()
         build(whole).write.mode("overwrite").parquet(f"{target}/models/batch={batch}")
 
     empty = spark.createDataFrame([], CANDIDATES)

@@ -62,3 +62,22 @@ def test_a_document_in_three_files_over_two_batches(spark, tmp_path):
     add("part = 1")
     run()
     assert shown(ingest.model_rows(spark, target)) == want and len(glob.glob(f"{target}/models/batch=*")) == batches + 1
+
+
+def test_a_batch_deals_its_readings_once(spark, tmp_path):
+    """By document, for the join with those that came, for equal readings and for the models; the other shuffle is of their numbers."""
+    from ledgerloom.operators.model import gated, merged_values
+
+    plans = []
+
+    def build(rows):
+        found = merged_values(gated(rows, by=["doc_id"]))
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    source, target, checkpoint = (str(tmp_path / name) for name in ("source", "target", "checkpoint"))
+    row = (1, "ras", "revenue", 1, "pdf_table", 0.9, "тыс. руб.", None, 2024, 5.0)
+    spark.createDataFrame([row, row], ingest.CANDIDATES).coalesce(1).write.parquet(source)
+    ingest.ingest_statements(spark, source, target, checkpoint, build).awaitTermination()
+    assert plans[-1].count("Exchange hashpartitioning") == plans[-1].count("Exchange hashpartitioning(doc_id") == 2
+    assert [(r.yr, r.val) for r in ingest.model_rows(spark, target).collect()] == [(2024, 5.0)]
