@@ -143,6 +143,17 @@ def test_lineage_through_derivations_and_repairs(spark):
     assert sheet["administrative_expenses", 2].method == "derived_from_verified_rows" and len([k for k in sheet if k[0] == "liabilities"]) == 2
 
 
+def test_no_more_is_kept_than_models_read(spark):
+    """Statements go once their rows are read, metrics once amounts and lineage are made of them."""
+    import glob
+
+    tables = lambda tag: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/{tag}-*"))
+    before = {tag: tables(tag) for tag in ("metrics", "gated", "readings", "values", "derived")}
+    got = chain.built(spark.createDataFrame(reading(1, "pdf_table", 0.9, 10.0), READ))
+    assert {tag: len(tables(tag) - before[tag]) for tag in before} == {"metrics": 0, "gated": 0, "readings": 0, "values": 1, "derived": 1}
+    assert got.values.count() == 2 and got.metrics.count() == 1
+
+
 def test_empty_readings(spark):
     got = chain.built(spark.createDataFrame([], READ))
     assert got.values.count() == 0 and got.metrics.count() == 0
